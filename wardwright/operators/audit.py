@@ -32,8 +32,9 @@ def status_audit(appointments: DataFrame, changes: DataFrame, as_of: str) -> Dat
     appointment chain: the old value is the status the change before left.
     """
     current = appointments.select("appointment_id", F.col("status").alias("_stored"))
-    known = changes.select(SEQ, "appointment_id", "status").join(current, "appointment_id")
-    chained = previous_in_key(known, "appointment_id", SEQ, "status", "_before")
+    # The chain needs the changes alone; the table joins once, at the end.
+    chained = previous_in_key(changes.select(SEQ, "appointment_id", "status"), "appointment_id", SEQ, "status",
+                              "_before").join(current, "appointment_id")
     old = F.when(F.col("_before").isNull(), F.col("_stored")).otherwise(F.col("_before.value"))
     return audit_rows(chained, "appointments", "appointment_id", STATUS_CHANGE, old, F.col("status"), as_of)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardwright.functions.scalars import coverage, insured, money
 from wardwright.operators.changes import FOREIGN_KEY, NOT_NULL, SEQ, Outcome, exists_flag, update_by_key, with_new_ids
+from wardwright.session import settle
 from wardwright.sources.sinks import with_new_rows
 
 Tables = dict[str, DataFrame]
@@ -23,7 +24,8 @@ def generate_bills(t: Tables, requests: DataFrame, as_of: str, high_water: int |
     reason = (F.when(F.col("total_amount").isNull(), NOT_NULL)
                .when(F.col("_insured").isNull(), UNKNOWN_PATIENT)
                .when(F.col("appointment_id").isNotNull() & ~F.col("_appointment"), FOREIGN_KEY))
-    decided = priced.withColumn("reason", reason)
+    decided = settle(priced.withColumn("reason", reason).select(
+        SEQ, "patient_id", "appointment_id", *CHARGES, "total_amount", "_insured", "reason"), "bill-requests")
     covered = coverage("total_amount", F.col("_insured"))
     passed = decided.filter("reason IS NULL").withColumn("insurance_coverage", covered).select(
         SEQ, "patient_id", "appointment_id", *CHARGES, "total_amount", "insurance_coverage",

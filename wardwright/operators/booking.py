@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardwright.functions.scalars import money
@@ -12,6 +12,7 @@ from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, a
 from wardwright.operators.scheduling import (SLOT_KEY, check_availability, occupied_slots, patient_by_phone,
                                              predicted_wait)
 from wardwright.schemas import DEFAULT_DURATION, DEFAULT_FEE
+from wardwright.session import settle
 from wardwright.sources.sinks import with_new_rows
 
 Tables = dict[str, DataFrame]
@@ -25,10 +26,12 @@ def _slot_state(requests: DataFrame, appointments: DataFrame, valid) -> DataFram
     return first_valid(requests, SLOT_KEY, valid).join(held, SLOT_KEY, "left")
 
 
-def _decide(requests: DataFrame, appointments: DataFrame) -> DataFrame:
-    """Add `reason` (NULL = accepted) to narrow requests with columns complete and valid."""
+def _decide(requests: DataFrame, appointments: DataFrame, contender: Column | None = None) -> DataFrame:
+    """Add `reason` (NULL = accepted) to narrow requests with columns complete and valid.
+    Only rows where `contender` holds can win a slot."""
     usable = F.col("complete") & F.col("valid")
-    decided = requests.join(_slot_state(requests, appointments, usable), SLOT_KEY, "left")
+    winning = usable if contender is None else usable & contender
+    decided = requests.join(_slot_state(requests, appointments, winning), SLOT_KEY, "left")
     reason = admission(F.col("held"), F.col(SEQ), F.col("winner"), usable, TAKEN)
     # Not-null checks go before reference checks on insert.
     return decided.withColumn("reason", F.when((reason == FOREIGN_KEY) & ~F.col("complete"), NOT_NULL)
@@ -38,8 +41,8 @@ def _decide(requests: DataFrame, appointments: DataFrame) -> DataFrame:
 def book_appointments(t: Tables, requests: DataFrame, as_of: str, high_water: int | None = None) -> Outcome:
     """Staff bookings: the first valid request for a free slot wins; doctors' hours are not looked at.
 
-    Decisions are made on the key columns only; the full request rows are
-    joined to them once, by `request_seq`.
+    Decisions are made on the key columns only and settled; the full request rows
+    are joined to them once, by `request_seq`.
     """
     narrow = requests.select(SEQ, "patient_id", *SLOT_KEY)
     narrow = exists_flag(narrow, "patient_id", t["patients"], "patient_id", "_patient")
@@ -49,7 +52,7 @@ def book_appointments(t: Tables, requests: DataFrame, as_of: str, high_water: in
         (F.col("patient_id").isNotNull() & F.col("doctor_id").isNotNull() & F.col("appointment_date").isNotNull()
          & F.col("time_slot").isNotNull()).alias("complete"),
         (F.col("_patient") & F.col("_doctor")).alias("valid"))
-    decided = _decide(narrow, t["appointments"]).select(SEQ, "reason")
+    decided = settle(_decide(narrow, t["appointments"]).select(SEQ, "reason"), "bookings")
 
     ids = with_new_ids(decided.filter("reason IS NULL").select(SEQ), t["appointments"], "appointments", high_water)
     accepted = (requests.join(ids, SEQ)
@@ -81,8 +84,11 @@ def book_as_patient(t: Tables, requests: DataFrame, as_of: str, high_water: int
         SEQ, "phone", "known_patient_id", *SLOT_KEY, "availability_verdict", "valid",
         ((F.col("known_patient_id").isNotNull() | F.col("_details")) & F.col("doctor_id").isNotNull()
          & F.col("appointment_date").isNotNull() & F.col("time_slot").isNotNull()).alias("complete"))
-    away = narrow.filter("availability_verdict != 'open'").select(SEQ, F.col("availability_verdict").alias("reason"))
-    decided = _decide(narrow.filter("availability_verdict = 'open'"), t["appointments"])
+    # A doctor's absence comes before the slot: such requests neither win nor lose it.
+    present = F.col("availability_verdict") == "open"
+    decided = _decide(narrow, t["appointments"], present).withColumn(
+        "reason", F.when(present, F.col("reason")).otherwise(F.col("availability_verdict")))
+    decided = settle(decided.select(SEQ, "phone", "known_patient_id", "reason"), "patient-bookings")
     admitted = decided.filter("reason IS NULL").select(SEQ, "phone", "known_patient_id")
 
     first_calls = (admitted.filter("known_patient_id IS NULL").groupBy("phone").agg(F.min(SEQ).alias(SEQ)))
@@ -100,7 +106,7 @@ def book_as_patient(t: Tables, requests: DataFrame, as_of: str, high_water: int
     new_patients = (requests.select(SEQ, "name", "age", "gender").join(registered, SEQ)
                     .select("patient_id", "name", "age", "gender", "phone",
                             F.lit(as_of[:10]).alias("registration_date"), F.lit("Active").alias("status")))
-    rejected = decided.filter("reason IS NOT NULL").select(SEQ, "reason").unionByName(away)
+    rejected = decided.filter("reason IS NOT NULL").select(SEQ, "reason")
     return Outcome({"appointments": with_new_rows(t["appointments"], accepted),
                     "patients": with_new_rows(t["patients"], new_patients)},
                    accepted, rejected, audit.booking_audit(accepted, as_of, by_patient=True),

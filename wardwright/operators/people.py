@@ -11,7 +11,7 @@ from wardwright.functions.scalars import stamp
 from wardwright.operators import audit
 from wardwright.operators.changes import FOREIGN_KEY, NOT_NULL, SEQ, Outcome, exists_flag, with_new_ids
 from wardwright.schemas import PATCHABLE_PATIENT_COLUMNS, REQUIRED
-from wardwright.session import ensure_checkpoints
+from wardwright.session import settle
 from wardwright.sources.sinks import with_new_rows
 
 Tables = dict[str, DataFrame]
@@ -64,7 +64,7 @@ def add_doctors(t: Tables, requests: DataFrame, as_of: str, high_water: int | No
     reason = (F.when(_missing("doctors"), NOT_NULL)
                .when(F.col("_phone_used") | F.col("_email_used"), UNIQUE_KEY)
                .when(~F.col("_dept"), FOREIGN_KEY))
-    decided = checked.withColumn("reason", reason)
+    decided = settle(checked.select(SEQ, "phone", "email", reason.alias("reason")), "new-doctors")
     admitted = first_come(decided.filter("reason IS NULL").select(SEQ, "phone", "email"), ["phone", "email"])
     accepted = with_new_ids(rows.join(admitted, SEQ), doctors, "doctors", high_water)
     rejected = (decided.join(admitted.withColumn("_in", F.lit(True)), SEQ, "left").filter("_in IS NULL")
@@ -79,23 +79,23 @@ def first_come(requests: DataFrame, unique: list[str]) -> DataFrame:
     in on another, so the answer is found in rounds. In a round every request that
     is first among the undecided ones on all its values gets in, and whatever shares
     a value with it is out. Each round decides at least the first open request;
-    usually two rounds suffice. Rounds are cut by checkpoints.
+    usually a few rounds suffice. Every round is settled, so plans do not grow.
     """
-    ensure_checkpoints(requests.sparkSession)
-    undecided, admitted = requests.checkpoint(), None
+    undecided, admitted = requests, None
     while not undecided.isEmpty():
         ranked = undecided
         for c in unique:
             first = undecided.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min(SEQ).alias(f"_first_{c}"))
             ranked = ranked.join(first, c, "left")
         leads = reduce(lambda a, b: a & b, [F.col(c).isNull() | (F.col(SEQ) == F.col(f"_first_{c}")) for c in unique])
-        ranked = ranked.select(SEQ, *unique, leads.alias("_in")).checkpoint()
+        ranked = ranked.select(SEQ, *unique, leads.alias("_in"))
+        ranked = settle(ranked, "admission-round")
         winners = ranked.filter("_in").drop("_in")
         rest = ranked.filter("NOT _in").drop("_in")
         for c in unique:
             rest = rest.join(winners.select(c), c, "left_anti")
         admitted = winners.select(SEQ) if admitted is None else admitted.unionByName(winners.select(SEQ))
-        undecided = rest.select(SEQ, *unique).checkpoint()
+        undecided = settle(rest.select(SEQ, *unique), "admission-rest")
     return admitted if admitted is not None else undecided.select(SEQ)
 
 
@@ -154,14 +154,17 @@ def delete_patients(t: Tables, deletions: DataFrame, as_of: str) -> Outcome:
     keeps its Occupied status, which the bed consistency rule then reports.
     """
     wanted = deletions.groupBy(F.col("id").alias("patient_id")).agg(F.min(SEQ).alias("_first"))
-    targets = wanted.join(t["patients"].select("patient_id", "name"), "patient_id")
-    ids = targets.select("patient_id")
+    targets = wanted.join(t["patients"].select("patient_id", "name", F.lit(True).alias("_known")), "patient_id", "left")
+    ids = wanted.select("patient_id")
     visits = t["appointments"].select("patient_id", "appointment_id").join(ids, "patient_id", "left_semi")
     billed_visits = visits.join(t["bills"].filter("appointment_id IS NOT NULL").select("appointment_id"),
                                 "appointment_id", "left_semi")
-    billed = t["bills"].select("patient_id").join(ids, "patient_id", "left_semi").unionByName(
-        billed_visits.select("patient_id")).distinct()
-    gone = targets.join(billed, "patient_id", "left_anti").select(F.col("_first").alias(SEQ), "patient_id", "name")
+    billed = t["bills"].select("patient_id").distinct().join(ids, "patient_id", "left_semi").unionByName(
+        billed_visits.select("patient_id")).distinct().withColumn("_billed", F.lit(True))
+    # One row per id asked for; all outputs follow from it.
+    verdicts = settle(targets.join(billed, "patient_id", "left"), "deletions")
+    known, blocked = F.col("_known").isNotNull(), F.col("_billed").isNotNull()
+    gone = verdicts.filter(known & ~blocked).select(F.col("_first").alias(SEQ), "patient_id", "name")
     gone_ids = gone.select("patient_id")
 
     beds = t["beds"]
@@ -171,13 +174,12 @@ def delete_patients(t: Tables, deletions: DataFrame, as_of: str) -> Outcome:
         F.when(F.col("_gone").isNull(), F.col("b.patient_id")).alias(c) if c == "patient_id" else F.col(f"b.{c}")
         for c in beds.columns])
     requests = deletions.select(SEQ, F.col("id").alias("patient_id"))
-    refused = requests.join(billed, "patient_id", "left_semi").select(SEQ, F.lit(BILLED).alias("reason"))
-    # Neither billed nor the request that did the deletion: the patient was not there.
-    absent = (requests.join(billed, "patient_id", "left_anti").join(gone.select(SEQ), SEQ, "left_anti")
-              .select(SEQ, F.lit("not found").alias("reason")))
+    reason = F.when(known & blocked, BILLED).when(~known | (F.col(SEQ) != F.col("_first")), "not found")
+    refused = (requests.join(verdicts, "patient_id").withColumn("reason", reason)
+               .filter("reason IS NOT NULL").select(SEQ, "reason"))
     return Outcome(
         {"patients": t["patients"].join(gone_ids, "patient_id", "left_anti"),
          "appointments": t["appointments"].join(gone_ids, "patient_id", "left_anti").select(
              *t["appointments"].columns),
          "beds": new_beds},
-        gone, refused.unionByName(absent), audit.delete_audit(gone, as_of))
+        gone, refused, audit.delete_audit(gone, as_of))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, exists_flag, with_new_ids)
+from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, exists_flag, update_by_key,
+                                          with_new_ids)
+from wardwright.session import settle
+from wardwright.sources.sinks import with_new_rows
 
 Tables = dict[str, DataFrame]
 DAY = ["doctor_id", "avail_date"]
@@ -28,15 +31,14 @@ def upsert_availability(t: Tables, records: DataFrame, high_water: int | None =
     accepted = records.filter(sound)
     rejected = checked.select(SEQ, F.coalesce("reason", F.lit("batch rejected")).alias("reason")).filter(~sound)
 
-    # The struct of the last record, and the first sequence number, which orders new ids.
-    per_day = accepted.groupBy(*DAY).agg(F.max_by(F.struct(*VALUES), SEQ).alias("new"), F.min(SEQ).alias(SEQ))
-    old = table.select("avail_id", *DAY, F.struct(*VALUES).alias("old"))
-    merged = old.join(per_day, DAY, "full")
-    kept = merged.filter("avail_id IS NOT NULL")
+    # Per key the values of its last record, and its first sequence number, which orders new ids.
+    per_day = accepted.groupBy(*DAY).agg(F.max_by(F.struct(*VALUES), SEQ).alias("v"), F.min(SEQ).alias(SEQ))
+    merged = settle(per_day.join(table.select("avail_id", *DAY), DAY, "left")
+                    .select("avail_id", *DAY, SEQ, *[F.col("v")[c].alias(c) for c in VALUES]), "availability")
+    replaced = merged.filter("avail_id IS NOT NULL").select("avail_id", *VALUES)
     fresh = with_new_ids(merged.filter("avail_id IS NULL").drop("avail_id"), table, "doctor_availability", high_water)
-    state = kept.select("avail_id", *DAY, F.coalesce("new", "old").alias("v")).unionByName(
-        fresh.select("avail_id", *DAY, F.col("new").alias("v")))
-    state = state.select("avail_id", *DAY, *[F.col("v")[c].alias(c) for c in VALUES])
+    state = with_new_rows(
+        update_by_key(table, "avail_id", replaced, {c: F.col(f"c.{c}") for c in VALUES}), fresh)
     return Outcome({"doctor_availability": state}, accepted, rejected)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardwright.operators import audit
 from wardwright.operators.changes import SEQ, Outcome, admission, exists_flag, first_valid, update_by_key
+from wardwright.session import settle
 
 Tables = dict[str, DataFrame]
 NOT_AVAILABLE = "bed not available"
@@ -22,6 +23,7 @@ def assign_beds(t: Tables, requests: DataFrame, as_of: str) -> Outcome:
     per_bed = first_valid(checked, ["bed_id"], "valid").join(free, "bed_id", "left")
     decided = checked.join(per_bed, "bed_id", "left").withColumn(
         "reason", admission(F.col("free").isNull(), F.col(SEQ), F.col("winner"), F.col("valid"), NOT_AVAILABLE))
+    decided = settle(decided.select(SEQ, "bed_id", "patient_id", "reason"), "bed-assignments")
     accepted = decided.filter("reason IS NULL").select(SEQ, "bed_id", "patient_id")
     state = update_by_key(t["beds"], "bed_id", accepted.select("bed_id", "patient_id"), {
         "status": F.lit("Occupied"), "patient_id": F.col("c.patient_id"), "admitted_date": F.lit(as_of)})

@@ -7,26 +7,48 @@ expression (number of doctors, patients, beds) are scalar subqueries.
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardwright.functions.scalars import coverage, iso_date, iso_stamp, money
-from wardwright.schemas import SLOT_GRID
+from wardwright.schemas import SLOT_GRID, TABLES
 
 AS_OF = "2024-01-15"
 AS_OF_STAMP = "2024-01-15 08:00:00"
 
 
+class _LazyTables(Mapping):
+    """Table name -> DataFrame, bound on first use so that a query opens only the files it reads."""
+
+    def __init__(self, bindings: "Bindings"):
+        self._bindings = bindings
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise KeyError(name)
+        return getattr(self._bindings, name)
+
+    def __iter__(self):
+        return iter(TABLES)
+
+    def __len__(self) -> int:
+        return len(TABLES)
+
+
 class Bindings:
     """Lazily built tables over one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        return self._raw[name]
 
     def _count(self, name: str) -> Column:
         return self.raw(name).agg(F.count(F.lit(1))).scalar()
@@ -154,10 +176,8 @@ class Bindings:
             "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(doc_id % 500 AS INT)) AS uploaded_at")
 
     @cached_property
-    def tables(self) -> dict[str, DataFrame]:
-        names = ("departments", "doctors", "patients", "beds", "appointments", "bills", "audit_log",
-                 "doctor_availability", "uploads")
-        return {name: getattr(self, name) for name in names}
+    def tables(self) -> Mapping[str, DataFrame]:
+        return _LazyTables(self)
 
     # --- change sets -----------------------------------------------------
 
