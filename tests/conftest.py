@@ -12,7 +12,8 @@ from wardwright.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g"})
+        "spark.sql.shuffle.partitions": "4", "spark.sql.maxMetadataStringLength": "10000",
+        "spark.ui.enabled": "false", "spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
