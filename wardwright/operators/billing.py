@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardwright.functions.scalars import coverage, insured, money
-from wardwright.operators.changes import FOREIGN_KEY, NOT_NULL, SEQ, Outcome, exists_flag, update_by_key, with_new_ids
+from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, exists_flag, only_wanted, split_known,
+                                          update_by_key, with_new_ids)
 from wardwright.session import settle
 from wardwright.sources.sinks import with_new_rows
 
@@ -17,7 +18,8 @@ UNKNOWN_PATIENT = "unknown patient"
 
 def generate_bills(t: Tables, requests: DataFrame, as_of: str, high_water: int | None = None) -> Outcome:
     """Bill the sum of four charges; insurance carries 70% of it for insured patients."""
-    people = t["patients"].select("patient_id", insured("insurance_id").alias("_insured"))
+    people = only_wanted(t["patients"].select("patient_id", insured("insurance_id").alias("_insured")), ["patient_id"],
+                         requests)
     total = money(sum((F.col(c) for c in CHARGES[1:]), F.col(CHARGES[0])))
     priced = requests.join(people, "patient_id", "left").withColumn("total_amount", total)
     priced = exists_flag(priced, "appointment_id", t["appointments"], "appointment_id", "_appointment")
@@ -38,8 +40,6 @@ def generate_bills(t: Tables, requests: DataFrame, as_of: str, high_water: int |
 
 def pay_bills(t: Tables, payments: DataFrame) -> Outcome:
     """Mark bills Paid; paying twice changes nothing more."""
-    paid = payments.select("bill_id").distinct()
+    paid = settle(payments.select("bill_id").distinct(), "payments")
     state = update_by_key(t["bills"], "bill_id", paid, {"status": F.lit("Paid")})
-    known = t["bills"].select("bill_id")
-    return Outcome({"bills": state}, payments.join(known, "bill_id", "left_semi"),
-                   payments.join(known, "bill_id", "left_anti").select(SEQ, F.lit("not found").alias("reason")))
+    return Outcome({"bills": state}, *split_known(payments, t["bills"], "bill_id"))

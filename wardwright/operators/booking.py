@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from wardwright.functions.scalars import money
 from wardwright.operators import audit
 from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, admission, exists_flag, first_valid,
-                                          last_per_key, update_by_key, with_new_ids)
-from wardwright.operators.scheduling import (SLOT_KEY, check_availability, occupied_slots, patient_by_phone,
-                                             predicted_wait)
+                                          last_per_key, only_wanted, split_known, update_by_key, with_new_ids)
+from wardwright.operators.scheduling import (SLOT_KEY, check_availability, occupied_slots, predicted_wait,
+                                             resolve_patients)
 from wardwright.schemas import DEFAULT_DURATION, DEFAULT_FEE
 from wardwright.session import settle
 from wardwright.sources.sinks import with_new_rows
@@ -19,19 +19,19 @@ Tables = dict[str, DataFrame]
 TAKEN = "slot taken"
 
 
-def _slot_state(requests: DataFrame, appointments: DataFrame, valid) -> DataFrame:
-    """Per requested slot: the first valid request and whether the slot was taken before the batch.
-    Both sides come out of their aggregation partitioned by the slot key, so the join adds no shuffle."""
-    held = occupied_slots(appointments).withColumn("held", F.lit(True))
+def _slot_state(requests: DataFrame, asked: DataFrame, appointments: DataFrame, valid: Column) -> DataFrame:
+    """Per requested slot: the first valid request and whether the slot was taken before the batch."""
+    held = occupied_slots(only_wanted(appointments, SLOT_KEY, asked)).withColumn("held", F.lit(True))
     return first_valid(requests, SLOT_KEY, valid).join(held, SLOT_KEY, "left")
 
 
-def _decide(requests: DataFrame, appointments: DataFrame, contender: Column | None = None) -> DataFrame:
+def _decide(requests: DataFrame, asked: DataFrame, appointments: DataFrame,
+            contender: Column | None = None) -> DataFrame:
     """Add `reason` (NULL = accepted) to narrow requests with columns complete and valid.
-    Only rows where `contender` holds can win a slot."""
+    `asked` are the requests as given, for their slot keys; only rows where `contender` holds can win."""
     usable = F.col("complete") & F.col("valid")
     winning = usable if contender is None else usable & contender
-    decided = requests.join(_slot_state(requests, appointments, winning), SLOT_KEY, "left")
+    decided = requests.join(_slot_state(requests, asked, appointments, winning), SLOT_KEY, "left")
     reason = admission(F.col("held"), F.col(SEQ), F.col("winner"), usable, TAKEN)
     # Not-null checks go before reference checks on insert.
     return decided.withColumn("reason", F.when((reason == FOREIGN_KEY) & ~F.col("complete"), NOT_NULL)
@@ -52,7 +52,7 @@ def book_appointments(t: Tables, requests: DataFrame, as_of: str, high_water: in
         (F.col("patient_id").isNotNull() & F.col("doctor_id").isNotNull() & F.col("appointment_date").isNotNull()
          & F.col("time_slot").isNotNull()).alias("complete"),
         (F.col("_patient") & F.col("_doctor")).alias("valid"))
-    decided = settle(_decide(narrow, t["appointments"]).select(SEQ, "reason"), "bookings")
+    decided = settle(_decide(narrow, requests, t["appointments"]).select(SEQ, "reason"), "bookings")
 
     ids = with_new_ids(decided.filter("reason IS NULL").select(SEQ), t["appointments"], "appointments", high_water)
     accepted = (requests.join(ids, SEQ)
@@ -77,8 +77,7 @@ def book_as_patient(t: Tables, requests: DataFrame, as_of: str, high_water: int
         SEQ, "phone", *SLOT_KEY,
         (F.col("name").isNotNull() & F.col("age").isNotNull() & F.col("gender").isNotNull()
          & F.col("phone").isNotNull()).alias("_details"))
-    known = patient_by_phone(t["patients"]).withColumnRenamed("patient_id", "known_patient_id")
-    narrow = narrow.join(known, "phone", "left")
+    narrow = resolve_patients(narrow, t["patients"])
     narrow = exists_flag(narrow, "doctor_id", t["doctors"], "doctor_id", "valid")
     narrow = check_availability(narrow, t["doctor_availability"]).select(
         SEQ, "phone", "known_patient_id", *SLOT_KEY, "availability_verdict", "valid",
@@ -86,7 +85,7 @@ def book_as_patient(t: Tables, requests: DataFrame, as_of: str, high_water: int
          & F.col("appointment_date").isNotNull() & F.col("time_slot").isNotNull()).alias("complete"))
     # A doctor's absence comes before the slot: such requests neither win nor lose it.
     present = F.col("availability_verdict") == "open"
-    decided = _decide(narrow, t["appointments"], present).withColumn(
+    decided = _decide(narrow, requests, t["appointments"], present).withColumn(
         "reason", F.when(present, F.col("reason")).otherwise(F.col("availability_verdict")))
     decided = settle(decided.select(SEQ, "phone", "known_patient_id", "reason"), "patient-bookings")
     admitted = decided.filter("reason IS NULL").select(SEQ, "phone", "known_patient_id")
@@ -113,16 +112,10 @@ def book_as_patient(t: Tables, requests: DataFrame, as_of: str, high_water: int
                    {"new_patients": new_patients})
 
 
-def _split_known(requests: DataFrame, table: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    keys = table.select(key)
-    unknown = requests.join(keys, key, "left_anti").select(SEQ, F.lit("not found").alias("reason"))
-    return requests.join(keys, key, "left_semi"), unknown
-
-
 def change_status(t: Tables, changes: DataFrame, as_of: str) -> Outcome:
     """Set statuses, last change wins, no state machine; unknown ids change nothing."""
-    accepted, unknown = _split_known(changes, t["appointments"], "appointment_id")
-    latest = last_per_key(changes, "appointment_id", ["status"])
+    accepted, unknown = split_known(changes, t["appointments"], "appointment_id")
+    latest = settle(last_per_key(changes, "appointment_id", ["status"]), "status-changes")
     state = update_by_key(t["appointments"], "appointment_id", latest, {"status": F.col("c.status")})
     return Outcome({"appointments": state}, accepted, unknown, audit.status_audit(t["appointments"], changes, as_of))
 
@@ -130,8 +123,8 @@ def change_status(t: Tables, changes: DataFrame, as_of: str) -> Outcome:
 def accept_appointments(t: Tables, acceptances: DataFrame, as_of: str) -> Outcome:
     """Confirm appointments and set their duration."""
     confirmed = acceptances.withColumn("status", F.lit("Confirmed"))
-    accepted, unknown = _split_known(confirmed, t["appointments"], "appointment_id")
-    latest = last_per_key(confirmed, "appointment_id", ["status", "duration_minutes"])
+    accepted, unknown = split_known(confirmed, t["appointments"], "appointment_id")
+    latest = settle(last_per_key(confirmed, "appointment_id", ["status", "duration_minutes"]), "acceptances")
     state = update_by_key(t["appointments"], "appointment_id", latest,
                           {"status": F.col("c.status"), "duration_minutes": F.col("c.duration_minutes")})
     return Outcome({"appointments": state}, accepted, unknown, audit.status_audit(t["appointments"], confirmed, as_of))

@@ -20,6 +20,7 @@ from wardwright.schemas import KEYS
 SEQ = "request_seq"
 FOREIGN_KEY = "foreign key"
 NOT_NULL = "not null"
+NOT_FOUND = "not found"
 
 
 @dataclass(frozen=True)
@@ -48,11 +49,30 @@ def with_new_ids(rows: DataFrame, table: DataFrame, name: str, high_water: int |
                 .drop("_position"))
 
 
+def only_wanted(table: DataFrame, keys: list[str], requests: DataFrame) -> DataFrame:
+    """The rows of a large table that a batch of requests asks for.
+
+    The distinct request keys are the build side of a semi join: a batch that fits
+    the broadcast limit by its size filters the table during its scan, with
+    partition pruning where a key column is a partition column; a larger one is
+    shuffled. Either way only matching rows go on.
+    """
+    return table.join(requests.select(*keys).distinct(), keys, "left_semi")
+
+
 def exists_flag(requests: DataFrame, column: str, parent: DataFrame, parent_key: str, out: str) -> DataFrame:
     """Add `out`: is `column` a key of `parent`? The parent side is unique and one column wide,
     so a hot value on the request side is split by the adaptive skew join."""
-    keys = parent.select(F.col(parent_key).alias(column), F.lit(True).alias(out))
-    return requests.join(keys, column, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    keys = only_wanted(parent.select(F.col(parent_key).alias(column)), [column], requests)
+    return (requests.join(keys.withColumn(out, F.lit(True)), column, "left")
+                    .withColumn(out, F.coalesce(out, F.lit(False))))
+
+
+def split_known(requests: DataFrame, table: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Requests whose key is in the table, and the others as rejections."""
+    keys = only_wanted(table.select(key), [key], requests)
+    unknown = requests.join(keys, key, "left_anti").select(SEQ, F.lit(NOT_FOUND).alias("reason"))
+    return requests.join(keys, key, "left_semi"), unknown
 
 
 def first_valid(requests: DataFrame, key: list[str], valid: Column | str) -> DataFrame:
@@ -93,7 +113,8 @@ def last_per_key(requests: DataFrame, key: list[str] | str, columns: list[str])
 
 def update_by_key(table: DataFrame, key: str, changes: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Keyed update. `changes` has one row per key; `columns` give new values, over its columns
-    and the table's, for the rows it touches."""
+    and the table's, for the rows it touches. Callers settle `changes` first: by its true size a small
+    batch is broadcast to the table's scan, and only a large one makes the table shuffle."""
     touched = changes.withColumn("_touched", F.lit(True))
     joined = table.alias("t").join(touched.alias("c"), F.col(f"t.{key}") == F.col(f"c.{key}"), "left")
     return joined.select(*[

@@ -10,6 +10,15 @@ from wardwright.functions.scalars import money
 Tables = dict[str, DataFrame]
 
 
+def status_load(appointments: DataFrame) -> DataFrame:
+    """Counts and sums per doctor and status: a handful of rows per doctor from which every
+    dashboard figure about appointments follows."""
+    wait = F.col("wait_time_minutes").cast("long")
+    return appointments.groupBy("doctor_id", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("fees").alias("fees"), F.sum(wait).alias("wait_sum"),
+        F.count(wait).alias("waits"))
+
+
 def doctor_load(appointments: DataFrame) -> DataFrame:
     """One row per doctor with appointments. Partial aggregation runs before the shuffle,
     so a doctor with a third of all rows costs one row per map task."""
@@ -24,9 +33,22 @@ def doctor_load(appointments: DataFrame) -> DataFrame:
         F.count(F.when(done, wait)).alias("waits"))
 
 
-def department_load(t: Tables) -> DataFrame:
-    """One row per department, with zeros where it has no doctors or appointments."""
-    per_doctor = t["doctors"].select("doctor_id", "dept_id").join(doctor_load(t["appointments"]), "doctor_id", "left")
+def fold_statuses(load: DataFrame) -> DataFrame:
+    """`status_load` brought to the shape of `doctor_load`."""
+    done = F.col("status") == "Completed"
+    return load.groupBy("doctor_id").agg(
+        F.sum("n").alias("appointments"),
+        F.sum(F.when(done, F.col("n")).otherwise(0)).alias("completed_rows"),
+        F.sum(F.when(F.col("status") == "Cancelled", F.col("n")).otherwise(0)).alias("cancelled"),
+        *[F.sum(F.when(done, F.col(c))).alias(out) for c, out in (
+            ("fees", "revenue"), ("wait_sum", "wait_sum"), ("waits", "waits"))])
+
+
+def department_load(t: Tables, load: DataFrame | None = None) -> DataFrame:
+    """One row per department, with zeros where it has no doctors or appointments.
+    `load` is a doctor load made before; by default it is made from the appointments."""
+    load = doctor_load(t["appointments"]) if load is None else load
+    per_doctor = t["doctors"].select("doctor_id", "dept_id").join(load, "doctor_id", "left")
     per_dept = per_doctor.groupBy("dept_id").agg(
         F.count(F.lit(1)).alias("doctor_count"),
         F.sum("appointments").alias("total_appointments"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardwright.functions.scalars import stamp
 from wardwright.operators import audit
-from wardwright.operators.changes import FOREIGN_KEY, NOT_NULL, SEQ, Outcome, exists_flag, with_new_ids
+from wardwright.operators.changes import FOREIGN_KEY, NOT_FOUND, NOT_NULL, SEQ, Outcome, exists_flag, only_wanted, with_new_ids
 from wardwright.schemas import PATCHABLE_PATIENT_COLUMNS, REQUIRED
 from wardwright.session import settle
 from wardwright.sources.sinks import with_new_rows
@@ -118,15 +118,15 @@ def patch_rows(table: DataFrame, name: str, key: str, patches: DataFrame, column
     blank = _any(named(c) & F.element_at(patch, F.lit(c)).isNull() for c in columns if c in REQUIRED[name])
     garbled = _any(named(c) & F.element_at(patch, F.lit(c)).isNotNull() & value(c).isNull()
                    for c in columns if types[c] != "string")
-    keys = table.select(F.col(key).alias("id"), F.lit(True).alias("_known"))
-    checked = patches.join(keys, "id", "left").withColumn(
-        "reason", F.when(F.col("_known").isNull(), "not found").when(blank, NOT_NULL).when(garbled, "bad value"))
+    checked = exists_flag(patches, "id", table, key, "_known").withColumn(
+        "reason", F.when(~F.col("_known"), NOT_FOUND).when(blank, NOT_NULL).when(garbled, "bad value"))
     accepted = checked.filter("reason IS NULL").select(SEQ, "id", "patch")
 
-    effective = accepted.filter(_any(named(c) for c in columns))
-    # One struct per column: present only if some patch named it, with the value of the last that did.
-    latest = effective.groupBy("id").agg(*[
-        F.max_by(F.struct(value(c).alias("v")), F.when(named(c), F.col(SEQ))).alias(c) for c in columns])
+    # One struct per column, NULL unless the patch names it; then the last one given for each column.
+    given = accepted.filter(_any(named(c) for c in columns)).select(
+        SEQ, "id", *[F.when(named(c), F.struct(value(c).alias("v"))).alias(c) for c in columns])
+    latest = settle(given.groupBy("id").agg(*[
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.col(SEQ))).alias(c) for c in columns]), "patches")
     joined = table.alias("t").join(latest.alias("p"), F.col(f"t.{key}") == F.col("p.id"), "left")
     state = joined.select(*[
         F.when(F.col(f"p.{c}").isNotNull(), F.col(f"p.{c}.v")).otherwise(F.col(f"t.{c}")).alias(c)
@@ -154,12 +154,13 @@ def delete_patients(t: Tables, deletions: DataFrame, as_of: str) -> Outcome:
     keeps its Occupied status, which the bed consistency rule then reports.
     """
     wanted = deletions.groupBy(F.col("id").alias("patient_id")).agg(F.min(SEQ).alias("_first"))
-    targets = wanted.join(t["patients"].select("patient_id", "name", F.lit(True).alias("_known")), "patient_id", "left")
     ids = wanted.select("patient_id")
-    visits = t["appointments"].select("patient_id", "appointment_id").join(ids, "patient_id", "left_semi")
+    named = only_wanted(t["patients"].select("patient_id", "name", F.lit(True).alias("_known")), ["patient_id"], ids)
+    targets = wanted.join(named, "patient_id", "left")
+    visits = only_wanted(t["appointments"].select("patient_id", "appointment_id"), ["patient_id"], ids)
     billed_visits = visits.join(t["bills"].filter("appointment_id IS NOT NULL").select("appointment_id"),
                                 "appointment_id", "left_semi")
-    billed = t["bills"].select("patient_id").distinct().join(ids, "patient_id", "left_semi").unionByName(
+    billed = only_wanted(t["bills"].select("patient_id"), ["patient_id"], ids).unionByName(
         billed_visits.select("patient_id")).distinct().withColumn("_billed", F.lit(True))
     # One row per id asked for; all outputs follow from it.
     verdicts = settle(targets.join(billed, "patient_id", "left"), "deletions")
@@ -174,7 +175,7 @@ def delete_patients(t: Tables, deletions: DataFrame, as_of: str) -> Outcome:
         F.when(F.col("_gone").isNull(), F.col("b.patient_id")).alias(c) if c == "patient_id" else F.col(f"b.{c}")
         for c in beds.columns])
     requests = deletions.select(SEQ, F.col("id").alias("patient_id"))
-    reason = F.when(known & blocked, BILLED).when(~known | (F.col(SEQ) != F.col("_first")), "not found")
+    reason = F.when(known & blocked, BILLED).when(~known | (F.col(SEQ) != F.col("_first")), NOT_FOUND)
     refused = (requests.join(verdicts, "patient_id").withColumn("reason", reason)
                .filter("reason IS NOT NULL").select(SEQ, "reason"))
     return Outcome(

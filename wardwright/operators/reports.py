@@ -81,9 +81,10 @@ def beds_by_type(beds: DataFrame) -> DataFrame:
         *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("Available", "Occupied", "Maintenance")])
 
 
-def mean_wait_by_department(t: Tables) -> DataFrame:
+def mean_wait_by_department(t: Tables, load: DataFrame | None = None) -> DataFrame:
     """Mean wait of completed appointments, longest first."""
-    load = doctor_load(t["appointments"]).filter("completed_rows > 0").select("doctor_id", "wait_sum", "waits")
+    load = doctor_load(t["appointments"]) if load is None else load
+    load = load.filter("completed_rows > 0").select("doctor_id", "wait_sum", "waits")
     per_dept = (load.join(t["doctors"].select("doctor_id", "dept_id"), "doctor_id")
                     .groupBy("dept_id").agg(F.sum("wait_sum").alias("wait_sum"), F.sum("waits").alias("waits")))
     return (per_dept.join(t["departments"], "dept_id")

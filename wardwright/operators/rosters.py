@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, exists_flag, update_by_key,
+from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, exists_flag, split_known, update_by_key,
                                           with_new_ids)
 from wardwright.session import settle
 from wardwright.sources.sinks import with_new_rows
@@ -45,7 +45,5 @@ def upsert_availability(t: Tables, records: DataFrame, high_water: int | None =
 def delete_by_key(table: DataFrame, key: str, deletions: DataFrame) -> Outcome:
     """Remove the rows with the given ids; unknown ids change nothing."""
     wanted = deletions.select(SEQ, F.col("id").alias(key))
-    state = table.join(wanted, key, "left_anti")
-    keys = table.select(key)
-    return Outcome({"table": state}, wanted.join(keys, key, "left_semi"),
-                   wanted.join(keys, key, "left_anti").select(SEQ, F.lit("not found").alias("reason")))
+    state = table.join(wanted.select(key), key, "left_anti").select(*table.columns)
+    return Outcome({"table": state}, *split_known(wanted, table, key))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardwright.functions.scalars import day_label, matrix_cell
+from wardwright.operators.changes import only_wanted
 from wardwright.operators.filters import equal_where_given, in_hours, occupying
 from wardwright.operators.loads import doctor_load
 from wardwright.schemas import DAY_END, DAY_START, DEFAULT_NOTE, DEFAULT_WAIT, HORIZON_DAYS, SLOT_GRID
@@ -45,12 +46,12 @@ def check_availability(requests: DataFrame, availability: DataFrame) -> DataFram
 def open_slots(doctor_days: DataFrame, appointments: DataFrame, availability: DataFrame) -> DataFrame:
     """Free grid slots for each (doctor_id, appointment_date) asked for.
 
-    Taken slots are folded to one set per doctor and day (at most the twelve grid
-    slots) and subtracted from the grid in place, so the asked-for days are
-    shuffled once and only the answer is expanded to slots.
+    Only appointments of the days asked for are read on. Their slots are folded to
+    one set per doctor and day (at most the twelve grid slots) and subtracted from
+    the grid in place; only the answer is expanded to slots.
     """
     day = ["doctor_id", "appointment_date"]
-    taken = (appointments.filter(occupying() & F.col("time_slot").isin(*SLOT_GRID))
+    taken = (only_wanted(appointments.filter(occupying() & F.col("time_slot").isin(*SLOT_GRID)), day, doctor_days)
              .groupBy(*day).agg(F.collect_set("time_slot").alias("taken")))
     asked = doctor_days.select(*day).join(availability_by_day(availability), day, "left").join(taken, day, "left")
     at_work = F.coalesce("is_available", F.lit(True))
@@ -76,7 +77,8 @@ def patient_by_phone(patients: DataFrame) -> DataFrame:
 
 def resolve_patients(requests: DataFrame, patients: DataFrame) -> DataFrame:
     """Add `known_patient_id`, NULL for phones not on file."""
-    known = patient_by_phone(patients).withColumnRenamed("patient_id", "known_patient_id")
+    called = only_wanted(patients.select("phone", "patient_id"), ["phone"], requests)
+    known = patient_by_phone(called).withColumnRenamed("patient_id", "known_patient_id")
     return requests.join(known, "phone", "left")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardwright.operators import audit
-from wardwright.operators.changes import SEQ, Outcome, admission, exists_flag, first_valid, update_by_key
+from wardwright.operators.changes import SEQ, Outcome, admission, exists_flag, first_valid, split_known, update_by_key
 from wardwright.session import settle
 
 Tables = dict[str, DataFrame]
@@ -33,10 +33,8 @@ def assign_beds(t: Tables, requests: DataFrame, as_of: str) -> Outcome:
 
 def release_beds(t: Tables, requests: DataFrame) -> Outcome:
     """Empty the beds whatever their status (a bed in maintenance becomes Available). No audit."""
-    wanted = requests.select("bed_id").distinct()
+    wanted = settle(requests.select("bed_id").distinct(), "bed-releases")
     nothing = F.lit(None)
     state = update_by_key(t["beds"], "bed_id", wanted, {
         "status": F.lit("Available"), "patient_id": nothing.cast("long"), "admitted_date": nothing.cast("string")})
-    known = t["beds"].select("bed_id")
-    return Outcome({"beds": state}, requests.join(known, "bed_id", "left_semi"),
-                   requests.join(known, "bed_id", "left_anti").select(SEQ, F.lit("not found").alias("reason")))
+    return Outcome({"beds": state}, *split_known(requests, t["beds"], "bed_id"))

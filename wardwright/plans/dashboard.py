@@ -1,4 +1,4 @@
-"""The dashboard bundle: eleven sections, each a lazy DataFrame."""
+"""The dashboard bundle: eleven figures and lists, each a DataFrame."""
 
 from __future__ import annotations
 
@@ -6,32 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardwright.operators import reports
+from wardwright.operators.loads import fold_statuses, status_load
 from wardwright.plans import views
+from wardwright.session import settle
 
 Tables = dict[str, DataFrame]
 
 
-def headline_counts(spark: SparkSession, t: Tables) -> DataFrame:
-    """The six scalars in one row, as scalar subqueries; those over one table share its scan."""
-    def count(name, status=None):
-        table = t[name] if status is None else t[name].filter(F.col("status") == status)
-        return table.agg(F.count(F.lit(1))).scalar()
-
+def headline_counts(spark: SparkSession, t: Tables, load: DataFrame) -> DataFrame:
+    """The six scalars in one row, as scalar subqueries; both bed counts come from one scan."""
+    beds = t["beds"].agg(F.struct(F.count_if(F.col("status") == "Available").alias("available"),
+                                  F.count(F.lit(1)).alias("total"))).scalar()
+    scheduled = load.agg(F.coalesce(F.sum(F.when(F.col("status") == "Scheduled", F.col("n"))), F.lit(0))).scalar()
     return spark.range(1).select(
-        count("patients").alias("total_patients"),
-        count("doctors", "Active").alias("total_doctors"),
-        count("appointments", "Scheduled").alias("scheduled_appts"),
-        count("beds", "Available").alias("available_beds"),
-        count("beds").alias("total_beds"),
+        reports.row_count(t["patients"]).scalar().alias("total_patients"),
+        reports.filtered_count(t["doctors"], "Active").scalar().alias("total_doctors"),
+        scheduled.alias("scheduled_appts"),
+        beds["available"].alias("available_beds"), beds["total"].alias("total_beds"),
         reports.total_revenue(t["bills"]).scalar().alias("total_revenue"))
 
 
 def dashboard(spark: SparkSession, t: Tables) -> dict[str, DataFrame]:
+    """Appointments are read twice in all: once for the settled load per doctor and status that
+    all counts, sums and means start from, once for the latest few."""
+    load = settle(status_load(t["appointments"]), "dashboard")
+    per_doctor = fold_statuses(load)
     return {
-        "headline": headline_counts(spark, t),
-        "appt_by_status": reports.appointments_by_status(t["appointments"]),
-        "dept_stats": views.dept_stats(t),
+        "headline": headline_counts(spark, t, load),
+        "appt_by_status": load.groupBy("status").agg(F.sum("n").alias("cnt")),
+        "dept_stats": views.dept_stats(t, per_doctor),
         "bed_by_type": reports.beds_by_type(t["beds"]),
         "recent_appts": reports.recent_appointments(views.appointment_details(t)),
-        "wait_times": reports.mean_wait_by_department(t),
+        "wait_times": reports.mean_wait_by_department(t, per_doctor),
     }

@@ -36,14 +36,14 @@ def bed_occupancy(t: Tables) -> DataFrame:
         "bed_id", "ward_name", "bed_number", "bed_type", "status", "hourly_rate", "patient_name", "admitted_date")
 
 
-def dept_stats(t: Tables) -> DataFrame:
+def dept_stats(t: Tables, load: DataFrame | None = None) -> DataFrame:
     """v_dept_stats: doctors, appointments, revenue and mean wait per department, empty departments kept.
 
     Appointments are folded to one row per doctor before they meet the
     dimensions, so the distinct counts of the tree doctors -> appointments
     become plain sums and no join sees a fan-out.
     """
-    return department_load(t).select(
+    return department_load(t, load).select(
         "dept_id", "dept_name", "location", "doctor_count", "total_appointments", "revenue",
         F.round(F.col("wait_sum") / F.col("completed"), 1).alias("avg_wait"))
 

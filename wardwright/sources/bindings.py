@@ -12,6 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wardwright.functions.scalars import coverage, iso_date, iso_stamp, money
 from wardwright.schemas import SLOT_GRID, TABLES
@@ -41,13 +42,19 @@ class _LazyTables(Mapping):
 class Bindings:
     """Lazily built tables over one scale-factor folder."""
 
+    _schemas: dict[str, StructType] = {}  # file footers are read once per path
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
-            self._raw[name] = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+            path = os.path.join(self.sf_dir, f"{name}.parquet")
+            schema = self._schemas.get(path)
+            reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+            self._raw[name] = reader.parquet(path)
+            self._schemas[path] = self._raw[name].schema
         return self._raw[name]
 
     def _count(self, name: str) -> Column:
