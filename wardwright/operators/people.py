@@ -105,31 +105,29 @@ def patch_rows(table: DataFrame, name: str, key: str, patches: DataFrame, column
     """Set only the columns a patch names; a named NULL sets NULL, unknown names are ignored, and the
     last patch to name a column wins. A patch that breaks NOT NULL or a type is refused as a whole.
     """
-    patch = F.col("patch")
     types = dict(table.dtypes)
+    required = [c for c in columns if c in REQUIRED[name]]
+    typed = [c for c in columns if types[c] != "string"]
+    entries = F.map_entries("patch")
+    blank = F.exists(entries, lambda e: e["key"].isin(required) & e["value"].isNull())
 
-    def named(c: str) -> Column:
-        return F.coalesce(F.map_contains_key(patch, c), F.lit(False))
+    def unreadable(c: str) -> Column:
+        return F.exists(entries, lambda e: (e["key"] == c) & e["value"].isNotNull()
+                        & e["value"].try_cast(types[c]).isNull())
 
-    def value(c: str) -> Column:
-        text = F.element_at(patch, F.lit(c))
-        return text if types[c] == "string" else text.try_cast(types[c])
-
-    blank = _any(named(c) & F.element_at(patch, F.lit(c)).isNull() for c in columns if c in REQUIRED[name])
-    garbled = _any(named(c) & F.element_at(patch, F.lit(c)).isNotNull() & value(c).isNull()
-                   for c in columns if types[c] != "string")
     checked = exists_flag(patches, "id", table, key, "_known").withColumn(
-        "reason", F.when(~F.col("_known"), NOT_FOUND).when(blank, NOT_NULL).when(garbled, "bad value"))
+        "reason", F.when(~F.col("_known"), NOT_FOUND).when(blank, NOT_NULL).when(_any(map(unreadable, typed)), "bad value"))
     accepted = checked.filter("reason IS NULL").select(SEQ, "id", "patch")
 
-    # One struct per column, NULL unless the patch names it; then the last one given for each column.
-    given = accepted.filter(_any(named(c) for c in columns)).select(
-        SEQ, "id", *[F.when(named(c), F.struct(value(c).alias("v"))).alias(c) for c in columns])
+    given = accepted.select(SEQ, "id", F.explode("patch").alias("_column", "_text")).filter(
+        F.col("_column").isin(*columns))
+    # One struct per column: NULL if no patch names it, otherwise the value given last.
     latest = settle(given.groupBy("id").agg(*[
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.col(SEQ))).alias(c) for c in columns]), "patches")
+        F.max_by(F.struct(F.col("_text").alias("v")), F.when(F.col("_column") == c, F.col(SEQ))).alias(c)
+        for c in columns]), "patches")
     joined = table.alias("t").join(latest.alias("p"), F.col(f"t.{key}") == F.col("p.id"), "left")
     state = joined.select(*[
-        F.when(F.col(f"p.{c}").isNotNull(), F.col(f"p.{c}.v")).otherwise(F.col(f"t.{c}")).alias(c)
+        F.when(F.col(f"p.{c}").isNotNull(), F.col(f"p.{c}.v").cast(types[c])).otherwise(F.col(f"t.{c}")).alias(c)
         if c in columns else F.col(f"t.{c}") for c in table.columns])
     return Outcome({name: state}, accepted, checked.filter("reason IS NOT NULL").select(SEQ, "reason"))
 
