@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,51 +21,59 @@ Tables = dict[str, DataFrame]
 TAKEN = "slot taken"
 
 
-def _slot_state(requests: DataFrame, asked: DataFrame, appointments: DataFrame, valid: Column) -> DataFrame:
-    """Per requested slot: the first valid request and whether the slot was taken before the batch."""
-    held = occupied_slots(only_wanted(appointments, SLOT_KEY, asked)).withColumn("held", F.lit(True))
-    return first_valid(requests, SLOT_KEY, valid).join(held, SLOT_KEY, "left")
+def _slot_state(checked: DataFrame, requests: DataFrame, appointments: DataFrame) -> DataFrame:
+    """Per requested slot: the lowest `request_seq` that may win it, and whether it was held before.
+
+    One row per slot, settled. The accepted requests are read off it directly;
+    requests meet it again only to learn why they were refused.
+    """
+    held = occupied_slots(only_wanted(appointments, SLOT_KEY, requests)).withColumn("held", F.lit(True))
+    return settle(first_valid(checked, SLOT_KEY, F.col("present") & F.col("complete") & F.col("valid"))
+                  .join(held, SLOT_KEY, "left"), "slots")
+
 
+def _winners(state: DataFrame) -> DataFrame:
+    return state.filter("held IS NULL AND winner IS NOT NULL").select(F.col("winner").alias(SEQ))
 
-def _decide(requests: DataFrame, asked: DataFrame, appointments: DataFrame,
-            contender: Column | None = None) -> DataFrame:
-    """Add `reason` (NULL = accepted) to narrow requests with columns complete and valid.
-    `asked` are the requests as given, for their slot keys; only rows where `contender` holds can win."""
+
+def _refusals(checked: DataFrame, state: DataFrame) -> DataFrame:
+    """Every request that did not win, with its reason."""
     usable = F.col("complete") & F.col("valid")
-    winning = usable if contender is None else usable & contender
-    decided = requests.join(_slot_state(requests, asked, appointments, winning), SLOT_KEY, "left")
     reason = admission(F.col("held"), F.col(SEQ), F.col("winner"), usable, TAKEN)
     # Not-null checks go before reference checks on insert.
-    return decided.withColumn("reason", F.when((reason == FOREIGN_KEY) & ~F.col("complete"), NOT_NULL)
-                              .otherwise(reason)).drop("held", "winner")
+    reason = F.when((reason == FOREIGN_KEY) & ~F.col("complete"), NOT_NULL).otherwise(reason)
+    return (checked.join(state, SLOT_KEY, "left")
+            .withColumn("reason", F.when(F.col("present"), reason).otherwise(F.col("absence")))
+            .filter("reason IS NOT NULL").select(SEQ, "reason"))
+
+
+def _all_given(*columns: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
 
 
 def book_appointments(t: Tables, requests: DataFrame, as_of: str, high_water: int | None = None) -> Outcome:
     """Staff bookings: the first valid request for a free slot wins; doctors' hours are not looked at.
 
-    Decisions are made on the key columns only and settled; the full request rows
-    are joined to them once, by `request_seq`.
+    Decisions are made on the key columns only; the full request rows are joined
+    to the winners once, by `request_seq`.
     """
-    narrow = requests.select(SEQ, "patient_id", *SLOT_KEY)
-    narrow = exists_flag(narrow, "patient_id", t["patients"], "patient_id", "_patient")
-    narrow = exists_flag(narrow, "doctor_id", t["doctors"], "doctor_id", "_doctor")
-    narrow = narrow.select(
-        SEQ, *SLOT_KEY,
-        (F.col("patient_id").isNotNull() & F.col("doctor_id").isNotNull() & F.col("appointment_date").isNotNull()
-         & F.col("time_slot").isNotNull()).alias("complete"),
-        (F.col("_patient") & F.col("_doctor")).alias("valid"))
-    decided = settle(_decide(narrow, requests, t["appointments"]).select(SEQ, "reason"), "bookings")
-
-    ids = with_new_ids(decided.filter("reason IS NULL").select(SEQ), t["appointments"], "appointments", high_water)
-    accepted = (requests.join(ids, SEQ)
-                .join(predicted_wait(t["doctors"], t["appointments"]), "doctor_id")
+    # One small row per doctor; its presence is the reference check on doctors.
+    waits = settle(predicted_wait(t["doctors"], t["appointments"]), "waits")
+    checked = exists_flag(requests.select(SEQ, "patient_id", *SLOT_KEY), "patient_id", t["patients"], "patient_id",
+                          "_patient")
+    checked = exists_flag(checked, "doctor_id", waits, "doctor_id", "_doctor").select(
+        SEQ, *SLOT_KEY, F.lit(True).alias("present"), F.lit(None).cast("string").alias("absence"),
+        _all_given("patient_id", *SLOT_KEY).alias("complete"), (F.col("_patient") & F.col("_doctor")).alias("valid"))
+    state = _slot_state(checked, requests, t["appointments"])
+    ids = with_new_ids(_winners(state), t["appointments"], "appointments", high_water)
+    accepted = (requests.join(ids, SEQ).join(waits, "doctor_id")
                 .select(SEQ, "appointment_id", "patient_id", "doctor_id", "appointment_date", "time_slot",
                         F.lit("Scheduled").alias("status"), F.coalesce("symptoms", F.lit("")).alias("symptoms"),
                         F.coalesce(money("fees"), money(F.lit(DEFAULT_FEE))).alias("fees"),
                         F.col("predicted_wait").alias("wait_time_minutes"),
                         F.lit(DEFAULT_DURATION).alias("duration_minutes"), F.lit(as_of).alias("created_at")))
     return Outcome({"appointments": with_new_rows(t["appointments"], accepted)}, accepted,
-                   decided.filter("reason IS NOT NULL"), audit.booking_audit(accepted, as_of, by_patient=False))
+                   _refusals(checked, state), audit.booking_audit(accepted, as_of, by_patient=False))
 
 
 def book_as_patient(t: Tables, requests: DataFrame, as_of: str, high_water: int | None = None,
@@ -73,30 +83,22 @@ def book_as_patient(t: Tables, requests: DataFrame, as_of: str, high_water: int
 
     A request must carry name, age, gender and phone unless its phone is on file at the start.
     """
-    narrow = requests.select(
-        SEQ, "phone", *SLOT_KEY,
-        (F.col("name").isNotNull() & F.col("age").isNotNull() & F.col("gender").isNotNull()
-         & F.col("phone").isNotNull()).alias("_details"))
-    narrow = resolve_patients(narrow, t["patients"])
-    narrow = exists_flag(narrow, "doctor_id", t["doctors"], "doctor_id", "valid")
-    narrow = check_availability(narrow, t["doctor_availability"]).select(
-        SEQ, "phone", "known_patient_id", *SLOT_KEY, "availability_verdict", "valid",
-        ((F.col("known_patient_id").isNotNull() | F.col("_details")) & F.col("doctor_id").isNotNull()
-         & F.col("appointment_date").isNotNull() & F.col("time_slot").isNotNull()).alias("complete"))
+    checked = requests.select(SEQ, "phone", *SLOT_KEY, _all_given("name", "age", "gender", "phone").alias("_details"))
+    checked = resolve_patients(checked, t["patients"])
+    checked = exists_flag(checked, "doctor_id", t["doctors"], "doctor_id", "valid")
+    verdict = F.col("availability_verdict")
     # A doctor's absence comes before the slot: such requests neither win nor lose it.
-    present = F.col("availability_verdict") == "open"
-    decided = _decide(narrow, requests, t["appointments"], present).withColumn(
-        "reason", F.when(present, F.col("reason")).otherwise(F.col("availability_verdict")))
-    decided = settle(decided.select(SEQ, "phone", "known_patient_id", "reason"), "patient-bookings")
-    admitted = decided.filter("reason IS NULL").select(SEQ, "phone", "known_patient_id")
-
-    first_calls = (admitted.filter("known_patient_id IS NULL").groupBy("phone").agg(F.min(SEQ).alias(SEQ)))
-    registered = with_new_ids(first_calls, t["patients"], "patients", patient_high_water)
+    checked = check_availability(checked, t["doctor_availability"]).select(
+        SEQ, "phone", "known_patient_id", *SLOT_KEY, (verdict == "open").alias("present"), verdict.alias("absence"),
+        "valid", ((F.col("known_patient_id").isNotNull() | F.col("_details")) & _all_given(*SLOT_KEY)).alias("complete"))
+    state = _slot_state(checked, requests, t["appointments"])
+    admitted = settle(_winners(state).join(checked.select(SEQ, "phone", "known_patient_id"), SEQ), "admitted")
+
+    first_calls = admitted.filter("known_patient_id IS NULL").groupBy("phone").agg(F.min(SEQ).alias(SEQ))
+    registered = settle(with_new_ids(first_calls, t["patients"], "patients", patient_high_water), "registered")
     by_phone = registered.select("phone", F.col("patient_id").alias("_new_patient_id"))
-    ids = with_new_ids(admitted.select(SEQ), t["appointments"], "appointments", high_water)
-    accepted = (requests.join(ids, SEQ)
-                .join(admitted.select(SEQ, "known_patient_id"), SEQ)
-                .join(by_phone, "phone", "left")
+    ids = with_new_ids(admitted, t["appointments"], "appointments", high_water).drop("phone")
+    accepted = (requests.join(ids, SEQ).join(by_phone, "phone", "left")
                 .select(SEQ, "appointment_id", F.coalesce("known_patient_id", "_new_patient_id").alias("patient_id"),
                         "doctor_id", "appointment_date", "time_slot", F.lit("Scheduled").alias("status"),
                         F.coalesce("symptoms", F.lit("")).alias("symptoms"),
@@ -105,10 +107,9 @@ def book_as_patient(t: Tables, requests: DataFrame, as_of: str, high_water: int
     new_patients = (requests.select(SEQ, "name", "age", "gender").join(registered, SEQ)
                     .select("patient_id", "name", "age", "gender", "phone",
                             F.lit(as_of[:10]).alias("registration_date"), F.lit("Active").alias("status")))
-    rejected = decided.filter("reason IS NOT NULL").select(SEQ, "reason")
     return Outcome({"appointments": with_new_rows(t["appointments"], accepted),
                     "patients": with_new_rows(t["patients"], new_patients)},
-                   accepted, rejected, audit.booking_audit(accepted, as_of, by_patient=True),
+                   accepted, _refusals(checked, state), audit.booking_audit(accepted, as_of, by_patient=True),
                    {"new_patients": new_patients})
 
 

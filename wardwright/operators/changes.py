@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wardwright.functions.ordering import positions
 from wardwright.functions.scalars import stamp
 from wardwright.schemas import KEYS
+from wardwright.session import settle
 
 SEQ = "request_seq"
 FOREIGN_KEY = "foreign key"
@@ -49,28 +50,38 @@ def with_new_ids(rows: DataFrame, table: DataFrame, name: str, high_water: int |
                 .drop("_position"))
 
 
+# A join side that comes out of an aggregation on the join key is already partitioned by it,
+# so Spark adds no shuffle there, and without one the adaptive skew join cannot split a hot
+# key on the other side. Such sides are settled first: read back, they are broadcast if they are
+# small by their true size, or shuffled, and then hot keys are split.
+
 def only_wanted(table: DataFrame, keys: list[str], requests: DataFrame) -> DataFrame:
     """The rows of a large table that a batch of requests asks for.
 
     The distinct request keys are the build side of a semi join: a batch that fits
-    the broadcast limit by its size filters the table during its scan, with
-    partition pruning where a key column is a partition column; a larger one is
-    shuffled. Either way only matching rows go on.
+    the broadcast limit filters the table during its scan, with partition pruning
+    where a key column is a partition column; a larger one is shuffled. Either way
+    only matching rows go on.
     """
-    return table.join(requests.select(*keys).distinct(), keys, "left_semi")
+    wanted = settle(requests.select(*keys).distinct(), "wanted-keys")
+    return table.join(wanted, keys, "left_semi")
 
 
 def exists_flag(requests: DataFrame, column: str, parent: DataFrame, parent_key: str, out: str) -> DataFrame:
-    """Add `out`: is `column` a key of `parent`? The parent side is unique and one column wide,
-    so a hot value on the request side is split by the adaptive skew join."""
-    keys = only_wanted(parent.select(F.col(parent_key).alias(column)), [column], requests)
-    return (requests.join(keys.withColumn(out, F.lit(True)), column, "left")
-                    .withColumn(out, F.coalesce(out, F.lit(False))))
+    """Add `out`: is `column` a key of `parent`? For the parents that stay small next to the requests'
+    tables: people, doctors, departments. Only the key column is read."""
+    keys = parent.select(F.col(parent_key).alias(column), F.lit(True).alias(out))
+    return requests.join(keys, column, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
+def known_keys(requests: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The requested keys that a large table holds, as a settled one-column table."""
+    return settle(only_wanted(table.select(key), [key], requests), "known-keys")
 
 
 def split_known(requests: DataFrame, table: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Requests whose key is in the table, and the others as rejections."""
-    keys = only_wanted(table.select(key), [key], requests)
+    keys = known_keys(requests, table, key)
     unknown = requests.join(keys, key, "left_anti").select(SEQ, F.lit(NOT_FOUND).alias("reason"))
     return requests.join(keys, key, "left_semi"), unknown
 

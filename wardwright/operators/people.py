@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardwright.functions.scalars import stamp
 from wardwright.operators import audit
-from wardwright.operators.changes import FOREIGN_KEY, NOT_FOUND, NOT_NULL, SEQ, Outcome, exists_flag, only_wanted, with_new_ids
+from wardwright.operators.changes import FOREIGN_KEY, NOT_FOUND, NOT_NULL, SEQ, Outcome, exists_flag, with_new_ids
 from wardwright.schemas import PATCHABLE_PATIENT_COLUMNS, REQUIRED
 from wardwright.session import settle
 from wardwright.sources.sinks import with_new_rows
@@ -151,14 +151,15 @@ def delete_patients(t: Tables, deletions: DataFrame, as_of: str) -> Outcome:
     Patients billed directly or through one of their appointments stay. A bed
     keeps its Occupied status, which the bed consistency rule then reports.
     """
-    wanted = deletions.groupBy(F.col("id").alias("patient_id")).agg(F.min(SEQ).alias("_first"))
+    wanted = settle(deletions.groupBy(F.col("id").alias("patient_id")).agg(F.min(SEQ).alias("_first")), "asked")
     ids = wanted.select("patient_id")
-    named = only_wanted(t["patients"].select("patient_id", "name", F.lit(True).alias("_known")), ["patient_id"], ids)
+    named = t["patients"].select("patient_id", "name", F.lit(True).alias("_known"))
     targets = wanted.join(named, "patient_id", "left")
-    visits = only_wanted(t["appointments"].select("patient_id", "appointment_id"), ["patient_id"], ids)
-    billed_visits = visits.join(t["bills"].filter("appointment_id IS NOT NULL").select("appointment_id"),
+    visits = t["appointments"].select("patient_id", "appointment_id").join(ids, "patient_id", "left_semi")
+    # Visits are unique; the billed ones are made so before the join, in case one visit has many bills.
+    billed_visits = visits.join(t["bills"].filter("appointment_id IS NOT NULL").select("appointment_id").distinct(),
                                 "appointment_id", "left_semi")
-    billed = only_wanted(t["bills"].select("patient_id"), ["patient_id"], ids).unionByName(
+    billed = t["bills"].select("patient_id").join(ids, "patient_id", "left_semi").unionByName(
         billed_visits.select("patient_id")).distinct().withColumn("_billed", F.lit(True))
     # One row per id asked for; all outputs follow from it.
     verdicts = settle(targets.join(billed, "patient_id", "left"), "deletions")

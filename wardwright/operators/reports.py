@@ -50,8 +50,9 @@ def bill_list(t: Tables) -> DataFrame:
 
 
 def patients_with_bills(t: Tables) -> DataFrame:
-    """Patients with at least one bill, by name."""
-    return (t["patients"].join(t["bills"], "patient_id", "left_semi")
+    """Patients with at least one bill, by name. Bills collapse to distinct patients before the shuffle."""
+    billed = t["bills"].select("patient_id").distinct()
+    return (t["patients"].join(billed, "patient_id", "left_semi")
             .select("patient_id", "name", "phone").orderBy("name", "patient_id"))
 
 

@@ -10,6 +10,7 @@ from wardwright.operators.changes import only_wanted
 from wardwright.operators.filters import equal_where_given, in_hours, occupying
 from wardwright.operators.loads import doctor_load
 from wardwright.schemas import DAY_END, DAY_START, DEFAULT_NOTE, DEFAULT_WAIT, HORIZON_DAYS, SLOT_GRID
+from wardwright.session import settle
 from wardwright.sources.calendar import days_ahead, slot_grid
 
 Tables = dict[str, DataFrame]
@@ -78,7 +79,7 @@ def patient_by_phone(patients: DataFrame) -> DataFrame:
 def resolve_patients(requests: DataFrame, patients: DataFrame) -> DataFrame:
     """Add `known_patient_id`, NULL for phones not on file."""
     called = only_wanted(patients.select("phone", "patient_id"), ["phone"], requests)
-    known = patient_by_phone(called).withColumnRenamed("patient_id", "known_patient_id")
+    known = settle(patient_by_phone(called).withColumnRenamed("patient_id", "known_patient_id"), "known-phones")
     return requests.join(known, "phone", "left")
 
 

@@ -20,15 +20,17 @@ def assign_beds(t: Tables, requests: DataFrame, as_of: str) -> Outcome:
                           "_patient")
     checked = checked.withColumn("valid", F.col("_patient") | F.col("patient_id").isNull()).drop("_patient")
     free = t["beds"].filter(F.col("status") == "Available").select("bed_id", F.lit(True).alias("free"))
-    per_bed = first_valid(checked, ["bed_id"], "valid").join(free, "bed_id", "left")
-    decided = checked.join(per_bed, "bed_id", "left").withColumn(
-        "reason", admission(F.col("free").isNull(), F.col(SEQ), F.col("winner"), F.col("valid"), NOT_AVAILABLE))
-    decided = settle(decided.select(SEQ, "bed_id", "patient_id", "reason"), "bed-assignments")
-    accepted = decided.filter("reason IS NULL").select(SEQ, "bed_id", "patient_id")
+    # One row per requested bed; the accepted requests are read off it.
+    per_bed = settle(first_valid(checked, ["bed_id"], "valid").join(free, "bed_id", "left"), "bed-requests")
+    winners = per_bed.filter("free AND winner IS NOT NULL").select(F.col("winner").alias(SEQ))
+    accepted = settle(requests.select(SEQ, "bed_id", "patient_id").join(winners, SEQ), "bed-assignments")
+    reason = admission(F.col("free").isNull(), F.col(SEQ), F.col("winner"), F.col("valid"), NOT_AVAILABLE)
+    rejected = (checked.join(per_bed, "bed_id", "left").withColumn("reason", reason)
+                .filter("reason IS NOT NULL").select(SEQ, "reason"))
     state = update_by_key(t["beds"], "bed_id", accepted.select("bed_id", "patient_id"), {
         "status": F.lit("Occupied"), "patient_id": F.col("c.patient_id"), "admitted_date": F.lit(as_of)})
     trail = audit.bed_audit(accepted.withColumn("old_status", F.lit("Available")), as_of)
-    return Outcome({"beds": state}, accepted, decided.filter("reason IS NOT NULL").select(SEQ, "reason"), trail)
+    return Outcome({"beds": state}, accepted, rejected, trail)
 
 
 def release_beds(t: Tables, requests: DataFrame) -> Outcome:

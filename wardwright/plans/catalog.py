@@ -747,8 +747,8 @@ def _(b):
     WHERE EXISTS (SELECT 1 FROM bills b WHERE b.patient_id = p.patient_id)""")
 def _(b):
     views.register_views(b.spark, b.tables)
-    return b.spark.sql("SELECT patient_id, name, phone FROM patients p "
-                       "WHERE EXISTS (SELECT 1 FROM bills b WHERE b.patient_id = p.patient_id)")
+    return b.spark.sql("SELECT patient_id, name, phone FROM patients p WHERE EXISTS "
+                       "(SELECT 1 FROM (SELECT DISTINCT patient_id FROM bills) b WHERE b.patient_id = p.patient_id)")
 
 
 # --- change sets ----------------------------------------------------------------------------
