@@ -65,25 +65,26 @@ CTES: dict[str, str] = {
                CAST(total_amount - half AS {MONEY}) AS consultation_fees, CAST(0 AS {MONEY}) AS medicine_charges,
                CAST(extra AS {MONEY}) AS test_charges, total_amount, cov AS insurance_coverage,
                CAST(total_amount - cov AS {MONEY}) AS patient_payable, bill_date, status
-        FROM (SELECT o_orderkey AS bill_id, o_custkey AS patient_id,
+        FROM (SELECT o_orderkey AS bill_id,
+                     o_custkey + CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END AS patient_id,
                      CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey END AS appointment_id,
                      CAST(o_totalprice AS {MONEY}) AS total_amount,
                      CAST(floor(CAST(o_totalprice AS {MONEY}) / 2) AS {MONEY}) AS half,
                      CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN 1 ELSE 0 END AS extra,
-                     CASE WHEN o_custkey % 5 <> 0
+                     CASE WHEN (o_custkey + CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END) % 5 <> 0
                           THEN CAST(round(CAST(o_totalprice AS {MONEY}) * 0.70, 2) AS {MONEY})
                           ELSE CAST(0 AS {MONEY}) END AS cov,
                      strftime(o_orderdate, '%Y-%m-%d') AS bill_date,
                      CASE WHEN o_orderstatus = 'P' THEN 'Pending' ELSE 'Paid' END AS status
-              FROM orders WHERE o_custkey % 3 <> 0)""",
+              FROM orders)""",
     "doctor_availability": f"""
         SELECT s_suppkey * 3 + d AS avail_id, s_suppkey AS doctor_id,
-               CAST(DATE '{AS_OF}' + CAST(d AS INTEGER) AS VARCHAR) AS avail_date,
+               CAST(DATE '{AS_OF}' + CAST(d + s_suppkey % 2 * 7 AS INTEGER) AS VARCHAR) AS avail_date,
                CASE WHEN s_suppkey % 8 = 0 THEN '10:00' ELSE '09:00' END AS start_time,
                CASE WHEN s_suppkey % 8 = 0 THEN '13:00' ELSE '17:00' END AS end_time,
                NOT (s_suppkey % 6 = 0 AND d = 1) AS is_available,
                CASE WHEN s_suppkey % 6 = 0 AND d = 1 THEN 'Leave' END AS notes
-        FROM supplier, (SELECT unnest([0, 1, 2]) AS d) WHERE s_suppkey % 2 = 0""",
+        FROM supplier, (SELECT unnest([0, 1, 2]) AS d)""",
     "audit_log": """
         SELECT appointment_id AS log_id, 'appointments' AS table_name, appointment_id AS record_id,
                'STATUS_CHANGE' AS action, 'Scheduled' AS old_value, status AS new_value,

@@ -34,9 +34,12 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: `spark.checkpoint.dir`, or a fresh one where unset (tests)."""
+    """The folder all executors see: `spark.checkpoint.dir`. Only a local session may do without
+    the setting; it gets a fresh folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.conf.get("spark.master").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="wardwright-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured

@@ -138,8 +138,10 @@ class Bindings:
         total = money("o_totalprice")
         bed = money(F.floor(total / 2))
         covered = coverage("total_amount", F.col("patient_id") % 5 != 0)
-        orders = self.raw("orders").filter("o_custkey % 3 != 0").select(
-            F.col("o_orderkey").alias("bill_id"), F.col("o_custkey").alias("patient_id"),
+        # All orders; every third customer's go to the next one, so that some patients have no bill.
+        payer = F.col("o_custkey") + F.when(F.col("o_custkey") % 3 == 0, 1).otherwise(0)
+        orders = self.raw("orders").select(
+            F.col("o_orderkey").alias("bill_id"), payer.alias("patient_id"),
             F.when(F.col("o_orderkey") % 50 == 0, F.col("o_orderkey")).alias("appointment_id"),
             bed.alias("bed_charges"), money(total - bed).alias("consultation_fees"),
             money(F.lit(0)).alias("medicine_charges"),
@@ -155,11 +157,12 @@ class Bindings:
 
     @cached_property
     def doctor_availability(self) -> DataFrame:
-        days = self.raw("supplier").filter("s_suppkey % 2 = 0").select(
+        # Three days each; those of odd doctors lie a week later, so that the days asked for need defaults.
+        days = self.raw("supplier").select(
             "s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("d"))
         return days.selectExpr(
             "s_suppkey * 3 + d AS avail_id", "s_suppkey AS doctor_id",
-            f"CAST(date_add(DATE'{AS_OF}', d) AS STRING) AS avail_date",
+            f"CAST(date_add(DATE'{AS_OF}', CAST(d + s_suppkey % 2 * 7 AS INT)) AS STRING) AS avail_date",
             "IF(s_suppkey % 8 = 0, '10:00', '09:00') AS start_time",
             "IF(s_suppkey % 8 = 0, '13:00', '17:00') AS end_time",
             "NOT (s_suppkey % 6 = 0 AND d = 1) AS is_available",
