@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardwright.operators import filters, quality, reports, scheduling
+from wardwright.operators.changes import only_wanted
 from wardwright.plans import views
 from wardwright.session import scratch_path
 from wardwright.sources import sinks, tables
@@ -88,3 +89,16 @@ def test_sorts_have_a_unique_last_key(stored):
                     (reports.audit_history(stored["audit_log"]), "log_id"), (tables.upload_manifest(stored["uploads"]), "upload_id"),
                     (reports.availability_roster(stored), "avail_id")):
         assert re.search(r"rangepartitioning\([^)]*" + key, plan(df))
+
+
+def test_small_batches_filter_the_appointment_scan(stored):
+    asked = stored["appointments"].select(*scheduling.SLOT_KEY)
+    text = plan(only_wanted(scheduling.occupied_slots(stored["appointments"]), scheduling.SLOT_KEY, asked))
+    # The semi join lies below the aggregation, as a broadcast.
+    assert text.index("HashAggregate") < text.index("BroadcastHashJoin") and "LeftSemi, BuildRight" in text
+
+
+def test_large_batches_meet_aggregated_appointments(stored, no_broadcast):
+    asked = stored["appointments"].select(*scheduling.SLOT_KEY)
+    text = plan(only_wanted(scheduling.occupied_slots(stored["appointments"]), scheduling.SLOT_KEY, asked))
+    assert text.index("SortMergeJoin") < text.index("HashAggregate") and text.count("Exchange") == 2

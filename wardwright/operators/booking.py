@@ -27,7 +27,7 @@ def _slot_state(checked: DataFrame, requests: DataFrame, appointments: DataFrame
     One row per slot, settled. The accepted requests are read off it directly;
     requests meet it again only to learn why they were refused.
     """
-    held = occupied_slots(only_wanted(appointments, SLOT_KEY, requests)).withColumn("held", F.lit(True))
+    held = only_wanted(occupied_slots(appointments), SLOT_KEY, requests).withColumn("held", F.lit(True))
     return settle(first_valid(checked, SLOT_KEY, F.col("present") & F.col("complete") & F.col("valid"))
                   .join(held, SLOT_KEY, "left"), "slots")
 
@@ -95,7 +95,7 @@ def book_as_patient(t: Tables, requests: DataFrame, as_of: str, high_water: int
     admitted = settle(_winners(state).join(checked.select(SEQ, "phone", "known_patient_id"), SEQ), "admitted")
 
     first_calls = admitted.filter("known_patient_id IS NULL").groupBy("phone").agg(F.min(SEQ).alias(SEQ))
-    registered = settle(with_new_ids(first_calls, t["patients"], "patients", patient_high_water), "registered")
+    registered = with_new_ids(first_calls, t["patients"], "patients", patient_high_water)
     by_phone = registered.select("phone", F.col("patient_id").alias("_new_patient_id"))
     ids = with_new_ids(admitted, t["appointments"], "appointments", high_water).drop("phone")
     accepted = (requests.join(ids, SEQ).join(by_phone, "phone", "left")

@@ -56,15 +56,16 @@ def with_new_ids(rows: DataFrame, table: DataFrame, name: str, high_water: int |
 # small by their true size, or shuffled, and then hot keys are split.
 
 def only_wanted(table: DataFrame, keys: list[str], requests: DataFrame) -> DataFrame:
-    """The rows of a large table that a batch of requests asks for.
-
-    The distinct request keys are the build side of a semi join: a batch that fits
-    the broadcast limit filters the table during its scan, with partition pruning
-    where a key column is a partition column; a larger one is shuffled. Either way
-    only matching rows go on.
+    """The rows of a large table that a batch of requests asks for. `table` is unique in `keys`,
+    by nature or because it is aggregated by them.
+
+    The distinct request keys are the build side of a semi join. Where they fit
+    the broadcast limit, Catalyst moves the join below the aggregation: the table
+    is filtered during its scan, with partition pruning where a key column is a
+    partition column. A larger batch meets the aggregated table, so a key with a
+    third of all rows has shrunk to one row before anything is shuffled.
     """
-    wanted = settle(requests.select(*keys).distinct(), "wanted-keys")
-    return table.join(wanted, keys, "left_semi")
+    return table.join(requests.select(*keys).distinct(), keys, "left_semi")
 
 
 def exists_flag(requests: DataFrame, column: str, parent: DataFrame, parent_key: str, out: str) -> DataFrame:

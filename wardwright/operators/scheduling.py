@@ -52,8 +52,8 @@ def open_slots(doctor_days: DataFrame, appointments: DataFrame, availability: Da
     the grid in place; only the answer is expanded to slots.
     """
     day = ["doctor_id", "appointment_date"]
-    taken = (only_wanted(appointments.filter(occupying() & F.col("time_slot").isin(*SLOT_GRID)), day, doctor_days)
-             .groupBy(*day).agg(F.collect_set("time_slot").alias("taken")))
+    taken = only_wanted(appointments.filter(occupying() & F.col("time_slot").isin(*SLOT_GRID))
+                        .groupBy(*day).agg(F.collect_set("time_slot").alias("taken")), day, doctor_days)
     asked = doctor_days.select(*day).join(availability_by_day(availability), day, "left").join(taken, day, "left")
     at_work = F.coalesce("is_available", F.lit(True))
     free = F.array_except(slot_grid(), F.coalesce("taken", F.array().cast("array<string>")))
@@ -78,8 +78,8 @@ def patient_by_phone(patients: DataFrame) -> DataFrame:
 
 def resolve_patients(requests: DataFrame, patients: DataFrame) -> DataFrame:
     """Add `known_patient_id`, NULL for phones not on file."""
-    called = only_wanted(patients.select("phone", "patient_id"), ["phone"], requests)
-    known = settle(patient_by_phone(called).withColumnRenamed("patient_id", "known_patient_id"), "known-phones")
+    called = only_wanted(patient_by_phone(patients), ["phone"], requests)
+    known = settle(called.withColumnRenamed("patient_id", "known_patient_id"), "known-phones")
     return requests.join(known, "phone", "left")
 
 
