@@ -37,11 +37,11 @@ def test_bed_reports(ward):
 
 def test_ward_rollup_nests_in_order_and_splits_by_block(ward):
     occupancy = views.bed_occupancy(ward)
-    whole = reports.ward_rollup(occupancy).collect()
+    whole = reports.ward_rollup(occupancy, ward["beds"]).collect()
     assert [r.ward_name for r in whole][:2] == ["Alder", "Birch"] and len(whole) == 9
     assert [b.bed_number for b in whole[0].beds] == ["BED-001", "BED-002", "BED-003", "BED-004"]
     assert whole[0].beds[0].patient_name == "Patient 1" and whole[0].ward_type == "ICU"
-    split = reports.ward_rollup(occupancy, beds_per_row=3)
+    split = reports.ward_rollup(occupancy, ward["beds"], beds_per_row=3)
     assert split.agg(F.max(F.size("beds"))).first()[0] <= 3
     assert split.agg(F.sum(F.size("beds"))).first()[0] == 45
 
@@ -68,8 +68,13 @@ def test_top_and_left_join_counts(ward):
 
 def test_orders(ward):
     details = views.appointment_details(ward)
-    recent = [(r.appointment_date, r.time_slot) for r in reports.recent_appointments(details).collect()]
+    recent = [(r.appointment_date, r.time_slot) for r in views.recent_appointments(ward).collect()]
     assert recent == sorted(recent, reverse=True) and len(recent) == 8
+    # Appointments whose patient is missing are not in the view: the next ones move up.
+    lost = dict(ward, patients=ward["patients"].filter("patient_id != 15"))
+    assert [r.appointment_id for r in views.recent_appointments(lost, 3).collect()] == [14, 13, 12]
+    assert [r.appointment_id for r in views.appointment_sample(ward, 3).collect()] == [1, 2, 3]
+    assert views.recent_appointments(ward, 100).count() == 15
     pending = [r.appointment_date for r in filters.pending_queue(details).collect()]
     assert pending == ["2024-04-02", "2024-04-07", "2024-04-12"]
     assert [r.appointment_id for r in reports.scheduled_sample(ward["appointments"], 2).collect()] == [2, 7]
@@ -88,6 +93,7 @@ def test_money_totals(ward):
 def test_dashboard(spark, ward):
     bundle = dashboard.dashboard(spark, ward)
     assert tuple(bundle["headline"].first()) == (15, 12, 3, 39, 45, Decimal(1700))
+    assert tuple(dashboard.headline_counts(spark, ward).first()) == (15, 12, 3, 39, 45, Decimal(1700))
     assert rows_of(bundle["appt_by_status"]) == [
         ("Cancelled", 3), ("Completed", 3), ("Confirmed", 3), ("No-Show", 3), ("Scheduled", 3)]
     waits = [r.avg_wait for r in bundle["wait_times"].collect()]

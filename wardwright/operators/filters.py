@@ -27,9 +27,13 @@ def equal_where_given(rows: DataFrame, **wanted) -> DataFrame:
     return rows
 
 
-def latest_first(details: DataFrame) -> DataFrame:
+def latest_order() -> list[Column]:
     """Date and slot descending. The id makes the order total and splits busy slots over sort tasks."""
-    return details.orderBy(F.desc("appointment_date"), F.desc("time_slot"), F.desc("appointment_id"))
+    return [F.desc("appointment_date"), F.desc("time_slot"), F.desc("appointment_id")]
+
+
+def latest_first(details: DataFrame) -> DataFrame:
+    return details.orderBy(*latest_order())
 
 
 def appointment_list(details: DataFrame, status: str = "", date: str = "") -> DataFrame:

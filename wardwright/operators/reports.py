@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardwright.functions.scalars import money, occupancy_percent
-from wardwright.operators.filters import latest_first
 from wardwright.operators.loads import department_load, doctor_load
 
 Tables = dict[str, DataFrame]
@@ -143,35 +142,31 @@ def ward_summary(beds: DataFrame) -> DataFrame:
                                          F.count(F.lit(1)).alias("bed_count"))
 
 
-def ward_beds(occupancy: DataFrame) -> DataFrame:
+def ward_beds(occupancy: DataFrame, beds: DataFrame) -> DataFrame:
     """Beds under their ward, with the ward's type, in ward and bed order."""
-    wards = ward_summary(occupancy).select("ward_name", "ward_type")
+    wards = ward_summary(beds).select("ward_name", "ward_type")
     return (occupancy.join(wards, "ward_name")
             .select("ward_name", "ward_type", "bed_number", "bed_id", "status", "patient_name")
             .orderBy("ward_name", "bed_number"))
 
 
-def ward_rollup(occupancy: DataFrame, beds_per_row: int = 1024) -> DataFrame:
+def ward_rollup(occupancy: DataFrame, beds: DataFrame, beds_per_row: int = 1024) -> DataFrame:
     """Ward -> type and ordered list of beds.
 
     A row holds the beds of one block of `beds_per_row` consecutive bed ids, so a
     list is bounded however large the ward; a ward within one block is one row.
     """
-    beds = F.struct("bed_number", "bed_id", "status", "patient_name")
+    bed = F.struct("bed_number", "bed_id", "status", "patient_name")
     block = F.floor(F.col("bed_id") / beds_per_row).alias("bed_block")
     lists = (occupancy.groupBy("ward_name", block)
-             .agg(F.array_sort(F.collect_list(beds)).alias("beds")))
-    return (lists.join(ward_summary(occupancy), "ward_name")
+             .agg(F.array_sort(F.collect_list(bed)).alias("beds")))
+    return (lists.join(ward_summary(beds), "ward_name")
             .select("ward_name", "ward_type", "bed_count", "bed_block", "beds")
             .orderBy("ward_name", "bed_block"))
 
 
 # --- top-k and samples -------------------------------------------------------
 
-def recent_appointments(details: DataFrame, k: int = 8) -> DataFrame:
-    return latest_first(details).limit(k)
-
-
 def first_rows(rows: DataFrame, key: str, k: int = 5) -> DataFrame:
     """A k-row sample, defined by the lowest keys."""
     return rows.orderBy(key).limit(k)

@@ -509,13 +509,13 @@ _WARD_SQL = """
 
 @query("a16_ward_rollup", _WARD_SQL)
 def _(b):
-    return reports.ward_rollup(views.bed_occupancy(b.tables)).select(
+    return reports.ward_rollup(views.bed_occupancy(b.tables), b.beds).select(
         "ward_name", "ward_type", "bed_count", F.inline("beds"))
 
 
 @query("a16_ward_beds", f"SELECT * EXCLUDE (bed_count) FROM ({_WARD_SQL})")
 def _(b):
-    return reports.ward_beds(views.bed_occupancy(b.tables))
+    return reports.ward_beds(views.bed_occupancy(b.tables), b.beds)
 
 
 @query("a17_dashboard_headline", """
@@ -526,7 +526,7 @@ def _(b):
            (SELECT count(*) FROM beds) AS total_beds,
            (SELECT CAST(round(coalesce(sum(total_amount), 0), 2) AS DOUBLE) FROM bills) AS total_revenue""")
 def _(b):
-    return dashboard.dashboard(b.spark, b.tables)["headline"]
+    return dashboard.headline_counts(b.spark, b.tables)
 
 
 @query("a17_dashboard_sections", f"""
@@ -568,12 +568,12 @@ def _(b):
     SELECT {DETAILS} FROM v_appointment_details
     ORDER BY appointment_date DESC, time_slot DESC, appointment_id DESC LIMIT 8""")
 def _(b):
-    return reports.recent_appointments(views.appointment_details(b.tables))
+    return views.recent_appointments(b.tables)
 
 
 @query("s4_view_sample", f"SELECT {DETAILS} FROM v_appointment_details ORDER BY appointment_id LIMIT 5")
 def _(b):
-    return reports.first_rows(views.appointment_details(b.tables), "appointment_id")
+    return views.appointment_sample(b.tables)
 
 
 @query("s4_scheduled_sample", """

@@ -13,11 +13,15 @@ from wardwright.session import settle
 Tables = dict[str, DataFrame]
 
 
-def headline_counts(spark: SparkSession, t: Tables, load: DataFrame) -> DataFrame:
-    """The six scalars in one row, as scalar subqueries; both bed counts come from one scan."""
+def headline_counts(spark: SparkSession, t: Tables, load: DataFrame | None = None) -> DataFrame:
+    """The six scalars in one row, as scalar subqueries; both bed counts come from one scan.
+    With a settled `load` the appointments need no scan of their own."""
     beds = t["beds"].agg(F.struct(F.count_if(F.col("status") == "Available").alias("available"),
                                   F.count(F.lit(1)).alias("total"))).scalar()
-    scheduled = load.agg(F.coalesce(F.sum(F.when(F.col("status") == "Scheduled", F.col("n"))), F.lit(0))).scalar()
+    if load is None:
+        scheduled = reports.filtered_count(t["appointments"], "Scheduled").scalar()
+    else:
+        scheduled = load.agg(F.coalesce(F.sum(F.when(F.col("status") == "Scheduled", F.col("n"))), F.lit(0))).scalar()
     return spark.range(1).select(
         reports.row_count(t["patients"]).scalar().alias("total_patients"),
         reports.filtered_count(t["doctors"], "Active").scalar().alias("total_doctors"),
@@ -36,6 +40,6 @@ def dashboard(spark: SparkSession, t: Tables) -> dict[str, DataFrame]:
         "appt_by_status": load.groupBy("status").agg(F.sum("n").alias("cnt")),
         "dept_stats": views.dept_stats(t, per_doctor),
         "bed_by_type": reports.beds_by_type(t["beds"]),
-        "recent_appts": reports.recent_appointments(views.appointment_details(t)),
+        "recent_appts": views.recent_appointments(t),
         "wait_times": reports.mean_wait_by_department(t, per_doctor),
     }

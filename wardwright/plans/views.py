@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardwright.operators.filters import latest_order
 from wardwright.operators.loads import department_load
+from wardwright.session import settle
 
 Tables = dict[str, DataFrame]
 
@@ -28,6 +30,29 @@ def appointment_details(t: Tables) -> DataFrame:
         "time_slot", "status", "fees", "symptoms", "diagnosis", "duration_minutes")
 
 
+def leading_appointments(t: Tables, order: list[Column], k: int) -> DataFrame:
+    """The first `k` rows of the appointment view in `order`, without joining the whole table.
+
+    The k leading appointments are found in the scan and only they are joined. If
+    each of them has its patient, doctor and department, they are the answer;
+    otherwise some drop out of the view and the view itself is searched.
+    """
+    leaders = t["appointments"].orderBy(*order).limit(k)
+    star = {"appointments": leaders, **{name: t[name] for name in ("patients", "doctors", "departments")}}
+    found = settle(appointment_details(star), "leading-appointments")
+    rows = found if found.count() == k else appointment_details(t)
+    return rows.orderBy(*order).limit(k)
+
+
+def recent_appointments(t: Tables, k: int = 8) -> DataFrame:
+    return leading_appointments(t, latest_order(), k)
+
+
+def appointment_sample(t: Tables, k: int = 5) -> DataFrame:
+    """A k-row sample of the view, defined by the lowest ids."""
+    return leading_appointments(t, [F.col("appointment_id")], k)
+
+
 def bed_occupancy(t: Tables) -> DataFrame:
     """v_bed_occupancy: every bed, with its patient's name if it has one."""
     b, p = t["beds"], t["patients"]
