@@ -11,8 +11,8 @@ from wardwright.functions.scalars import money
 from wardwright.operators import audit
 from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, admission, exists_flag, first_valid,
                                           last_per_key, only_wanted, split_known, update_by_key, with_new_ids)
-from wardwright.operators.scheduling import (SLOT_KEY, check_availability, occupied_slots, predicted_wait,
-                                             resolve_patients)
+from wardwright.operators.scheduling import (SLOT_KEY, check_availability, known_phones, occupied_slots,
+                                             predicted_wait)
 from wardwright.schemas import DEFAULT_DURATION, DEFAULT_FEE
 from wardwright.session import settle
 from wardwright.sources.sinks import with_new_rows
@@ -84,7 +84,8 @@ def book_as_patient(t: Tables, requests: DataFrame, as_of: str, high_water: int
     A request must carry name, age, gender and phone unless its phone is on file at the start.
     """
     checked = requests.select(SEQ, "phone", *SLOT_KEY, _all_given("name", "age", "gender", "phone").alias("_details"))
-    checked = resolve_patients(checked, t["patients"])
+    on_file = known_phones(requests, t["patients"])
+    checked = checked.join(on_file, "phone", "left")
     checked = exists_flag(checked, "doctor_id", t["doctors"], "doctor_id", "valid")
     verdict = F.col("availability_verdict")
     # A doctor's absence comes before the slot: such requests neither win nor lose it.
@@ -92,7 +93,7 @@ def book_as_patient(t: Tables, requests: DataFrame, as_of: str, high_water: int
         SEQ, "phone", "known_patient_id", *SLOT_KEY, (verdict == "open").alias("present"), verdict.alias("absence"),
         "valid", ((F.col("known_patient_id").isNotNull() | F.col("_details")) & _all_given(*SLOT_KEY)).alias("complete"))
     state = _slot_state(checked, requests, t["appointments"])
-    admitted = settle(_winners(state).join(checked.select(SEQ, "phone", "known_patient_id"), SEQ), "admitted")
+    admitted = settle(_winners(state).join(requests.select(SEQ, "phone"), SEQ).join(on_file, "phone", "left"), "admitted")
 
     first_calls = admitted.filter("known_patient_id IS NULL").groupBy("phone").agg(F.min(SEQ).alias(SEQ))
     registered = with_new_ids(first_calls, t["patients"], "patients", patient_high_water)

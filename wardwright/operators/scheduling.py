@@ -76,11 +76,15 @@ def patient_by_phone(patients: DataFrame) -> DataFrame:
         F.min("patient_id").alias("patient_id"))
 
 
+def known_phones(requests: DataFrame, patients: DataFrame) -> DataFrame:
+    """The requests' phones that are on file, with `known_patient_id`; a settled table."""
+    called = only_wanted(patient_by_phone(patients), ["phone"], requests)
+    return settle(called.withColumnRenamed("patient_id", "known_patient_id"), "known-phones")
+
+
 def resolve_patients(requests: DataFrame, patients: DataFrame) -> DataFrame:
     """Add `known_patient_id`, NULL for phones not on file."""
-    called = only_wanted(patient_by_phone(patients), ["phone"], requests)
-    known = settle(called.withColumnRenamed("patient_id", "known_patient_id"), "known-phones")
-    return requests.join(known, "phone", "left")
+    return requests.join(known_phones(requests, patients), "phone", "left")
 
 
 def _entry_per_day(availability: DataFrame, days: list[str]) -> DataFrame:
