@@ -51,57 +51,95 @@ class Templates:
         self.clear()
 
     def clear(self) -> None:
-        self.words = WordIds()
-        self.count, self.ends = np.zeros(0, np.int64), np.zeros(0, bool)
-        self.kind, self.code = np.zeros((0, 2), np.int64), np.zeros((0, 2), np.uint64)
-        self.value: list[list[str]] = []
+        self.words = WordIds(300_000)
+        self.names: list[str] = []
+        # Per word: number of tokens, whether a sentence ends with it, kind and code of its first token.
+        self.count, self.ends = np.zeros(0, np.int8), np.zeros(0, bool)
+        self.kind, self.code = np.zeros(0, np.int8), np.zeros(0, np.uint64)
 
     def learn(self) -> None:
-        from xxhash import xxh64_intdigest
-
-        fresh = [canonical(w) for w in self.words.take()]
+        fresh = self.words.take()
         if not fresh:
             return
-        self.count = np.concatenate([self.count, [len(t) for t, _ in fresh]])
-        self.ends = np.concatenate([self.ends, [e for _, e in fresh]])
-        padded = [(t + [(NOTHING, "")] * 2)[:2] for t, _ in fresh]
-        self.kind = np.concatenate([self.kind, np.array([[k for k, _ in t] for t in padded], np.int64)])
-        self.code = np.concatenate([self.code, np.array([[xxh64_intdigest(v.encode("utf-8")) for _, v in t] for t in padded], np.uint64)])
-        self.value += [[v for _, v in t] for t in padded]
-
-    def tokens(self, numbers: np.ndarray):
-        """Codes (placeholders for slots), whether each token is a slot, its kind, and the word and place it came from."""
-        starts = np.concatenate([[True], self.ends[numbers[:-1]]])
+        from xxhash import xxh64_intdigest
+
+        count, ends, kind, code = bytearray(), bytearray(), bytearray(), []
+        for word in fresh:
+            bare = word.rstrip(".,!?;:")
+            if bare.isalpha() and bare.islower() and bare not in UNITS:  # most words, without further ado
+                count.append(1)
+                ends.append(_ENDS.search(word) is not None if bare is not word and len(bare) != len(word) else 0)
+                kind.append(LITERAL)
+                code.append(xxh64_intdigest(bare))
+                continue
+            tokens, end = canonical(word)
+            count.append(len(tokens))
+            ends.append(end)
+            kind.append(tokens[0][0] if tokens else LITERAL)
+            code.append(xxh64_intdigest(tokens[0][1]) if tokens else 0)
+        self.names += fresh
+        self.count, self.ends = np.concatenate([self.count, np.frombuffer(count, np.int8)]), np.concatenate([self.ends, np.frombuffer(ends, bool)])
+        self.kind, self.code = np.concatenate([self.kind, np.frombuffer(kind, np.int8)]), np.concatenate([self.code, np.array(code, np.uint64)])
+
+    def _tokens(self, numbers: np.ndarray, first: np.ndarray):
+        """Codes with placeholders, whether each token is a slot, and the word and place it came from. `first`: words
+        that begin a text. A second token of a word is the unit of its number."""
         count = self.count[numbers]
         word = np.repeat(np.arange(len(numbers)), count)
-        place = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
-        kind, code = self.kind[numbers[word], place], self.code[numbers[word], place].copy()
-        after_number = np.concatenate([[False], kind[:-1] == NUMBER]) if len(kind) else np.zeros(0, bool)
-        number, unit, name = kind == NUMBER, (kind == UNIT) & after_number, (kind == CAPITAL) & ~starts[word]
+        second = np.concatenate([[False], word[1:] == word[:-1]]) if len(word) else np.zeros(0, bool)
+        kind, code = self.kind[numbers[word]], self.code[numbers[word]]
+        number = (kind == NUMBER) & ~second
+        start = first | np.concatenate([[True], self.ends[numbers[:-1]]])
+        behind_number = np.concatenate([[False], number[:-1]]) if len(word) else second
+        unit = second | (kind == UNIT) & behind_number & ~first[word]
+        name = (kind == CAPITAL) & ~start[word]
         for slot, at in ((NUMBER, number), (UNIT, unit), (CAPITAL, name)):
             code[at] = _PLACEHOLDER[slot]
-        return code, number | unit | name, kind, numbers[word], place
-
-    def windows(self, numbers: np.ndarray, size: int, wanted: np.ndarray | None):
-        """(hash, position, slot values) of each window with at least half literal tokens, in a text or among `wanted`."""
-        code, slot, kind, word, place = self.tokens(numbers)
-        n = len(code) - size + 1
-        if n <= 0:
-            return len(code), []
-        hashed = np.full(n, size, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(size):
-                hashed = (hashed ^ code[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-                hashed ^= hashed >> np.uint64(29)
-        keep = wanted[(hashed >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] if wanted is not None else np.ones(n, bool)
-        at = np.flatnonzero(keep)
-        slots_before = np.concatenate([[0], np.cumsum(slot)])
-        at = at[2 * (slots_before[at + size] - slots_before[at]) <= size]
-        out = []
-        for i, h in zip(at.tolist(), hashed[at].astype(np.int64).tolist()):
-            inside = np.flatnonzero(slot[i : i + size]) + i
-            out.append({"hash": h, "pos": i, "slots": [f"{kind[j]}:{self.value[word[j]][place[j]]}" for j in inside]})
-        return len(code), out
+        return code, number | unit | name, word, second
+
+    def windows(self, texts: list[str | None], sizes: tuple[int, ...], wanted: np.ndarray | None = None, block: int = 1 << 18):
+        """Per text the number of tokens and (hash, position, slot values) of each window with at least half literal
+        tokens; with `wanted` only of those in the filter. Words are worked on a block at a time."""
+        numbers = [self.words.of_all(matches(_SPACED, t)) if isinstance(t, str) else np.zeros(0, np.int64) for t in texts]
+        self.learn()
+        numbers = [n[self.count[n] > 0] for n in numbers]
+        stream = np.concatenate([*numbers, np.zeros(0, np.int64)])
+        lengths = np.array([len(n) for n in numbers], np.int64)
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        begins = np.cumsum(lengths) - lengths
+        first = np.zeros(len(stream), bool)
+        first[begins[lengths > 0]] = True
+        token_at = np.concatenate([[0], np.cumsum(self.count[stream], dtype=np.int64)])  # tokens before each word
+        found: list[list[dict]] = [[] for _ in texts]
+        for at in range(0, len(stream), block):
+            low, high = max(0, at - 1), min(len(stream), at + block + max(sizes))
+            code, slot, word, second = self._tokens(stream[low:high], first[low:high])
+            word += low
+            for size in sizes:
+                n = len(code) - size + 1
+                if n <= 0:
+                    continue
+                hashed = np.full(n, size, np.uint64)
+                with np.errstate(over="ignore"):
+                    for k in range(size):
+                        hashed = (hashed ^ code[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+                        hashed ^= hashed >> np.uint64(29)
+                keep = (word[:n] >= at) & (word[:n] < at + block) & (owner[word[:n]] == owner[word[size - 1 :]])
+                if wanted is not None:
+                    keep &= wanted[(hashed >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
+                starts = np.flatnonzero(keep)
+                slots_before = np.concatenate([[0], np.cumsum(slot)])
+                starts = starts[2 * (slots_before[starts + size] - slots_before[starts]) <= size]
+                for i in starts.tolist():
+                    inside = (np.flatnonzero(slot[i : i + size]) + i).tolist()
+                    text = int(owner[word[i]])
+                    found[text].append({
+                        "hash": int(hashed[i].astype(np.int64)), "pos": int(token_at[word[i]] + second[i] - token_at[begins[text]]),
+                        "slots": [canonical(self.names[stream[word[j]]])[0][int(second[j])][1] for j in inside]})
+        tokens = token_at[begins + lengths] - token_at[begins]
+        if self.words.full():
+            self.clear()
+        return list(zip(tokens.tolist(), found))
 
 
 WINDOWS_TYPE = "tokens int, windows array<struct<hash:long,pos:int,slots:array<string>>>"
@@ -115,17 +153,7 @@ def _windows(sizes: tuple[int, ...], wanted=None):
         made = Templates()
         bits = None if wanted is None else np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
         for batch in texts:
-            numbers = [made.words.of_all(matches(_SPACED, t)) if isinstance(t, str) else np.zeros(0, np.int64) for t in batch]
-            made.learn()
-            rows = []
-            for own in numbers:
-                tokens, windows = 0, []
-                for size in sizes:
-                    tokens, more = made.windows(own, size, bits)
-                    windows += more
-                rows.append((tokens, windows))
-            if made.words.full():
-                made.clear()
+            rows = [row for at in range(0, len(batch), 100) for row in made.windows(batch[at : at + 100].tolist(), sizes, bits)]
             yield pd.DataFrame(rows, columns=["tokens", "windows"])
 
     return found
@@ -149,14 +177,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", text:
         F.col(item_key).alias("item"), F.col(item_text).alias("_text"))
     # The windows of an item: those of WINDOW tokens, or those of SHORT for an item too short for one.
     plain = items.select("item", _windows((WINDOW,))("_text").alias("w"), _windows((SHORT,))("_text").alias("s"))
-    windows = settle(plain.select("item", F.when(F.col("w.tokens") >= WINDOW, F.col("w.windows")).otherwise(F.col("s.windows")).alias("found"))
-                     .select("item", F.size("found").alias("item_windows"), F.explode("found").alias("x"))
-                     .select("item", "item_windows", F.col("x.hash").alias("hash"), F.col("x.pos").alias("item_pos"), F.col("x.slots").alias("item_slots")), "item-windows")
+    whole = F.col("w.tokens") >= WINDOW
+    windows = settle(plain.select("item", F.when(whole, WINDOW).otherwise(SHORT).alias("size"), F.when(whole, F.col("w.windows")).otherwise(F.col("s.windows")).alias("found"))
+                     .select("item", "size", F.size("found").alias("item_windows"), F.explode("found").alias("x"))
+                     .select("item", "size", "item_windows", F.col("x.hash").alias("hash"), F.col("x.pos").alias("item_pos"), F.col("x.slots").alias("item_slots")), "item-windows")
+    sizes = tuple(sorted(r[0] for r in windows.select("size").distinct().collect())) or (WINDOW,)
     slots = windows.select(F.shiftrightunsigned("hash", 64 - _FILTER_BITS).alias("slot")).distinct().toArrow().column("slot").to_numpy()
     bits = np.zeros(1 << _FILTER_BITS, bool)
     bits[slots] = True
     sent = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-    hits = (docs.where(F.col(doc_key).isNotNull()).select(F.col(doc_key).alias("doc"), _windows((WINDOW, SHORT), sent)(text).alias("w"))
+    hits = (docs.where(F.col(doc_key).isNotNull()).select(F.col(doc_key).alias("doc"), _windows(sizes, sent)(text).alias("w"))
             .select("doc", F.explode("w.windows").alias("x")).select("doc", F.col("x.hash").alias("hash"), F.col("x.pos").alias("doc_pos"), F.col("x.slots").alias("doc_slots")))
     met = hits.join(windows, "hash").withColumn("line", F.col("doc_pos") - F.col("item_pos"))
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
