@@ -28,7 +28,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of `links` (two long columns): root is the smallest node it can reach.
+    """(node, root) for every node of `links` (two long columns) that reaches a smaller one; root is the smallest it reaches.
 
     Alternates two star operations, whose edges stay as many as the links and whose paths
     shorten by half or more each round. Every round is settled in the shared folder; only a
