@@ -41,19 +41,18 @@ def make(spark):
 def ward(spark):
     """Hand-made hospital with as_of = 2024-04-15; names are invented."""
     from decimal import Decimal
-    salaries = [150, 160, 140, 120, 180, 130, 110, 115, 145, 155, 135, 118]
-    depts = [1, 2, 3, 4, 5, 6, 7, 8, 1, 2, 3, 4]
+    salaries = [97, 121, 88, 143, 176, 102, 64, 152, 131, 79, 110, 93]
+    depts = [2, 1, 4, 3, 6, 5, 8, 7, 3, 3, 1, 5]
     statuses = ["Completed", "Scheduled", "Cancelled", "No-Show", "Confirmed"]
-    wards_ = [("Alder", "ICU", 4), ("Birch", "ICU", 4), ("Cedar", "General", 6), ("Dogwood", "General", 6),
-              ("Elm", "Private", 5), ("Fir", "Private", 5), ("Ginkgo", "Semi-Private", 5),
-              ("Hazel", "Semi-Private", 5), ("Ivy", "General", 5)]
-    held = {1: 1, 2: 5, 9: 3, 15: 8, 21: 10}
+    wards_ = [("Alder", "ICU", 3), ("Birch", "General", 7), ("Cedar", "Private", 4), ("Dogwood", "Semi-Private", 6),
+              ("Elm", "General", 9), ("Fir", "ICU", 5), ("Ginkgo", "Private", 8)]
+    held = {2: 4, 5: 1, 12: 9, 23: 2, 31: 7, 36: 12}
     beds, n = [], 0
     for name, kind, count in wards_:
         for _ in range(count):
             n += 1
             beds.append({"bed_id": n, "ward_name": name, "bed_number": f"BED-{n:03d}", "bed_type": kind,
-                         "status": "Occupied" if n in held else "Maintenance" if n == 33 else "Available",
+                         "status": "Occupied" if n in held else "Maintenance" if n == 18 else "Available",
                          "patient_id": held.get(n), "hourly_rate": Decimal(100),
                          "admitted_date": "2024-04-10 08:00" if n in held else None})
     hours = {(3, 1): ("09:00", "17:00", False, "Away"), (1, 2): ("10:00", "13:00", True, "Short day"),

@@ -13,11 +13,11 @@ AS_OF = "2024-04-15"
 
 def test_department_statistics(ward):
     stats = {r.dept_id: r for r in views.dept_stats(ward).collect()}
-    assert [stats[i].total_appointments for i in range(1, 9)] == [3, 3, 3, 2, 1, 1, 1, 1]
-    assert [stats[i].doctor_count for i in range(1, 9)] == [2, 2, 2, 2, 1, 1, 1, 1]
-    # Completed: appointments 1, 6, 11 of doctors 1, 6, 11 in departments 1, 6, 3.
-    assert stats[1].revenue == 500 and stats[6].revenue == 1000 and stats[3].revenue == 1500
-    assert stats[1].avg_wait == 10.0 and stats[2].avg_wait is None and stats[2].revenue == 0
+    assert [stats[i].total_appointments for i in range(1, 9)] == [3, 2, 3, 2, 2, 1, 1, 1]
+    assert [stats[i].doctor_count for i in range(1, 9)] == [2, 1, 3, 1, 2, 1, 1, 1]
+    # Completed: appointments 1, 6, 11 of doctors 1, 6, 11 in departments 2, 5, 1.
+    assert stats[2].revenue == 500 and stats[5].revenue == 1000 and stats[1].revenue == 1500
+    assert stats[2].avg_wait == 10.0 and stats[3].avg_wait is None and stats[3].revenue == 0
 
 
 def test_department_without_doctors_is_kept(ward, make):
@@ -30,29 +30,36 @@ def test_department_without_doctors_is_kept(ward, make):
 
 def test_bed_reports(ward):
     assert rows_of(reports.beds_by_type(ward["beds"])) == [
-        ("General", 17, 15, 2, 0), ("ICU", 8, 6, 2, 0), ("Private", 10, 9, 1, 0), ("Semi-Private", 10, 9, 0, 1)]
-    assert reports.bed_kpis(ward["beds"]).first()["occupancy_pct"] == 11
+        ("General", 16, 14, 2, 0), ("ICU", 8, 6, 2, 0), ("Private", 12, 10, 2, 0), ("Semi-Private", 6, 5, 0, 1)]
+    assert reports.bed_kpis(ward["beds"]).first()["occupancy_pct"] == 14
     assert reports.bed_kpis(ward["beds"].filter("false")).first()["occupancy_pct"] == 0
 
 
-def test_ward_rollup_nests_in_order_and_splits_by_block(ward):
+def test_ward_rollup_nests_in_order_and_splits_by_place(ward, make):
     occupancy = views.bed_occupancy(ward)
     whole = reports.ward_rollup(occupancy, ward["beds"]).collect()
-    assert [r.ward_name for r in whole][:2] == ["Alder", "Birch"] and len(whole) == 9
-    assert [b.bed_number for b in whole[0].beds] == ["BED-001", "BED-002", "BED-003", "BED-004"]
-    assert whole[0].beds[0].patient_name == "Patient 1" and whole[0].ward_type == "ICU"
+    assert [r.ward_name for r in whole][:2] == ["Alder", "Birch"] and len(whole) == 7
+    assert [b.bed_number for b in whole[0].beds] == ["BED-001", "BED-002", "BED-003"]
+    assert whole[0].beds[1].patient_name == "Patient 4" and whole[0].ward_type == "ICU"
     split = reports.ward_rollup(occupancy, ward["beds"], beds_per_row=3)
     assert split.agg(F.max(F.size("beds"))).first()[0] <= 3
-    assert split.agg(F.sum(F.size("beds"))).first()[0] == 45
+    assert split.agg(F.sum(F.size("beds"))).first()[0] == 42
+    elm = [[b.bed_number for b in r.beds] for r in split.filter("ward_name = 'Elm'").collect()]
+    assert elm == [[f"BED-{n:03d}" for n in range(k, k + 3)] for k in (21, 24, 27)]
+    # Ids far apart and in another order than the bed numbers: still one list, by bed number.
+    odd = make("beds", [{"bed_id": 1, "ward_name": "X", "bed_number": "B-9", "bed_type": "ICU", "status": "Available"},
+                        {"bed_id": 2000, "ward_name": "X", "bed_number": "B-1", "bed_type": "ICU", "status": "Available"}])
+    listed = reports.ward_rollup(views.bed_occupancy(dict(ward, beds=odd)), odd).collect()
+    assert [[b.bed_id for b in r.beds] for r in listed] == [[2000, 1]]
 
 
 def test_salary_reports(ward):
     top = reports.salary_against_mean(ward["doctors"]).collect()
     assert [r.diff_from_avg for r in top] == [Decimal(x) for x in (
-        "41833.33", "21833.33", "16833.33", "11833.33", "6833.33")]
-    assert {r.avg_salary for r in top} == {Decimal("138166.67")}
+        "63000.00", "39000.00", "30000.00", "18000.00", "8000.00")]
+    assert {r.avg_salary for r in top} == {Decimal("113000.00")}
     above = [int(r.salary) for r in reports.above_mean_salary(ward["doctors"]).collect()]
-    assert above == [180000, 160000, 155000, 150000, 145000, 140000]
+    assert above == [176000, 152000, 143000, 131000, 121000]
 
 
 def test_above_mean_load(ward):
@@ -92,8 +99,8 @@ def test_money_totals(ward):
 
 def test_dashboard(spark, ward):
     bundle = dashboard.dashboard(spark, ward)
-    assert tuple(bundle["headline"].first()) == (15, 12, 3, 39, 45, Decimal(1700))
-    assert tuple(dashboard.headline_counts(spark, ward).first()) == (15, 12, 3, 39, 45, Decimal(1700))
+    assert tuple(bundle["headline"].first()) == (15, 12, 3, 35, 42, Decimal(1700))
+    assert tuple(dashboard.headline_counts(spark, ward).first()) == (15, 12, 3, 35, 42, Decimal(1700))
     assert rows_of(bundle["appt_by_status"]) == [
         ("Cancelled", 3), ("Completed", 3), ("Confirmed", 3), ("No-Show", 3), ("Scheduled", 3)]
     waits = [r.avg_wait for r in bundle["wait_times"].collect()]
@@ -145,7 +152,7 @@ def test_calendar_and_matrix(ward):
     calendar = scheduling.availability_calendar(ward, AS_OF).collect()
     by_id = {r.doctor_id: r.availability for r in calendar}
     assert len(calendar) == 12 and all(len(a) == 3 for a in by_id.values())
-    assert [r.doctor_id for r in calendar][:3] == [1, 9, 2]
+    assert [r.doctor_id for r in calendar][:3] == [2, 11, 1]
     assert tuple(by_id[7][0]) == ("2024-04-15", "Mon, Apr 15", True, "09:00", "17:00", "Default schedule")
     assert not by_id[3][1].is_available and by_id[3][1].notes == "Away"
     work = scheduling.working_days(scheduling.availability_calendar(ward, AS_OF)).filter("doctor_id = 3").first()
@@ -157,8 +164,8 @@ def test_calendar_and_matrix(ward):
 
 
 def test_inactive_doctors_are_not_offered(ward):
-    t = dict(ward, doctors=ward["doctors"].withColumn("status", F.when(F.col("doctor_id") == 1, "Inactive").otherwise("Active")))
-    assert [r.doctor_id for r in scheduling.availability_calendar(t, AS_OF, dept=1).collect()] == [9]
+    t = dict(ward, doctors=ward["doctors"].withColumn("status", F.when(F.col("doctor_id") == 2, "Inactive").otherwise("Active")))
+    assert [r.doctor_id for r in scheduling.availability_calendar(t, AS_OF, dept=1).collect()] == [11]
 
 
 def test_predicted_wait(ward):

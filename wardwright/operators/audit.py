@@ -63,10 +63,10 @@ def booking_audit(booked: DataFrame, as_of: str, by_patient: bool) -> DataFrame:
 # --- snapshot differences ----------------------------------------------------
 
 def _versions(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows of both versions side by side: `b` and `a` are structs, NULL where a version lacks the key."""
+    """Rows that both versions hold, side by side as the structs `b` and `a`."""
     old = before.select(key, F.struct(*columns).alias("b"))
     new = after.select(key, F.struct(*columns).alias("a"))
-    return old.join(new, key, "full")
+    return old.join(new, key)
 
 
 def _net(rows: DataFrame, table: str, key: str, action: str, old, new, as_of: str) -> DataFrame:
@@ -81,12 +81,12 @@ def snapshot_audit(before: dict[str, DataFrame], after: dict[str, DataFrame], as
     Without a change feed, updates that change nothing and values in between are not visible.
     """
     a = _versions(before["appointments"], after["appointments"], "appointment_id", ["status"])
-    status = a.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.col("b.status").eqNullSafe(F.col("a.status")))
-    p = _versions(before["patients"], after["patients"], "patient_id", ["name"]).filter("a IS NULL")
+    status = a.filter(~F.col("b.status").eqNullSafe(F.col("a.status")))
+    p = before["patients"].select("patient_id", "name").join(after["patients"].select("patient_id"), "patient_id", "left_anti")
     b = _versions(before["beds"], after["beds"], "bed_id", ["status", "patient_id"])
     beds = b.filter((F.col("a.status") == "Occupied") & (F.col("b.status") != "Occupied"))
     return (_net(status, "appointments", "appointment_id", STATUS_CHANGE, F.col("b.status"), F.col("a.status"), as_of)
-            .unionByName(_net(p, "patients", "patient_id", DELETE, patient_label(F.col("b.name"), "patient_id"),
+            .unionByName(_net(p, "patients", "patient_id", DELETE, patient_label(F.col("name"), "patient_id"),
                               F.lit(None).cast("string"), as_of))
             .unionByName(_net(beds, "beds", "bed_id", BED_ASSIGNED, F.col("b.status"),
                               bed_label(F.col("a.patient_id")), as_of)))

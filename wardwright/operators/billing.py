@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardwright.functions.scalars import coverage, insured, money
-from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, exists_flag, known_keys, split_known,
+from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, exists_flag, known_keys, only_wanted, split_known,
                                           update_by_key, with_new_ids)
 from wardwright.session import settle
 from wardwright.sources.sinks import with_new_rows
@@ -18,7 +18,9 @@ UNKNOWN_PATIENT = "unknown patient"
 
 def generate_bills(t: Tables, requests: DataFrame, as_of: str, high_water: int | None = None) -> Outcome:
     """Bill the sum of four charges; insurance carries 70% of it for insured patients."""
-    people = t["patients"].select("patient_id", insured("insurance_id").alias("_insured"))
+    # Only the patients asked for, found in the scan; settled, so their true size decides the join.
+    people = settle(only_wanted(t["patients"].select("patient_id", insured("insurance_id").alias("_insured")),
+                                ["patient_id"], requests), "billed-patients")
     total = money(sum((F.col(c) for c in CHARGES[1:]), F.col(CHARGES[0])))
     priced = requests.join(people, "patient_id", "left").withColumn("total_amount", total)
     visits = known_keys(requests, t["appointments"], "appointment_id")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from wardwright.functions.scalars import money
 from wardwright.operators import audit
-from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, admission, exists_flag, first_valid,
-                                          last_per_key, only_wanted, split_known, update_by_key, with_new_ids)
+from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, admission, exists_flag,
+                                           first_valid, last_per_key, only_wanted, split_known, update_by_key,
+                                           with_new_ids, wanted_flag)
 from wardwright.operators.scheduling import (SLOT_KEY, check_availability, known_phones, occupied_slots,
                                              predicted_wait)
 from wardwright.schemas import DEFAULT_DURATION, DEFAULT_FEE
@@ -59,7 +60,7 @@ def book_appointments(t: Tables, requests: DataFrame, as_of: str, high_water: in
     """
     # One small row per doctor; its presence is the reference check on doctors.
     waits = settle(predicted_wait(t["doctors"], t["appointments"]), "waits")
-    checked = exists_flag(requests.select(SEQ, "patient_id", *SLOT_KEY), "patient_id", t["patients"], "patient_id",
+    checked = wanted_flag(requests.select(SEQ, "patient_id", *SLOT_KEY), "patient_id", t["patients"], "patient_id",
                           "_patient")
     checked = exists_flag(checked, "doctor_id", waits, "doctor_id", "_doctor").select(
         SEQ, *SLOT_KEY, F.lit(True).alias("present"), F.lit(None).cast("string").alias("absence"),

@@ -80,6 +80,13 @@ def known_keys(requests: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return settle(only_wanted(table.select(key), [key], requests), "known-keys")
 
 
+def wanted_flag(requests: DataFrame, column: str, parent: DataFrame, parent_key: str, out: str) -> DataFrame:
+    """`exists_flag` for a large parent, such as patients: the wanted keys are found first, so that a small
+    batch filters the parent during its scan and never shuffles it."""
+    keys = known_keys(requests.select(F.col(column).alias(parent_key)), parent, parent_key)
+    return exists_flag(requests, column, keys, parent_key, out)
+
+
 def split_known(requests: DataFrame, table: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Requests whose key is in the table, and the others as rejections."""
     keys = known_keys(requests, table, key)
@@ -111,8 +118,8 @@ def audit_rows(rows: DataFrame, table: str, record_id, action: str, old, new, as
 
 
 def append_audit(audit_log: DataFrame, rows: DataFrame, high_water: int | None = None) -> DataFrame:
-    """The log with `rows` numbered in request order."""
-    numbered = with_new_ids(rows, audit_log, "audit_log", high_water)
+    """The log with `rows` numbered in request order. Numbering reads them several times, so they are settled."""
+    numbered = with_new_ids(settle(rows, "audit-rows"), audit_log, "audit_log", high_water)
     return audit_log.unionByName(numbered.select(*audit_log.columns))
 
 

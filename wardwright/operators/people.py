@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardwright.functions.scalars import stamp
 from wardwright.operators import audit
-from wardwright.operators.changes import FOREIGN_KEY, NOT_FOUND, NOT_NULL, SEQ, Outcome, exists_flag, with_new_ids
+from wardwright.operators.changes import FOREIGN_KEY, NOT_FOUND, NOT_NULL, SEQ, Outcome, exists_flag, wanted_flag, with_new_ids
 from wardwright.schemas import PATCHABLE_PATIENT_COLUMNS, REQUIRED
 from wardwright.session import settle
 from wardwright.sources.sinks import with_new_rows
@@ -29,7 +29,7 @@ def _missing(table: str) -> Column:
 # --- U1: inserts -------------------------------------------------------------
 
 def _insert(table: DataFrame, name: str, rows: DataFrame, reason: Column, high_water: int | None) -> Outcome:
-    decided = rows.withColumn("reason", reason)
+    decided = settle(rows.withColumn("reason", reason), "insert-requests")
     accepted = with_new_ids(decided.filter("reason IS NULL").drop("reason"), table, name, high_water)
     return Outcome({name: with_new_rows(table, accepted)}, accepted,
                    decided.filter("reason IS NOT NULL").select(SEQ, "reason"))
@@ -115,7 +115,7 @@ def patch_rows(table: DataFrame, name: str, key: str, patches: DataFrame, column
         return F.exists(entries, lambda e: (e["key"] == c) & e["value"].isNotNull()
                         & e["value"].try_cast(types[c]).isNull())
 
-    checked = exists_flag(patches, "id", table, key, "_known").withColumn(
+    checked = wanted_flag(patches, "id", table, key, "_known").withColumn(
         "reason", F.when(~F.col("_known"), NOT_FOUND).when(blank, NOT_NULL).when(_any(map(unreadable, typed)), "bad value"))
     accepted = checked.filter("reason IS NULL").select(SEQ, "id", "patch")
 

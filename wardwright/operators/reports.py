@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardwright.functions.scalars import money, occupancy_percent
 from wardwright.operators.loads import department_load, doctor_load
+from wardwright.session import settle
 
 Tables = dict[str, DataFrame]
 
@@ -137,9 +138,10 @@ def bed_kpis(beds: DataFrame) -> DataFrame:
 
 
 def ward_summary(beds: DataFrame) -> DataFrame:
-    """One row per ward: the type of its first bed and the number of beds."""
-    return beds.groupBy("ward_name").agg(F.min_by("bed_type", "bed_number").alias("ward_type"),
-                                         F.count(F.lit(1)).alias("bed_count"))
+    """One row per ward: the type of its first bed and the number of beds. Settled, so that the beds of a hot
+    ward can be split where they join it."""
+    return settle(beds.groupBy("ward_name").agg(F.min_by("bed_type", "bed_number").alias("ward_type"),
+                                                F.count(F.lit(1)).alias("bed_count")), "ward-summary")
 
 
 def ward_beds(occupancy: DataFrame, beds: DataFrame) -> DataFrame:
@@ -150,19 +152,34 @@ def ward_beds(occupancy: DataFrame, beds: DataFrame) -> DataFrame:
             .orderBy("ward_name", "bed_number"))
 
 
+def placed_in_ward(occupancy: DataFrame) -> DataFrame:
+    """Add `place`: the bed's number in its ward by bed number, from 0.
+
+    The beds are sorted by range into parts, which cut a large ward, and numbered within their part; the beds
+    of a ward in earlier parts are added from the counts per ward and part.
+    """
+    order = ["ward_name", "bed_number", "bed_id"]
+    parted = settle(occupancy.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ward-parts")
+    counts = parted.groupBy("ward_name", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("ward_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = settle(counts.select("ward_name", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")), "ward-offsets")
+    inside = F.row_number().over(Window.partitionBy("ward_name", "_part").orderBy("bed_number", "bed_id"))
+    return (parted.withColumn("_row", inside).join(offsets, ["ward_name", "_part"])
+            .withColumn("place", F.col("_before") + F.col("_row") - 1).drop("_part", "_row", "_before"))
+
+
 def ward_rollup(occupancy: DataFrame, beds: DataFrame, beds_per_row: int = 1024) -> DataFrame:
     """Ward -> type and ordered list of beds.
 
-    A row holds the beds of one block of `beds_per_row` consecutive bed ids, so a
-    list is bounded however large the ward; a ward within one block is one row.
+    The list is by bed number. It is cut by place into rows of `beds_per_row`, so a row is bounded however large
+    the ward, and a ward with no more beds than that is one row; `list_place` orders the rows of a ward.
     """
-    bed = F.struct("bed_number", "bed_id", "status", "patient_name")
-    block = F.floor(F.col("bed_id") / beds_per_row).alias("bed_block")
-    lists = (occupancy.groupBy("ward_name", block)
+    bed = F.struct("place", "bed_number", "bed_id", "status", "patient_name")
+    lists = (placed_in_ward(occupancy).groupBy("ward_name", F.floor(F.col("place") / beds_per_row).alias("list_place"))
              .agg(F.array_sort(F.collect_list(bed)).alias("beds")))
     return (lists.join(ward_summary(beds), "ward_name")
-            .select("ward_name", "ward_type", "bed_count", "bed_block", "beds")
-            .orderBy("ward_name", "bed_block"))
+            .select("ward_name", "ward_type", "bed_count", "list_place", "beds")
+            .orderBy("ward_name", "list_place"))
 
 
 # --- top-k and samples -------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardwright.operators import audit
-from wardwright.operators.changes import SEQ, Outcome, admission, exists_flag, first_valid, split_known, update_by_key
+from wardwright.operators.changes import SEQ, Outcome, admission, first_valid, split_known, update_by_key, wanted_flag
 from wardwright.session import settle
 
 Tables = dict[str, DataFrame]
@@ -16,7 +16,7 @@ NOT_AVAILABLE = "bed not available"
 def assign_beds(t: Tables, requests: DataFrame, as_of: str) -> Outcome:
     """The first valid request for an Available bed wins; a patient may hold several beds.
     A request without a patient passes the reference check."""
-    checked = exists_flag(requests.select(SEQ, "bed_id", "patient_id"), "patient_id", t["patients"], "patient_id",
+    checked = wanted_flag(requests.select(SEQ, "bed_id", "patient_id"), "patient_id", t["patients"], "patient_id",
                           "_patient")
     checked = checked.withColumn("valid", F.col("_patient") | F.col("patient_id").isNull()).drop("_patient")
     free = t["beds"].filter(F.col("status") == "Available").select("bed_id", F.lit(True).alias("free"))

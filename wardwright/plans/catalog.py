@@ -507,10 +507,13 @@ _WARD_SQL = """
                                  FROM beds GROUP BY ward_name) w ON v.ward_name = w.ward_name"""
 
 
-@query("a16_ward_rollup", _WARD_SQL)
+@query("a16_ward_rollup", f"""
+    SELECT *, place // 1024 AS list_place, CAST(place % 1024 AS BIGINT) AS list_index
+    FROM (SELECT *, row_number() OVER (PARTITION BY ward_name ORDER BY bed_number, bed_id) - 1 AS place FROM ({_WARD_SQL}))""")
 def _(b):
-    return reports.ward_rollup(views.bed_occupancy(b.tables), b.beds).select(
-        "ward_name", "ward_type", "bed_count", F.inline("beds"))
+    rolled = reports.ward_rollup(views.bed_occupancy(b.tables), b.beds)
+    return rolled.select("ward_name", "ward_type", "bed_count", "list_place", F.posexplode("beds").alias("list_index", "bed")).select(
+        "ward_name", "ward_type", "bed_count", "list_place", F.col("list_index").cast("long").alias("list_index"), "bed.*")
 
 
 @query("a16_ward_beds", f"SELECT * EXCLUDE (bed_count) FROM ({_WARD_SQL})")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from wardwright.operators.filters import latest_order
 from wardwright.operators.loads import department_load
-from wardwright.session import settle
 
 Tables = dict[str, DataFrame]
 
@@ -33,15 +32,14 @@ def appointment_details(t: Tables) -> DataFrame:
 def leading_appointments(t: Tables, order: list[Column], k: int) -> DataFrame:
     """The first `k` rows of the appointment view in `order`, without joining the whole table.
 
-    The k leading appointments are found in the scan and only they are joined. If
-    each of them has its patient, doctor and department, they are the answer;
-    otherwise some drop out of the view and the view itself is searched.
+    Semi joins leave the appointments that are in the view, by keys alone; the first k of them are found
+    as each task's own first k, and only those are joined with the wide columns.
     """
-    leaders = t["appointments"].orderBy(*order).limit(k)
+    staff = t["doctors"].join(t["departments"], "dept_id", "left_semi").select("doctor_id")
+    leaders = (t["appointments"].join(staff, "doctor_id", "left_semi")
+               .join(t["patients"].select("patient_id"), "patient_id", "left_semi").orderBy(*order).limit(k))
     star = {"appointments": leaders, **{name: t[name] for name in ("patients", "doctors", "departments")}}
-    found = settle(appointment_details(star), "leading-appointments")
-    rows = found if found.count() == k else appointment_details(t)
-    return rows.orderBy(*order).limit(k)
+    return appointment_details(star).orderBy(*order).limit(k)
 
 
 def recent_appointments(t: Tables, k: int = 8) -> DataFrame:
