@@ -221,7 +221,8 @@ class IndexReader:
 RECORD_TYPE = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_captures(archive: Archive, wanted: DataFrame, url: str = "url", page_id: str = "page_id", payload: bool = True) -> DataFrame:
+def read_captures(archive: Archive, wanted: DataFrame, url: str = "url", page_id: str = "page_id", payload: bool = True,
+                  records_per_task: int = 5000) -> DataFrame:
     """The records of the wanted (url, page_id) rows, each once, read through the index by range.
 
     The wanted keys are sorted like the index, so a task walks over neighbouring blocks. Keys without a capture give
@@ -242,7 +243,9 @@ def read_captures(archive: Archive, wanted: DataFrame, url: str = "url", page_id
 
     archive_folder, root = archive.folder, archive.root
     keys = wanted.select(keyed(F.col(url)).alias("key"), F.col(page_id).cast("long").alias("page_id")).distinct()
-    return keys.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInPandas(
+    # A key is small but the record behind it is not, so tasks are dealt by the number of records, not by bytes.
+    tasks = 1 + archive.captures.count() // records_per_task
+    return keys.repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id").mapInPandas(
         read, RECORD_TYPE + (", payload binary" if payload else ""))
 
 
