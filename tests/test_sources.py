@@ -19,7 +19,7 @@ def test_tables_round_trip(spark, ward):
 
 def test_views_follow_their_tables(spark, ward):
     views.register_views(spark, ward)
-    assert spark.sql("SELECT count(*) FROM v_bed_occupancy WHERE patient_name IS NOT NULL").first()[0] == 5
+    assert spark.sql("SELECT count(*) FROM v_bed_occupancy WHERE patient_name IS NOT NULL").first()[0] == 6
     assert spark.sql("SELECT sum(total_appointments) FROM v_dept_stats").first()[0] == 15
 
 
