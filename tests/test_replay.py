@@ -89,8 +89,8 @@ def test_staff_bookings(make, seed):
 def test_patient_bookings(make, seed):
     rng = random.Random(100 + seed)
     data, t = world(make, rng)
-    requests = [{"request_seq": s, "name": f"N{s}", "age": 40, "gender": "Other", "phone": rng.choice(["90", "91", "71", "72", "73"]),
-                 "doctor_id": rng.choice([1, 2, 3, 3, 77]), "appointment_date": rng.choice(["2024-05-01", "2024-05-02", "2024-05-03"]),
+    requests = [{"request_seq": s, "name": f"N{s}" if rng.random() < 0.6 else None, "age": 40, "gender": "Other",
+                 "phone": rng.choice(["90", "91", "71", "72", "73", None]), "doctor_id": rng.choice([1, 2, 3, 3, 77]), "appointment_date": rng.choice(["2024-05-01", "2024-05-02", "2024-05-03"]),
                  "time_slot": rng.choice(["09:00", "13:30", "14:00", "17:00"])} for s in seqs(rng, 40)]
     taken = {(a["doctor_id"], a["appointment_date"], a["time_slot"]) for a in data["appointments"] if a["status"] in HOLDING}
     hours = {(v["doctor_id"], v["avail_date"]): v for v in data["doctor_availability"]}
@@ -108,6 +108,8 @@ def test_patient_bookings(make, seed):
             rejected[s] = "outside hours"
         elif key in taken:
             rejected[s] = "slot taken"
+        elif r["phone"] not in phones and None in (r["name"], r["phone"]):
+            rejected[s] = "not null"
         elif r["doctor_id"] == 77:
             rejected[s] = "foreign key"
         else:
@@ -136,6 +138,21 @@ def test_patient_booking_without_details(make):
     assert rejected == {2: "not null", 3: "not null"} and accepted[1] == (5,) and accepted[4] == (9,)
 
 
+def test_callers_known_since_an_earlier_request(make):
+    """Whether each caller is on file hangs on the one before: 3 takes the slot of 4, so 5 stays unknown, so 6 gets
+    its slot and registers 7."""
+    data, t = world(make, random.Random(1))
+    full = {"name": "x", "age": 1, "gender": "Other"}
+    calls = [("700", "09:00", full), ("800", "09:00", full), ("700", "09:30", {}), ("800", "09:30", full),
+             ("800", "10:00", {}), ("900", "10:00", full), ("900", "10:30", {})]
+    requests = [dict(more, request_seq=k, phone=phone, time_slot=slot, doctor_id=3, appointment_date="2024-06-01")
+                for k, (phone, slot, more) in enumerate(calls, 1)]
+    done = booking.book_as_patient(t, make("patient_bookings", requests), STAMP)
+    accepted, rejected = outcome(done, "patient_id")
+    assert rejected == {2: "slot taken", 4: "slot taken", 5: "not null"}
+    assert accepted == {1: (9,), 3: (9,), 6: (10,), 7: (10,)}
+
+
 @pytest.mark.parametrize("seed", SEEDS)
 def test_bed_assignments(make, seed):
     rng = random.Random(200 + seed)

@@ -22,13 +22,17 @@ Tables = dict[str, DataFrame]
 TAKEN = "slot taken"
 
 
-def _slot_state(checked: DataFrame, requests: DataFrame, appointments: DataFrame) -> DataFrame:
+def _held_slots(requests: DataFrame, appointments: DataFrame) -> DataFrame:
+    """The requested slots that an appointment holds already."""
+    return only_wanted(occupied_slots(appointments), SLOT_KEY, requests).withColumn("held", F.lit(True))
+
+
+def _slot_state(checked: DataFrame, held: DataFrame) -> DataFrame:
     """Per requested slot: the lowest `request_seq` that may win it, and whether it was held before.
 
     One row per slot, settled. The accepted requests are read off it directly;
     requests meet it again only to learn why they were refused.
     """
-    held = only_wanted(occupied_slots(appointments), SLOT_KEY, requests).withColumn("held", F.lit(True))
     return settle(first_valid(checked, SLOT_KEY, F.col("present") & F.col("complete") & F.col("valid"))
                   .join(held, SLOT_KEY, "left"), "slots")
 
@@ -65,7 +69,7 @@ def book_appointments(t: Tables, requests: DataFrame, as_of: str, high_water: in
     checked = exists_flag(checked, "doctor_id", waits, "doctor_id", "_doctor").select(
         SEQ, *SLOT_KEY, F.lit(True).alias("present"), F.lit(None).cast("string").alias("absence"),
         _all_given("patient_id", *SLOT_KEY).alias("complete"), (F.col("_patient") & F.col("_doctor")).alias("valid"))
-    state = _slot_state(checked, requests, t["appointments"])
+    state = _slot_state(checked, _held_slots(requests, t["appointments"]))
     ids = with_new_ids(_winners(state), t["appointments"], "appointments", high_water)
     accepted = (requests.join(ids, SEQ).join(waits, "doctor_id")
                 .select(SEQ, "appointment_id", "patient_id", "doctor_id", "appointment_date", "time_slot",
@@ -77,23 +81,56 @@ def book_appointments(t: Tables, requests: DataFrame, as_of: str, high_water: in
                    _refusals(checked, state), audit.booking_audit(accepted, as_of, by_patient=False))
 
 
+def _registrations(contenders: DataFrame) -> DataFrame:
+    """Per phone new to the files, the `request_seq` that registers it, as `registered_at`; settled.
+
+    `contenders` ask for free slots of existing doctors. `sure` ones are complete as they stand; the others need an
+    earlier registration of their phone, by a `registers` request that wins its slot. That may hang on a caller of
+    the same kind in turn, so they are decided in rounds. A round settles at least the lowest open request: at
+    worst there are as many rounds as the longest chain of such callers, and none if all callers are sure. After a
+    round, only the first sure request of a slot and the open ones before it are left.
+    """
+    contenders = settle(contenders.select(SEQ, "phone", *SLOT_KEY, "sure", "registers"), "callers")
+    while not contenders.filter("NOT sure").isEmpty():
+        slots = settle(contenders.groupBy(*SLOT_KEY).agg(
+            F.min(SEQ).alias("_first"), F.min(F.when(F.col("sure"), F.col(SEQ))).alias("_first_sure")), "caller-slots")
+        running = contenders.join(slots, SLOT_KEY).filter(F.col("_first_sure").isNull() | (F.col(SEQ) <= F.col("_first_sure")))
+        # Nobody before it is open: it wins. Otherwise it may.
+        calls = settle(running.filter("registers").groupBy("phone").agg(
+            F.min(F.when(F.col(SEQ) == F.col("_first"), F.col(SEQ))).alias("_registered"), F.min(SEQ).alias("_hoped")), "caller-phones")
+        known, open_ = (F.coalesce(F.col(c) < F.col(SEQ), F.lit(False)) for c in ("_registered", "_hoped"))
+        contenders = settle(running.join(calls, "phone", "left").filter(F.col("sure") | known | open_).select(
+            SEQ, "phone", *SLOT_KEY, (F.col("sure") | known).alias("sure"), "registers"), "callers")
+    winners = settle(contenders.groupBy(*SLOT_KEY).agg(F.min(SEQ).alias(SEQ)).select(SEQ), "caller-winners")
+    return settle(contenders.filter("registers").join(winners, SEQ, "left_semi")
+                  .groupBy("phone").agg(F.min(SEQ).alias("registered_at")), "registrations")
+
+
 def book_as_patient(t: Tables, requests: DataFrame, as_of: str, high_water: int | None = None,
                     patient_high_water: int | None = None) -> Outcome:
     """Patient bookings: leave, working hours and slot are checked in that order; callers are
     looked up by phone and registered with their first accepted request.
 
-    A request must carry name, age, gender and phone unless its phone is on file at the start.
+    A request must carry name, age, gender and phone unless its phone is on file, from the start or since an
+    earlier accepted request of the batch.
     """
-    checked = requests.select(SEQ, "phone", *SLOT_KEY, _all_given("name", "age", "gender", "phone").alias("_details"))
+    checked = requests.select(SEQ, "phone", *SLOT_KEY, _all_given("name", "age", "gender", "phone").alias("details"))
     on_file = known_phones(requests, t["patients"])
     checked = checked.join(on_file, "phone", "left")
     checked = exists_flag(checked, "doctor_id", t["doctors"], "doctor_id", "valid")
     verdict = F.col("availability_verdict")
     # A doctor's absence comes before the slot: such requests neither win nor lose it.
-    checked = check_availability(checked, t["doctor_availability"]).select(
-        SEQ, "phone", "known_patient_id", *SLOT_KEY, (verdict == "open").alias("present"), verdict.alias("absence"),
-        "valid", ((F.col("known_patient_id").isNotNull() | F.col("_details")) & _all_given(*SLOT_KEY)).alias("complete"))
-    state = _slot_state(checked, requests, t["appointments"])
+    on_record = F.col("known_patient_id").isNotNull()
+    checked = settle(check_availability(checked, t["doctor_availability"]).select(
+        SEQ, "phone", *SLOT_KEY, (verdict == "open").alias("present"), verdict.alias("absence"), "valid",
+        (on_record | F.col("details")).alias("sure"), (~on_record & F.col("details")).alias("registers"),
+        _all_given(*SLOT_KEY).alias("_slot")), "checked-callers")
+    held = settle(_held_slots(requests, t["appointments"]), "held-slots")
+    callers = checked.filter(F.col("present") & F.col("valid") & F.col("_slot") & F.col("phone").isNotNull())
+    registrations = _registrations(callers.join(held, SLOT_KEY, "left_anti"))
+    checked = checked.join(registrations, "phone", "left").withColumn(
+        "complete", (F.col("sure") | F.coalesce(F.col("registered_at") < F.col(SEQ), F.lit(False))) & F.col("_slot"))
+    state = _slot_state(checked, held)
     admitted = settle(_winners(state).join(requests.select(SEQ, "phone"), SEQ).join(on_file, "phone", "left"), "admitted")
 
     first_calls = admitted.filter("known_patient_id IS NULL").groupBy("phone").agg(F.min(SEQ).alias(SEQ))
