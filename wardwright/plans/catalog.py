@@ -776,7 +776,13 @@ def _(b):
     return people.add_uploads(b.tables, b.new_uploads, AS_OF_STAMP).tables["uploads"]
 
 
-@query("u1_add_doctors", None)
+@query("u1_add_doctors", """
+    SELECT x.request_seq, CASE WHEN a.request_seq IS NOT NULL THEN (SELECT max(doctor_id) FROM doctors)
+               + row_number() OVER (PARTITION BY a.request_seq IS NULL ORDER BY x.request_seq) END AS doctor_id,
+           CASE WHEN a.request_seq IS NOT NULL THEN phone END AS phone,
+           CASE WHEN a.request_seq IS NOT NULL THEN email END AS email,
+           CASE WHEN a.request_seq IS NOT NULL THEN 'accepted' ELSE coalesce(reason, 'unique') END AS outcome
+    FROM u1_checked x LEFT JOIN u1_admitted a ON x.request_seq = a.request_seq""")
 def _(b):
     done = people.add_doctors(b.tables, b.new_doctors, AS_OF)
     return done.accepted.select(SEQ, "doctor_id", "phone", "email", F.lit("accepted").alias("outcome")).unionByName(
@@ -1116,11 +1122,15 @@ def _(b):
 @query("st1_audit_stream", " UNION ALL ".join(
     f"SELECT request_seq AS event_seq, * EXCLUDE (request_seq) FROM ({sql})" for sql in (_T1_SQL, _T2_SQL, _T3_SQL)))
 def _(b):
-    """Write the changes of three batches as an event feed, stream it, read the sink back."""
+    """Write the changes of three batches as an event feed, among updates that no rule asks for; stream it, read the
+    sink back."""
     source, sink = scratch_path(b.spark, "events"), scratch_path(b.spark, "audit")
     feed = [audit_stream.status_events(audit.status_audit(b.appointments, b.status_changes, AS_OF_STAMP)),
             audit_stream.delete_events(_deletion(b).accepted, AS_OF_STAMP),
-            audit_stream.bed_events(wards.assign_beds(b.tables, b.bed_assignments, AS_OF_STAMP).accepted, AS_OF_STAMP)]
+            audit_stream.bed_events(wards.assign_beds(b.tables, b.bed_assignments, AS_OF_STAMP).accepted, AS_OF_STAMP),
+            audit_stream.update_events(b.appointments, "appointments", "appointment_id", ["fees"], AS_OF_STAMP),
+            audit_stream.update_events(b.patients, "patients", "patient_id", ["phone"], AS_OF_STAMP),
+            audit_stream.update_events(b.beds.filter("status = 'Occupied'"), "beds", "bed_id", ["status"], AS_OF_STAMP)]
     for events in feed:
         sinks.append_rows(events, source)
     audit_stream.start_audit_stream(b.spark, source, sink).awaitTermination()

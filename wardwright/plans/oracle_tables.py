@@ -181,6 +181,12 @@ CTES: dict[str, str] = {
                printf('6%09d', user_id) AS phone, 'Area ' || user_id AS address,
                CASE WHEN event_id % 2 = 0 THEN 'INS' || event_id END AS insurance_id
         FROM events WHERE event_type = 'signup'""",
+    "new_doctors": """
+        SELECT c_custkey AS request_seq, CAST(CASE WHEN c_nationkey = 7 THEN 99 ELSE c_nationkey END AS BIGINT) AS dept_id,
+               CASE WHEN c_custkey % 9 = 0 THEN printf('8%09d', c_custkey - c_custkey % 3)
+                    ELSE printf('5%09d', c_custkey - c_custkey % 3) END AS phone,
+               CASE WHEN c_custkey % 6 = 5 THEN '' ELSE 'a' || c_custkey // 4 || '@example.org' END AS email
+        FROM customer""",
     "new_uploads": """
         SELECT page_id AS request_seq, 'page' || page_id || '.txt' AS filename,
                CASE WHEN page_id % 13 <> 0 THEN url END AS original_name, 'txt' AS file_type
@@ -189,6 +195,26 @@ CTES: dict[str, str] = {
     "booked": f"""
         SELECT DISTINCT doctor_id, appointment_date, time_slot, TRUE AS held
         FROM appointments WHERE status IN {OCC}""",
+    # New doctors one by one: `k` numbers those that only the batch itself can refuse; the walk keeps the values taken.
+    "u1_checked": """
+        SELECT x.*, CASE WHEN EXISTS (SELECT 1 FROM doctors d WHERE d.phone = x.phone)
+                           OR EXISTS (SELECT 1 FROM doctors d WHERE d.email = x.email) THEN 'unique'
+                         WHEN NOT EXISTS (SELECT 1 FROM departments p WHERE p.dept_id = x.dept_id) THEN 'foreign key'
+                    END AS reason
+        FROM new_doctors x""",
+    "u1_open": """
+        SELECT request_seq, phone, email, row_number() OVER (ORDER BY request_seq) AS k FROM u1_checked WHERE reason IS NULL""",
+    "u1_admitted": """
+        WITH RECURSIVE walk AS (
+            SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS request_seq, FALSE AS let_in,
+                   CAST([] AS VARCHAR[]) AS phones, CAST([] AS VARCHAR[]) AS emails
+            UNION ALL
+            SELECT k, request_seq, let_in, CASE WHEN let_in THEN list_append(phones, phone) ELSE phones END,
+                   CASE WHEN let_in THEN list_append(emails, email) ELSE emails END
+            FROM (SELECT o.*, w.phones, w.emails,
+                         NOT list_contains(w.phones, o.phone) AND NOT list_contains(w.emails, o.email) AS let_in
+                  FROM walk w JOIN u1_open o ON o.k = w.k + 1))
+        SELECT request_seq FROM walk WHERE let_in""",
     "u5_decided": """
         SELECT q.*, CASE WHEN held OR request_seq > winner THEN 'slot taken'
                          WHEN NOT valid THEN 'foreign key' END AS reason

@@ -54,7 +54,7 @@ def start_audit_stream(spark: SparkSession, source: str, sink: str, checkpoint:
 
 # --- events from change sets -------------------------------------------------
 
-def _events(audit: DataFrame, before, after, table: str, op: str) -> DataFrame:
+def _events(audit: DataFrame, before, after, table: str, op: str, columns: tuple[str, ...] = ("status",)) -> DataFrame:
     nothing = F.lit(None)
     def image(status=None, name=None, patient=None):
         return F.struct((status if status is not None else nothing.cast("string")).alias("status"),
@@ -62,7 +62,7 @@ def _events(audit: DataFrame, before, after, table: str, op: str) -> DataFrame:
                         (patient if patient is not None else nothing.cast("bigint")).alias("patient_id"))
     return audit.select(
         F.col("request_seq").alias("event_seq"), F.lit(table).alias("table_name"), F.lit(op).alias("op"), "record_id",
-        (F.array(F.lit("status")) if op == "UPDATE" else F.array().cast("array<string>")).alias("changed_columns"),
+        (F.array(*map(F.lit, columns)) if op == "UPDATE" else F.array().cast("array<string>")).alias("changed_columns"),
         F.col("timestamp").alias("event_time"), image(**before).alias("before"), image(**after).alias("after"))
 
 
@@ -72,6 +72,15 @@ def status_events(status_audit: DataFrame) -> DataFrame:
                    "UPDATE")
 
 
+def update_events(rows: DataFrame, table: str, key: str, columns: list[str], as_of: str) -> DataFrame:
+    """Change events of updates that set `columns` and leave status, name and patient as `rows` have them."""
+    image = {part: F.col(c) for part, c in (("status", "status"), ("name", "name"), ("patient", "patient_id"))
+             if c in rows.columns}
+    events = rows.select("*", F.col(key).alias("request_seq"), F.col(key).alias("record_id"),
+                         F.lit(as_of).cast("timestamp_ntz").alias("timestamp"))
+    return _events(events, image, image, table, "UPDATE", tuple(columns))
+
+
 def delete_events(gone: DataFrame, as_of: str) -> DataFrame:
     """Change events of deleted patients (request_seq, patient_id, name)."""
     rows = gone.select("request_seq", F.col("patient_id").alias("record_id"), "name",
