@@ -86,6 +86,13 @@ def test_template_windows_do_not_depend_on_blocks():
     assert decontaminate.canonical("30km,") == ([(1, "30"), (2, "km")], False)
 
 
+def test_a_repeated_window_counts_once(spark):
+    words = "the quick river ran over seven old grey stones while both herons slept under their willow near some bridge at dusk".split()
+    docs = spark.createDataFrame([(1, " | ".join([" ".join(words[:8])] * 6)), (2, " ".join(words[:13]))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert [(r.doc, r.matched_windows) for r in decontaminate.leaks(docs, benchmark).collect()] == [(2, 6)]
+
+
 def test_leaks_equal_brute_force(spark):
     found = {(r.doc_id, r.item_id) for r in queries.QUERIES["op1_decontamination"](spark, SF).collect()}
     con = duckdb.connect()

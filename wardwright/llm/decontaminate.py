@@ -166,7 +166,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", text:
     equal distance between the two places; on each line the slot values must map one to one from the item to the
     document, which a question with other numbers and names does and a chance meeting of placeholders does not; on a
     line where they do not, only windows whose values are all equal count.
-    A document leaks an item if what counts covers six windows of it or half. `same_slots` says that no
+    A document leaks an item if what counts covers six different windows of it or half. `same_slots` says that no
     slot differs.
 
     Only windows that pass a bitmap of the benchmark's hashes are ever rows; the bitmap has a fixed size of 512 kB, so a
@@ -192,14 +192,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", text:
     met = hits.join(windows, "hash").withColumn("line", F.col("doc_pos") - F.col("item_pos"))
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
     lines = met.groupBy("doc", "item", "item_windows", "line").agg(
-        F.count_distinct("item_pos").alias("places"),
-        F.count_distinct(F.when(F.col("item_slots") == F.col("doc_slots"), F.col("item_pos"))).alias("exact_places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+        F.collect_set("item_pos").alias("places"),
+        F.collect_set(F.when(F.col("item_slots") == F.col("doc_slots"), F.col("item_pos"))).alias("exact_places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     one_to_one = ((F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))))
                   & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"])))))
-    covered = (lines.withColumn("places", F.when(one_to_one, F.col("places")).otherwise(F.col("exact_places"))).where("places > 0")
+    # A window of the item counts once, on however many lines the document repeats it.
+    covered = (lines.select("doc", "item", "item_windows", F.forall("pairs", lambda p: p["i"] == p["d"]).alias("same"),
+                            F.explode(F.when(one_to_one, F.col("places")).otherwise(F.col("exact_places"))).alias("place"))
                .groupBy("doc", "item", "item_windows").agg(
-        F.least(F.sum("places"), F.first("item_windows").cast("long")).alias("matched_windows"),
-        F.bool_and(F.forall("pairs", lambda p: p["i"] == p["d"])).alias("same_slots")))
+        F.size(F.collect_set("place")).cast("long").alias("matched_windows"), F.bool_and("same").alias("same_slots")))
     enough = F.least(F.lit(ENOUGH), F.ceil(F.col("item_windows") / 2))
     return covered.where(F.col("matched_windows") >= enough).select(
         "doc", "item", "matched_windows", F.col("item_windows").cast("long").alias("item_windows"), "same_slots")
