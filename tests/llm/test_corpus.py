@@ -93,6 +93,16 @@ def test_a_repeated_window_counts_once(spark):
     assert [(r.doc, r.matched_windows) for r in decontaminate.leaks(docs, benchmark).collect()] == [(2, 6)]
 
 
+def test_slot_heavy_and_short_items_are_found_as_copies(spark):
+    items = ["Compute 12 + 45 * 3 - 8 / 2 + 7", "Name three rivers", "東京から大阪まで三時間かかります", "zebra Anna Bert Carl Dora Emil Finn Gustav Hans 4 7 9", "+ - *"]
+    docs = ["It says: Compute 12 + 45 * 3 - 8 / 2 + 7 as a task", "please name three rivers of it", "昨日、東京から大阪まで三時間かかりますと言った", "see zebra Anna Bert Carl Dora Emil Finn Gustav Hans 4 7 9 there",
+            "It says: Compute 13 + 46 * 4 - 9 / 5 + 6 as a task", "please name four rivers", "see zebra Olaf Paul Rolf Sven Theo Uwe Veit Wolf 5 8 3 there", "+ - *"]
+    spoken = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc, r["item"]): (r.matched_windows, r.item_windows, r.same_slots) for r in decontaminate.leaks(spoken, benchmark).collect()}
+    assert found == {(0, 0): (3, 3, True), (1, 1): (1, 1, True), (2, 2): (9, 9, True), (3, 3): (5, 5, True)}
+
+
 def test_leaks_equal_brute_force(spark):
     found = {(r.doc_id, r.item_id) for r in queries.QUERIES["op1_decontamination"](spark, SF).collect()}
     con = duckdb.connect()

@@ -14,7 +14,7 @@ from wardwright.llm.common import WordIds, matches, prepare, table
 from wardwright.session import settle
 
 WINDOW = 8  # tokens of a template window
-SHORT = 5  # window for items with fewer tokens than WINDOW; shorter items are not checked
+SHORT = 5  # window for items with fewer tokens than WINDOW; a shorter item is one window, found by equal tokens only
 ENOUGH = 6  # matching windows that suffice (13 tokens in a row), or half of the item's windows if that is less
 _FILTER_BITS = 22
 
@@ -23,6 +23,10 @@ UNITS = frozenset("""mm cm m km in inch inches ft feet foot yard yards mile mile
 liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years k mph kmh
 percent dollar dollars cent cents euro euros usd eur gbp hz khz mhz ghz w kw v a n j kj pa c f degree degrees meter meters metre metres""".split())
 _SPACED = re.compile(r"\S+")
+#: Scripts written without spaces (Thai to Khmer, kana, Han): each character is a word.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_MIXED = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
 _NUMBER = re.compile(r"[^\w$€£+-]*([$€£]?)([+-]?\d+(?:[.,:/]\d+)*)(%|°?[A-Za-z]{0,4})[^\w%]*")
 _ENDS = re.compile(r"[.!?:;…][\"')\]»”]*$")
 LITERAL, NUMBER, UNIT, CAPITAL, NOTHING = range(5)
@@ -44,6 +48,32 @@ def canonical(word: str) -> tuple[list[tuple[int, str]], bool]:
     return [(CAPITAL if bare[0].isupper() and len(bare) > 1 and bare[1:].islower() else LITERAL, low)], ends
 
 
+def spaced_words(text: str) -> Iterator[list[str]]:
+    """The words of a text, blocks of them for long texts."""
+    return matches(_SPACED if text.isascii() or not _ANY_UNSPACED.search(text) else _MIXED, text)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash base and of its inverse modulo 2^64."""
+    if n > len(_POWERS[0]):
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _hashes(code: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each window: the sum of its codes, the k-th times the k-th power of the base."""
+    power, inverse = _powers(len(code) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * power[:-1], dtype=np.uint64)])
+    return (total[size:] - total[:-size]) * inverse[: len(code) - size + 1] + np.uint64(size * 0xD6E8FEB86659FD93 % (1 << 64))
+
+
 class Templates:
     """Turns texts into template windows; remembers what words stand for, up to a bound."""
 
@@ -53,9 +83,9 @@ class Templates:
     def clear(self) -> None:
         self.words = WordIds(300_000)
         self.names: list[str] = []
-        # Per word: number of tokens, whether a sentence ends with it, kind and code of its first token.
+        # Per word: number of tokens, whether a sentence ends with it, kind and code of its first token, code of its second.
         self.count, self.ends = np.zeros(0, np.int8), np.zeros(0, bool)
-        self.kind, self.code = np.zeros(0, np.int8), np.zeros(0, np.uint64)
+        self.kind, self.code, self.unit = np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
     def learn(self) -> None:
         fresh = self.words.take()
@@ -63,7 +93,7 @@ class Templates:
             return
         from xxhash import xxh64_intdigest
 
-        count, ends, kind, code = bytearray(), bytearray(), bytearray(), []
+        count, ends, kind, code, unit = bytearray(), bytearray(), bytearray(), [], []
         for word in fresh:
             bare = word.rstrip(".,!?;:")
             if bare.isalpha() and bare.islower() and bare not in UNITS:  # most words, without further ado
@@ -71,36 +101,41 @@ class Templates:
                 ends.append(_ENDS.search(word) is not None if bare is not word and len(bare) != len(word) else 0)
                 kind.append(LITERAL)
                 code.append(xxh64_intdigest(bare))
+                unit.append(0)
                 continue
             tokens, end = canonical(word)
             count.append(len(tokens))
             ends.append(end)
             kind.append(tokens[0][0] if tokens else LITERAL)
             code.append(xxh64_intdigest(tokens[0][1]) if tokens else 0)
+            unit.append(xxh64_intdigest(tokens[1][1]) if len(tokens) > 1 else 0)
         self.names += fresh
         self.count, self.ends = np.concatenate([self.count, np.frombuffer(count, np.int8)]), np.concatenate([self.ends, np.frombuffer(ends, bool)])
         self.kind, self.code = np.concatenate([self.kind, np.frombuffer(kind, np.int8)]), np.concatenate([self.code, np.array(code, np.uint64)])
+        self.unit = np.concatenate([self.unit, np.array(unit, np.uint64)])
 
     def _tokens(self, numbers: np.ndarray, first: np.ndarray):
-        """Codes with placeholders, whether each token is a slot, and the word and place it came from. `first`: words
-        that begin a text. A second token of a word is the unit of its number."""
+        """Codes of the values, codes with placeholders, whether each token is a slot, and the word and place it came
+        from. `first`: words that begin a text. A second token of a word is the unit of its number."""
         count = self.count[numbers]
         word = np.repeat(np.arange(len(numbers)), count)
         second = np.concatenate([[False], word[1:] == word[:-1]]) if len(word) else np.zeros(0, bool)
-        kind, code = self.kind[numbers[word]], self.code[numbers[word]]
+        kind, plain = self.kind[numbers[word]], np.where(second, self.unit[numbers[word]], self.code[numbers[word]])
         number = (kind == NUMBER) & ~second
         start = first | np.concatenate([[True], self.ends[numbers[:-1]]])
         behind_number = np.concatenate([[False], number[:-1]]) if len(word) else second
         unit = second | (kind == UNIT) & behind_number & ~first[word]
         name = (kind == CAPITAL) & ~start[word]
+        code = plain.copy()
         for slot, at in ((NUMBER, number), (UNIT, unit), (CAPITAL, name)):
             code[at] = _PLACEHOLDER[slot]
-        return code, number | unit | name, word, second
+        return plain, code, number | unit | name, word, second
 
     def windows(self, texts: list[str | None], sizes: tuple[int, ...], wanted: np.ndarray | None = None, block: int = 1 << 18):
-        """Per text the number of tokens and (hash, position, slot values) of each window with at least half literal
-        tokens; with `wanted` only of those in the filter. Words are worked on a block at a time."""
-        numbers = [self.words.of_all(matches(_SPACED, t)) if isinstance(t, str) else np.zeros(0, np.int64) for t in texts]
+        """Per text the number of tokens and its windows: each one by its values, without slots, and those of SHORT
+        tokens or more with at least half literal tokens by their template too; with `wanted` only those in the filter.
+        `light` says that the window has a template. Words are worked on a block at a time."""
+        numbers = [self.words.of_all(spaced_words(t)) if isinstance(t, str) else np.zeros(0, np.int64) for t in texts]
         self.learn()
         numbers = [n[self.count[n] > 0] for n in numbers]
         stream = np.concatenate([*numbers, np.zeros(0, np.int64)])
@@ -113,36 +148,33 @@ class Templates:
         found: list[list[dict]] = [[] for _ in texts]
         for at in range(0, len(stream), block):
             low, high = max(0, at - 1), min(len(stream), at + block + max(sizes))
-            code, slot, word, second = self._tokens(stream[low:high], first[low:high])
+            plain, code, slot, word, second = self._tokens(stream[low:high], first[low:high])
             word += low
+            slots_before = np.concatenate([[0], np.cumsum(slot)])
             for size in sizes:
                 n = len(code) - size + 1
                 if n <= 0:
                     continue
-                hashed = np.full(n, size, np.uint64)
-                with np.errstate(over="ignore"):
-                    for k in range(size):
-                        hashed = (hashed ^ code[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-                        hashed ^= hashed >> np.uint64(29)
-                keep = (word[:n] >= at) & (word[:n] < at + block) & (owner[word[:n]] == owner[word[size - 1 :]])
-                if wanted is not None:
-                    keep &= wanted[(hashed >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
-                starts = np.flatnonzero(keep)
-                slots_before = np.concatenate([[0], np.cumsum(slot)])
-                starts = starts[2 * (slots_before[starts + size] - slots_before[starts]) <= size]
-                for i in starts.tolist():
-                    inside = (np.flatnonzero(slot[i : i + size]) + i).tolist()
-                    text = int(owner[word[i]])
-                    found[text].append({
-                        "hash": int(hashed[i].astype(np.int64)), "pos": int(token_at[word[i]] + second[i] - token_at[begins[text]]),
-                        "slots": [canonical(self.names[stream[word[j]]])[0][int(second[j])][1] for j in inside]})
+                own = (word[:n] >= at) & (word[:n] < at + block) & (owner[word[:n]] == owner[word[size - 1 :]])
+                n_slots = slots_before[size:] - slots_before[:-size]
+                light = (2 * n_slots <= size) & (size >= SHORT)
+                # Without slots the template is the values.
+                for hashed, keep, templates in ((_hashes(plain, size), own, False), (_hashes(code, size), own & light & (n_slots > 0), True)):
+                    if wanted is not None:
+                        keep = keep & wanted[(hashed >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
+                    for i in np.flatnonzero(keep).tolist():
+                        inside = (np.flatnonzero(slot[i : i + size]) + i).tolist() if templates else []
+                        text = int(owner[word[i]])
+                        found[text].append({
+                            "hash": int(hashed[i].astype(np.int64)), "pos": int(token_at[word[i]] + second[i] - token_at[begins[text]]), "light": bool(light[i]),
+                            "slots": [canonical(self.names[stream[word[j]]])[0][int(second[j])][1] for j in inside]})
         tokens = token_at[begins + lengths] - token_at[begins]
         if self.words.full():
             self.clear()
         return list(zip(tokens.tolist(), found))
 
 
-WINDOWS_TYPE = "tokens int, windows array<struct<hash:long,pos:int,slots:array<string>>>"
+WINDOWS_TYPE = "tokens int, windows array<struct<hash:long,pos:int,light:boolean,slots:array<string>>>"
 
 
 def _windows(sizes: tuple[int, ...], wanted=None):
@@ -166,22 +198,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", text:
     equal distance between the two places; on each line the slot values must map one to one from the item to the
     document, which a question with other numbers and names does and a chance meeting of placeholders does not; on a
     line where they do not, only windows whose values are all equal count.
-    A document leaks an item if what counts covers six different windows of it or half. `same_slots` says that no
-    slot differs.
+    Windows of more slots than literals have no template and items of fewer than five tokens are one window; these count only
+    with all values equal. Every window is also joined by its values, so a verbatim copy is found wherever it stands.
+    A document leaks an item if what counts covers six different windows of it or half, of all its windows or of those with
+    a template. `same_slots` says that no slot differs.
 
     Only windows that pass a bitmap of the benchmark's hashes are ever rows; the bitmap has a fixed size of 512 kB, so a
-    large benchmark lets more pass but changes no result. Items with fewer than five tokens, null texts and null
+    large benchmark lets more pass but changes no result. Texts without a letter or digit, null texts and null
     keys have no windows to find. Repeated rows of a key count once. Empty tables give an empty result.
     """
     spark = prepare(docs.sparkSession)
     items = benchmark.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(
         F.col(item_key).alias("item"), F.col(item_text).alias("_text"))
-    # The windows of an item: those of WINDOW tokens, or those of SHORT for an item too short for one.
-    plain = items.select("item", _windows((WINDOW,))("_text").alias("w"), _windows((SHORT,))("_text").alias("s"))
-    whole = F.col("w.tokens") >= WINDOW
-    windows = settle(plain.select("item", F.when(whole, WINDOW).otherwise(SHORT).alias("size"), F.when(whole, F.col("w.windows")).otherwise(F.col("s.windows")).alias("found"))
-                     .select("item", "size", F.size("found").alias("item_windows"), F.explode("found").alias("x"))
-                     .select("item", "size", "item_windows", F.col("x.hash").alias("hash"), F.col("x.pos").alias("item_pos"), F.col("x.slots").alias("item_slots")), "item-windows")
+    # The windows of an item: those of WINDOW tokens, or those of SHORT for an item too short for one, or the whole item.
+    made = [*range(1, SHORT + 1), WINDOW]
+    plain = items.select("item", F.array(*[_windows((n,))("_text") for n in made]).alias("w")).withColumn("tokens", F.col("w")[0]["tokens"])
+    size = F.when(F.col("tokens") >= WINDOW, WINDOW).otherwise(F.least(F.col("tokens"), F.lit(SHORT)))
+    found = F.when(F.col("tokens") >= WINDOW, F.col("w")[len(made) - 1]["windows"]).otherwise(F.element_at("w", size)["windows"])
+    windows = settle(plain.where("tokens > 0").select("item", size.alias("size"), found.alias("found"), (F.col("tokens") - size + 1).alias("item_windows"))
+                     .select("item", "size", "item_windows", F.size(F.array_distinct(F.transform(F.filter("found", lambda x: x["light"]), lambda x: x["pos"]))).alias("item_light"), F.explode("found").alias("x"))
+                     .select("item", "size", "item_windows", "item_light", F.col("x.hash").alias("hash"), F.col("x.pos").alias("item_pos"), F.col("x.light").alias("light"), F.col("x.slots").alias("item_slots")), "item-windows")
     sizes = tuple(sorted(r[0] for r in windows.select("size").distinct().collect())) or (WINDOW,)
     slots = windows.select(F.shiftrightunsigned("hash", 64 - _FILTER_BITS).alias("slot")).distinct().toArrow().column("slot").to_numpy()
     bits = np.zeros(1 << _FILTER_BITS, bool)
@@ -191,18 +227,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", text:
             .select("doc", F.explode("w.windows").alias("x")).select("doc", F.col("x.hash").alias("hash"), F.col("x.pos").alias("doc_pos"), F.col("x.slots").alias("doc_slots")))
     met = hits.join(windows, "hash").withColumn("line", F.col("doc_pos") - F.col("item_pos"))
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
-    lines = met.groupBy("doc", "item", "item_windows", "line").agg(
-        F.collect_set("item_pos").alias("places"),
-        F.collect_set(F.when(F.col("item_slots") == F.col("doc_slots"), F.col("item_pos"))).alias("exact_places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    place = F.struct("item_pos", "light")
+    lines = met.groupBy("doc", "item", "item_windows", "item_light", "line").agg(
+        F.collect_set(place).alias("places"),
+        F.collect_set(F.when(F.col("item_slots") == F.col("doc_slots"), place)).alias("exact_places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     one_to_one = ((F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))))
                   & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"])))))
     # A window of the item counts once, on however many lines the document repeats it.
-    covered = (lines.select("doc", "item", "item_windows", F.forall("pairs", lambda p: p["i"] == p["d"]).alias("same"),
+    covered = (lines.select("doc", "item", "item_windows", "item_light", F.forall("pairs", lambda p: p["i"] == p["d"]).alias("same"),
                             F.explode(F.when(one_to_one, F.col("places")).otherwise(F.col("exact_places"))).alias("place"))
-               .groupBy("doc", "item", "item_windows").agg(
-        F.size(F.collect_set("place")).cast("long").alias("matched_windows"), F.bool_and("same").alias("same_slots")))
-    enough = F.least(F.lit(ENOUGH), F.ceil(F.col("item_windows") / 2))
-    return covered.where(F.col("matched_windows") >= enough).select(
+               .groupBy("doc", "item", "item_windows", "item_light").agg(F.collect_set("place").alias("places"), F.bool_and("same").alias("same_slots"))
+               .withColumn("matched_windows", F.size("places").cast("long")).withColumn("matched_light", F.size(F.filter("places", lambda p: p["light"]))))
+    enough = lambda n: F.least(F.lit(ENOUGH), F.ceil(F.col(n) / 2))
+    leaked = (F.col("matched_windows") >= enough("item_windows")) | (F.col("item_light") > 0) & (F.col("matched_light") >= enough("item_light"))
+    return covered.where(leaked).select(
         "doc", "item", "matched_windows", F.col("item_windows").cast("long").alias("item_windows"), "same_slots")
 
 
