@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import math
 import os
 import random
 import re
@@ -103,6 +104,31 @@ def test_slot_heavy_and_short_items_are_found_as_copies(spark):
     assert found == {(0, 0): (3, 3, True), (1, 1): (1, 1, True), (2, 2): (9, 9, True), (3, 3): (5, 5, True)}
 
 
+def test_names_that_begin_a_sentence(spark):
+    items = ["Tom has 5 apples. Sue has 3 pears. How many fruits are there", "What is the capital of France", "What is 5 plus 7"]
+    docs = ["Ann has 7 apples. Ben has 4 pears. How many fruits are there", "Q What is the capital of France", "Q What is 3 plus 9",
+            "then Tom has 6 apples. Sue has 2 pears. How many fruits are there", "Tom has 5 rivers. Sue sees 3 pears. How few fruits are there"]
+    spoken = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc, r["item"]): r.same_slots for r in decontaminate.leaks(spoken, benchmark).collect()}
+    assert found == {(0, 0): False, (1, 1): True, (2, 2): False, (3, 0): False}
+
+
+def test_template_windows_equal_all_readings_tried():
+    rng = random.Random(8)
+    words = ["the", "Anna", "Bert", "Carl", "30", "km", "end.", "of"]
+    for size in (5, 8):
+        text = " ".join(rng.choice(words) for _ in range(60))
+        (tokens, found), = decontaminate.Templates().windows([text], (size,))
+        kinds = [(k, v) for w in text.split() for k, v in decontaminate.canonical(w)[0]]
+        want = 0
+        for at in range(tokens - size + 1):
+            fixed = sum(k == 1 or k == 2 and at + j and kinds[at + j - 1][0] == 1 for j, (k, _) in enumerate(kinds[at:at + size]))
+            capitals = sum(k == 3 for k, _ in kinds[at:at + size])
+            want += (fixed > 0) + sum(math.comb(capitals, n) for n in range(size // 2 - fixed + 1) if fixed <= size // 2)
+        assert len(found) == want == len({(w["hash"], w["pos"]) for w in found})
+
+
 def test_leaks_equal_brute_force(spark):
     found = {(r.doc_id, r.item_id) for r in queries.QUERIES["op1_decontamination"](spark, SF).collect()}
     con = duckdb.connect()

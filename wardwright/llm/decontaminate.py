@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -74,6 +76,26 @@ def _hashes(code: np.ndarray, size: int) -> np.ndarray:
     return (total[size:] - total[:-size]) * inverse[: len(code) - size + 1] + np.uint64(size * 0xD6E8FEB86659FD93 % (1 << 64))
 
 
+def _readings(starts: np.ndarray, hashed: np.ndarray, slots: np.ndarray, size: int, capital: np.ndarray, turn: np.ndarray):
+    """Windows with each choice of capitalised words read as names, up to half slots: start, hash, chosen places as bits.
+    `turn` is what a name adds to the code of a word. In parts of bounded size."""
+    inside = np.concatenate([[0], np.cumsum(capital)])
+    choices = np.array([[sum(comb(n, k) for k in range(room + 1)) for room in range(size // 2 + 1)] for n in range(size + 1)])
+    rows = np.cumsum(choices[inside[starts + size] - inside[starts], size // 2 - slots])
+    power = _powers(size)[0]
+    at = 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(rows, (rows[at - 1] if at else 0) + (1 << 19), "right")))
+        i, h, left, bits = starts[at:end], hashed[at:end], size // 2 - slots[at:end], np.zeros(end - at, np.int16)
+        for k in range(size):
+            more = np.flatnonzero(capital[i + k] & (left > 0))
+            if len(more):
+                i, h = np.concatenate([i, i[more]]), np.concatenate([h, h[more] + turn[i[more] + k] * power[k]])
+                left, bits = np.concatenate([left, left[more] - 1]), np.concatenate([bits, bits[more] | (1 << k)])
+        yield i, h, bits
+        at = end
+
+
 class Templates:
     """Turns texts into template windows; remembers what words stand for, up to a bound."""
 
@@ -93,30 +115,29 @@ class Templates:
             return
         from xxhash import xxh64_intdigest
 
-        count, ends, kind, code, unit = bytearray(), bytearray(), bytearray(), [], []
-        for word in fresh:
+        n = len(fresh)
+        count, ends, kind, code, unit = bytearray(b"\1" * n), bytearray(n), bytearray(n), [0] * n, np.zeros(n, np.uint64)
+        for k, word in enumerate(fresh):
             bare = word.rstrip(".,!?;:")
             if bare.isalpha() and bare.islower() and bare not in UNITS:  # most words, without further ado
-                count.append(1)
-                ends.append(_ENDS.search(word) is not None if bare is not word and len(bare) != len(word) else 0)
-                kind.append(LITERAL)
-                code.append(xxh64_intdigest(bare))
-                unit.append(0)
+                ends[k] = bare != word and word[-1] != ","
+                code[k] = xxh64_intdigest(bare)
                 continue
-            tokens, end = canonical(word)
-            count.append(len(tokens))
-            ends.append(end)
-            kind.append(tokens[0][0] if tokens else LITERAL)
-            code.append(xxh64_intdigest(tokens[0][1]) if tokens else 0)
-            unit.append(xxh64_intdigest(tokens[1][1]) if len(tokens) > 1 else 0)
+            tokens, ends[k] = canonical(word)
+            count[k] = len(tokens)
+            if tokens:
+                kind[k], code[k] = tokens[0][0], xxh64_intdigest(tokens[0][1])
+            if len(tokens) > 1:
+                unit[k] = xxh64_intdigest(tokens[1][1])
         self.names += fresh
         self.count, self.ends = np.concatenate([self.count, np.frombuffer(count, np.int8)]), np.concatenate([self.ends, np.frombuffer(ends, bool)])
         self.kind, self.code = np.concatenate([self.kind, np.frombuffer(kind, np.int8)]), np.concatenate([self.code, np.array(code, np.uint64)])
-        self.unit = np.concatenate([self.unit, np.array(unit, np.uint64)])
+        self.unit = np.concatenate([self.unit, unit])
 
     def _tokens(self, numbers: np.ndarray, first: np.ndarray):
-        """Codes of the values, codes with placeholders, whether each token is a slot, and the word and place it came
-        from. `first`: words that begin a text. A second token of a word is the unit of its number."""
+        """Codes of the values, codes with numbers and units as placeholders, whether each token is such a slot, whether it
+        is capitalised, whether that is inside a sentence, and the word and place it came from. `first`: words that begin a
+        text. A second token of a word is the unit of its number."""
         count = self.count[numbers]
         word = np.repeat(np.arange(len(numbers)), count)
         second = np.concatenate([[False], word[1:] == word[:-1]]) if len(word) else np.zeros(0, bool)
@@ -125,16 +146,18 @@ class Templates:
         start = first | np.concatenate([[True], self.ends[numbers[:-1]]])
         behind_number = np.concatenate([[False], number[:-1]]) if len(word) else second
         unit = second | (kind == UNIT) & behind_number & ~first[word]
-        name = (kind == CAPITAL) & ~start[word]
+        capital = kind == CAPITAL
         code = plain.copy()
-        for slot, at in ((NUMBER, number), (UNIT, unit), (CAPITAL, name)):
+        for slot, at in ((NUMBER, number), (UNIT, unit)):
             code[at] = _PLACEHOLDER[slot]
-        return plain, code, number | unit | name, word, second
+        return plain, code, number | unit, capital, capital & ~start[word], word, second
 
     def windows(self, texts: list[str | None], sizes: tuple[int, ...], wanted: np.ndarray | None = None, block: int = 1 << 18):
         """Per text the number of tokens and its windows: each one by its values, without slots, and those of SHORT
         tokens or more with at least half literal tokens by their template too; with `wanted` only those in the filter.
-        `light` says that the window has a template. Words are worked on a block at a time."""
+        A capitalised word is read as a name and as a literal, wherever it stands; `usual` is the reading as a name inside
+        a sentence and a literal at its start, and `light` says that this one has a template. Words are worked on a block
+        at a time."""
         numbers = [self.words.of_all(spaced_words(t)) if isinstance(t, str) else np.zeros(0, np.int64) for t in texts]
         self.learn()
         numbers = [n[self.count[n] > 0] for n in numbers]
@@ -148,25 +171,35 @@ class Templates:
         found: list[list[dict]] = [[] for _ in texts]
         for at in range(0, len(stream), block):
             low, high = max(0, at - 1), min(len(stream), at + block + max(sizes))
-            plain, code, slot, word, second = self._tokens(stream[low:high], first[low:high])
+            plain, code, slot, capital, inner, word, second = self._tokens(stream[low:high], first[low:high])
             word += low
-            slots_before = np.concatenate([[0], np.cumsum(slot)])
+            turn = np.uint64(_PLACEHOLDER[CAPITAL]) - plain
+            slots_before, inner_before, capitals_before = (np.concatenate([[0], np.cumsum(x)]) for x in (slot, inner, capital))
             for size in sizes:
                 n = len(code) - size + 1
                 if n <= 0:
                     continue
                 own = (word[:n] >= at) & (word[:n] < at + block) & (owner[word[:n]] == owner[word[size - 1 :]])
-                n_slots = slots_before[size:] - slots_before[:-size]
-                light = (2 * n_slots <= size) & (size >= SHORT)
-                # Without slots the template is the values.
-                for hashed, keep, templates in ((_hashes(plain, size), own, False), (_hashes(code, size), own & light & (n_slots > 0), True)):
+                n_slots, n_inner, n_capitals = (x[size:] - x[:-size] for x in (slots_before, inner_before, capitals_before))
+                light = (2 * (n_slots + n_inner) <= size) & (size >= SHORT)
+                exact, template = _hashes(plain, size), _hashes(code, size)
+                tried = np.flatnonzero(own & (2 * n_slots <= size) & (n_slots + n_capitals > 0)) if size >= SHORT else np.zeros(0, np.int64)
+                every = np.flatnonzero(own)
+                parts = [(every, exact[every], np.full(len(every), -1))]
+                parts = chain(parts, _readings(tried, template[tried], n_slots[tried], size, capital, turn))
+                for starts, hashed, names in parts:
                     if wanted is not None:
-                        keep = keep & wanted[(hashed >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
-                    for i in np.flatnonzero(keep).tolist():
-                        inside = (np.flatnonzero(slot[i : i + size]) + i).tolist() if templates else []
+                        kept = wanted[(hashed >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
+                        starts, hashed, names = starts[kept], hashed[kept], names[kept]
+                    for i, h, bits in zip(starts.tolist(), hashed.astype(np.int64).tolist(), names.tolist()):
+                        if not bits and not n_slots[i]:
+                            continue  # Without slots the template is the values.
+                        chosen = 0 if bits < 0 else bits
+                        inside = [j for j in range(i, i + size) if bits >= 0 and (slot[j] or chosen >> j - i & 1)]
+                        usual = bool(light[i] and (bits >= 0 or not n_slots[i]) and all(inner[j] == (chosen >> j - i & 1) for j in range(i, i + size)))
                         text = int(owner[word[i]])
                         found[text].append({
-                            "hash": int(hashed[i].astype(np.int64)), "pos": int(token_at[word[i]] + second[i] - token_at[begins[text]]), "light": bool(light[i]),
+                            "hash": h, "pos": int(token_at[word[i]] + second[i] - token_at[begins[text]]), "light": bool(light[i]), "usual": usual,
                             "slots": [canonical(self.names[stream[word[j]]])[0][int(second[j])][1] for j in inside]})
         tokens = token_at[begins + lengths] - token_at[begins]
         if self.words.full():
@@ -174,18 +207,35 @@ class Templates:
         return list(zip(tokens.tolist(), found))
 
 
-WINDOWS_TYPE = "tokens int, windows array<struct<hash:long,pos:int,light:boolean,slots:array<string>>>"
+WINDOWS_TYPE = "tokens int, windows array<struct<hash:long,pos:int,light:boolean,usual:boolean,slots:array<string>>>"
+
+
+def _size(tokens: int) -> int:
+    return WINDOW if tokens >= WINDOW else min(tokens, SHORT)
+
+
+def _by_length(made: Templates, texts: list[str | None]) -> list[tuple[int, list[dict]]]:
+    """The windows of items: those of WINDOW tokens, or those of SHORT for an item too short for one, or the whole item."""
+    rows = made.windows(texts, (WINDOW,))
+    for size in {_size(n) for n, _ in rows if 0 < n < WINDOW}:
+        places = [k for k, (n, _) in enumerate(rows) if _size(n) == size]
+        for k, row in zip(places, made.windows([texts[k] for k in places], (size,))):
+            rows[k] = row
+    return rows
 
 
-def _windows(sizes: tuple[int, ...], wanted=None):
-    """The template windows of texts; of the sizes given only the ones in the filter `wanted`."""
+def _windows(sizes: tuple[int, ...] = (), wanted=None):
+    """The windows of texts; of the sizes given only the ones in the filter `wanted`, else those of items."""
 
     @F.pandas_udf(WINDOWS_TYPE)
     def found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         made = Templates()
         bits = None if wanted is None else np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
         for batch in texts:
-            rows = [row for at in range(0, len(batch), 100) for row in made.windows(batch[at : at + 100].tolist(), sizes, bits)]
+            rows = []
+            for at in range(0, len(batch), 100):
+                part = batch[at : at + 100].tolist()
+                rows += made.windows(part, sizes, bits) if sizes else _by_length(made, part)
             yield pd.DataFrame(rows, columns=["tokens", "windows"])
 
     return found
@@ -198,6 +248,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", text:
     equal distance between the two places; on each line the slot values must map one to one from the item to the
     document, which a question with other numbers and names does and a chance meeting of placeholders does not; on a
     line where they do not, only windows whose values are all equal count.
+    A capitalised word may be a name or a literal, wherever in a sentence it stands; if names at the start of sentences do
+    not map one to one, these words are literals there.
     Windows of more slots than literals have no template and items of fewer than five tokens are one window; these count only
     with all values equal. Every window is also joined by its values, so a verbatim copy is found wherever it stands.
     A document leaks an item if what counts covers six different windows of it or half, of all its windows or of those with
@@ -210,32 +262,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", text:
     spark = prepare(docs.sparkSession)
     items = benchmark.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(
         F.col(item_key).alias("item"), F.col(item_text).alias("_text"))
-    # The windows of an item: those of WINDOW tokens, or those of SHORT for an item too short for one, or the whole item.
-    made = [*range(1, SHORT + 1), WINDOW]
-    plain = items.select("item", F.array(*[_windows((n,))("_text") for n in made]).alias("w")).withColumn("tokens", F.col("w")[0]["tokens"])
+    plain = items.select("item", _windows()("_text").alias("w")).select("item", "w.tokens", F.col("w.windows").alias("found"))
     size = F.when(F.col("tokens") >= WINDOW, WINDOW).otherwise(F.least(F.col("tokens"), F.lit(SHORT)))
-    found = F.when(F.col("tokens") >= WINDOW, F.col("w")[len(made) - 1]["windows"]).otherwise(F.element_at("w", size)["windows"])
-    windows = settle(plain.where("tokens > 0").select("item", size.alias("size"), found.alias("found"), (F.col("tokens") - size + 1).alias("item_windows"))
+    windows = settle(plain.where("tokens > 0").select("item", size.alias("size"), "found", (F.col("tokens") - size + 1).alias("item_windows"))
                      .select("item", "size", "item_windows", F.size(F.array_distinct(F.transform(F.filter("found", lambda x: x["light"]), lambda x: x["pos"]))).alias("item_light"), F.explode("found").alias("x"))
-                     .select("item", "size", "item_windows", "item_light", F.col("x.hash").alias("hash"), F.col("x.pos").alias("item_pos"), F.col("x.light").alias("light"), F.col("x.slots").alias("item_slots")), "item-windows")
+                     .select("item", "size", "item_windows", "item_light", F.col("x.hash").alias("hash"), F.col("x.pos").alias("item_pos"), F.col("x.light").alias("light"), F.col("x.usual").alias("item_usual"), F.col("x.slots").alias("item_slots")), "item-windows")
     sizes = tuple(sorted(r[0] for r in windows.select("size").distinct().collect())) or (WINDOW,)
     slots = windows.select(F.shiftrightunsigned("hash", 64 - _FILTER_BITS).alias("slot")).distinct().toArrow().column("slot").to_numpy()
     bits = np.zeros(1 << _FILTER_BITS, bool)
     bits[slots] = True
     sent = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
     hits = (docs.where(F.col(doc_key).isNotNull()).select(F.col(doc_key).alias("doc"), _windows(sizes, sent)(text).alias("w"))
-            .select("doc", F.explode("w.windows").alias("x")).select("doc", F.col("x.hash").alias("hash"), F.col("x.pos").alias("doc_pos"), F.col("x.slots").alias("doc_slots")))
+            .select("doc", F.explode("w.windows").alias("x")).select("doc", F.col("x.hash").alias("hash"), F.col("x.pos").alias("doc_pos"), F.col("x.usual").alias("doc_usual"), F.col("x.slots").alias("doc_slots")))
     met = hits.join(windows, "hash").withColumn("line", F.col("doc_pos") - F.col("item_pos"))
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
     place = F.struct("item_pos", "light")
+    usual = F.col("item_usual") & F.col("doc_usual")
     lines = met.groupBy("doc", "item", "item_windows", "item_light", "line").agg(
-        F.collect_set(place).alias("places"),
-        F.collect_set(F.when(F.col("item_slots") == F.col("doc_slots"), place)).alias("exact_places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    one_to_one = ((F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))))
-                  & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"])))))
+        F.collect_set(place).alias("places"), F.collect_set(F.when(usual, place)).alias("usual_places"),
+        F.collect_set(F.when(F.col("item_slots") == F.col("doc_slots"), place)).alias("exact_places"),
+        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.array_distinct(F.flatten(F.collect_set(F.when(usual, pairs)))).alias("usual_pairs"))
+
+    def one_to_one(column: str):
+        return ((F.size(column) == F.size(F.array_distinct(F.transform(column, lambda p: p["i"]))))
+                & (F.size(column) == F.size(F.array_distinct(F.transform(column, lambda p: p["d"])))))
+
+    # Names at the start of sentences, if they map one to one as well; else literals there.
+    counted = (F.when(one_to_one("pairs"), F.col("places")).when(one_to_one("usual_pairs"), F.array_union("usual_places", "exact_places"))
+               .otherwise(F.col("exact_places")))
+    judged = F.when(one_to_one("pairs"), F.col("pairs")).otherwise(F.col("usual_pairs"))
     # A window of the item counts once, on however many lines the document repeats it.
-    covered = (lines.select("doc", "item", "item_windows", "item_light", F.forall("pairs", lambda p: p["i"] == p["d"]).alias("same"),
-                            F.explode(F.when(one_to_one, F.col("places")).otherwise(F.col("exact_places"))).alias("place"))
+    covered = (lines.select("doc", "item", "item_windows", "item_light", F.forall(judged, lambda p: p["i"] == p["d"]).alias("same"),
+                            F.explode(counted).alias("place"))
                .groupBy("doc", "item", "item_windows", "item_light").agg(F.collect_set("place").alias("places"), F.bool_and("same").alias("same_slots"))
                .withColumn("matched_windows", F.size("places").cast("long")).withColumn("matched_light", F.size(F.filter("places", lambda p: p["light"]))))
     enough = lambda n: F.least(F.lit(ENOUGH), F.ceil(F.col(n) / 2))
