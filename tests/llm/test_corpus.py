@@ -1,12 +1,15 @@
 """The corpus operators against brute force, public libraries and edge cases."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import math
 import os
 import random
 import re
 import urllib.parse
+import zlib
 
 import duckdb
 import numpy as np
@@ -184,6 +187,23 @@ def test_layers_are_unwrapped_and_mapped():
     assert once[3] == 1 and not [x for x in once[1] if x[0] == "assign"]
 
 
+def test_compressed_layers_to_the_last():
+    secret = b"x password=hunter2secret y"
+    nested = [gzip.compress(gzip.compress(secret)), gzip.compress(zlib.compress(secret)), bz2.compress(lzma.compress(gzip.compress(secret))),
+              gzip.compress(base64.b64encode(gzip.compress(gzip.compress(secret))))]
+    members = [pack(b"nothing ") + pack(secret) for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress)]
+    odd = [gzip.compress(b"x pass") + gzip.compress(b"word=hunter2secret"), gzip.compress(b"nothing") + b"\0" * 8 + gzip.compress(secret),
+           gzip.compress(b"nothing") + gzip.compress(gzip.compress(secret)), gzip.compress(b"nothing") + secret, b"BZh, " + secret,
+           gzip.compress(b"a" * 5000) * 300 + gzip.compress(secret)]
+    for data in nested + members + odd:
+        packed = base64.b64encode(data).decode()
+        _, spans, _, oversized = secret_scan.scan(f"see {packed} end")
+        assert ("assign", 4, 4 + len(packed.rstrip("="))) in [(k, s, min(e, 4 + len(packed.rstrip("=")))) for k, s, e in spans] and not oversized, data[:8]
+        assert secret_scan.scan(f"see {data.hex()} end")[1]
+    bomb = base64.b64encode(gzip.compress(gzip.compress(b"\0" * 5000) + b"\0" * 5000)).decode()
+    assert secret_scan.scan(bomb, max_decoded=1000)[3] == 1
+
+
 def test_base_spans_follow_the_contract(spark, odd):
     texts = ["token=api:secret1", "token=token:abcdefg", "PASSWORD : 'abcdef' AKIA" + "A" * 16, "AKIAAKIA" + "B" * 12, "deadbeef" * 3, "deadbeef" * 2 + "dead", None]
     kinds = {"assign": (r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),

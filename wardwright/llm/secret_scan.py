@@ -74,19 +74,61 @@ def _printable(data: bytes) -> str | None:
     return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
 
 
-def _inflate(data: bytes, room: int) -> tuple[bytes | None, bool]:
-    """Decompressed bytes, and whether they would exceed `room`."""
+def _member(data: bytes, at: int, room: int) -> tuple[bytes | None, int]:
+    """What the compressed member at `at` holds, None if that exceeds `room`, and where the member ends. Of a broken
+    member the part that could be read. The input is fed in growing steps, as the rest behind a member is copied."""
+    out, size, step = [], 0, 1024
     try:
-        if data[:3] == b"BZh":
+        if data.startswith(b"BZh", at):
             tool = bz2.BZ2Decompressor()
-        elif data[:2] == b"\xfd7":
+        elif data.startswith(b"\xfd7", at):
             tool = lzma.LZMADecompressor(memlimit=64 << 20)
         else:
             tool = zlib.decompressobj(47)
-        out = tool.decompress(data, max_length=room + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None, False
-    return (None, True) if len(out) > room else (out, False)
+        while at < len(data) and not tool.eof:
+            part = data[at : at + step]
+            at, step = at + len(part), min(2 * step, 1 << 20)
+            out.append(tool.decompress(part, max_length=room - size + 1))
+            size += len(out[-1])
+            if size > room:
+                return None, len(data)
+    except lzma.LZMAError as e:
+        return (None if "limit" in str(e) else b"".join(out)), len(data)
+    except (zlib.error, OSError, EOFError, ValueError):
+        return b"".join(out), len(data)
+    return b"".join(out), at - len(tool.unused_data) if tool.eof else len(data)
+
+
+def _texts(data: bytes, max_decoded: int, used: list[int]) -> Iterator[str | None]:
+    """The texts in `data`, inflated again while a magic number fits; None for what would exceed `max_decoded`. Members
+    that follow one another are one content, as their tools have it; if that is no text, each is tried by itself.
+    Inflated bytes that are no text count towards it within the run only."""
+    work, seen, spent = [data], set(), 0
+    while work:
+        data = work.pop()
+        if data.startswith(_MAGIC) and (mark := hashlib.sha256(data).digest()) not in seen:
+            seen.add(mark)
+            members, at, size = [], 0, 0
+            while data.startswith(_MAGIC, at):
+                content, at = _member(data, at, max(0, max_decoded - used[0] - spent - size))
+                if content is None:
+                    yield None
+                elif content:
+                    members.append(content)
+                    size += len(content)
+                while data.startswith(b"\0", at):  # padding between members
+                    at += 1
+            if rest := data[at:] if at else b"":
+                work.append(rest)
+            if members:
+                joined = b"".join(members)
+                work.append(joined)
+                if _printable(joined) is None:
+                    spent += size
+                    if len(members) > 1:
+                        work += members
+        if text := _printable(data):
+            yield text
 
 
 def _unescape(m: re.Match) -> str | None:
@@ -138,8 +180,8 @@ def _replaced(layer: Layer, expression: re.Pattern, decode) -> Layer | None:
     return Layer("".join(pieces), marks, origins, exact)
 
 
-def _packed(layer: Layer, room: int) -> Iterator[tuple[Layer | None, bool]]:
-    """A layer for each run of base64 or hexadecimal bytes that holds text, straight or compressed."""
+def _packed(layer: Layer, max_decoded: int, used: list[int]) -> Iterator[Layer | None]:
+    """A layer for each text in a run of base64 or hexadecimal bytes, straight or compressed; None for one too large."""
     for expression in (_BASE64, _HEX_BYTES):
         for m in expression.finditer(layer.text):
             run = m.group().rstrip("=")
@@ -152,14 +194,8 @@ def _packed(layer: Layer, room: int) -> Iterator[tuple[Layer | None, bool]]:
                     data = bytes.fromhex(run)
             except (binascii.Error, ValueError):
                 continue
-            too_large = False
-            if data.startswith(_MAGIC):
-                data, too_large = _inflate(data, room)
-            text = _printable(data) if data else None
-            if too_large:
-                yield None, True
-            elif text:
-                yield Layer(text, [0], [layer.span(m.start(), m.end())], [False]), False
+            for text in _texts(data, max_decoded, used):
+                yield Layer(text, [0], [layer.span(m.start(), m.end())], [False]) if text else None
 
 
 def scan(text: str | None, max_decoded: int = MAX_DECODED) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:
@@ -170,27 +206,31 @@ def scan(text: str | None, max_decoded: int = MAX_DECODED) -> tuple[list[tuple[s
     """
     text = text or ""
     base = find(text)
-    spans, seen, work, used, oversized = set(base), set(), deque([Layer.whole(text)]), 0, 0
+    spans, seen, work, used, oversized = set(base), set(), deque([Layer.whole(text)]), [0], 0
+
+    def unwrapped(layer: Layer) -> Iterator[Layer | None]:
+        if "%" in layer.text:
+            yield _replaced(layer, _PERCENT, _unpercent) or layer
+        if "\\" in layer.text or "&#" in layer.text:
+            yield _replaced(layer, _ESCAPE, _unescape) or layer
+        yield from _packed(layer, max_decoded, used)
+
     while work:
         layer = work.popleft()
-        found: list[Layer] = []
-        if "%" in layer.text and (x := _replaced(layer, _PERCENT, _unpercent)):
-            found.append(x)
-        if ("\\" in layer.text or "&#" in layer.text) and (x := _replaced(layer, _ESCAPE, _unescape)):
-            found.append(x)
-        for x, too_large in _packed(layer, max(0, max_decoded - used)):
-            oversized += too_large
-            if x:
-                found.append(x)
-        for x in found:
+        for x in unwrapped(layer):
+            if x is None:
+                oversized += 1
+                continue
+            if x is layer:
+                continue
             mark = (hashlib.sha256(x.text.encode("utf-8", "surrogatepass")).digest(), x.origins[0][0], x.origins[-1][1])
             if mark in seen:
                 continue
             seen.add(mark)
-            if used + len(x.text) > max_decoded + len(text):
+            if used[0] + len(x.text) > max_decoded + len(text):
                 oversized += 1
                 continue
-            used += len(x.text)
+            used[0] += len(x.text)
             spans.update((kind, *x.span(start, end)) for kind, start, end in find(x.text))
             work.append(x)
     return base, sorted(spans, key=_order), len(seen), oversized
