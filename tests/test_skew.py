@@ -56,7 +56,7 @@ def test_refusals_on_a_hot_slot(spark, small_partitions):
     held = spark.range(ROWS).select(F.col("id").alias("appointment_id"), *slot, F.lit("Completed").alias("status")).filter(hot())
     checked = requests.select("*", F.lit(True).alias("present"), F.rand(2).cast("string").alias("absence"),
                               F.lit(True).alias("complete"), F.lit(True).alias("valid"))
-    state = booking._slot_state(checked, requests, held)
+    state = booking._slot_state(checked, booking._held_slots(requests, held))
     n, split = consume(booking._refusals(checked, state))
     winners = booking._winners(state).count()
     assert winners == state.count() - 1 and n == ROWS - winners and split >= 1
