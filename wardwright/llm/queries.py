@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardwright.llm import url_filter, warc
+from wardwright.llm import phrases, url_filter, warc
 from wardwright.llm.bpe import op10_byte_bpe
 from wardwright.llm.decontaminate import op1_decontamination
 from wardwright.llm.embeddings import op8_embedding_forest
@@ -23,6 +23,7 @@ QUERIES = {
     "op8_embedding_forest": op8_embedding_forest,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_toivonen_phrases": phrases.op11_toivonen_phrases,
 }
 #: The others are models, iterations or decoders that SQL does not express; tests hold them against brute force.
-SQL = {"op2_url_filter": url_filter.SQL, "op5_warc": warc.SQL}
+SQL = {"op2_url_filter": url_filter.SQL, "op5_warc": warc.SQL, "op11_toivonen_phrases": phrases.SQL}
