@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from wardwright.llm import phrases, url_filter, warc
+from wardwright.llm import cover_tree, phrases, url_filter, warc
+from wardwright.llm.alignment import op13_tokenizer_alignment
 from wardwright.llm.bpe import op10_byte_bpe
 from wardwright.llm.decontaminate import op1_decontamination
 from wardwright.llm.embeddings import op8_embedding_forest
@@ -24,6 +25,8 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_toivonen_phrases": phrases.op11_toivonen_phrases,
+    "op12_cover_tree_topk": cover_tree.op12_cover_tree_topk,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 #: The others are models, iterations or decoders that SQL does not express; tests hold them against brute force.
-SQL = {"op2_url_filter": url_filter.SQL, "op5_warc": warc.SQL, "op11_toivonen_phrases": phrases.SQL}
+SQL = {"op2_url_filter": url_filter.SQL, "op5_warc": warc.SQL, "op11_toivonen_phrases": phrases.SQL, "op12_cover_tree_topk": cover_tree.SQL}
