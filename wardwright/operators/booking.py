@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardwright.functions.pointers import settle_negations
 from wardwright.functions.scalars import money
 from wardwright.operators import audit
 from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, admission, exists_flag,
@@ -62,8 +63,10 @@ def book_appointments(t: Tables, requests: DataFrame, as_of: str, high_water: in
     Decisions are made on the key columns only; the full request rows are joined
     to the winners once, by `request_seq`.
     """
-    # One small row per doctor; its presence is the reference check on doctors.
-    waits = settle(predicted_wait(t["doctors"], t["appointments"]), "waits")
+    # One small row per doctor asked for; its presence is the reference check on doctors. A small batch prunes the scan of
+    # the appointments below their aggregation.
+    asked = requests.select("doctor_id").filter("doctor_id IS NOT NULL")
+    waits = settle(predicted_wait(only_wanted(t["doctors"], ["doctor_id"], asked), only_wanted(t["appointments"], ["doctor_id"], asked)), "waits")
     checked = wanted_flag(requests.select(SEQ, "patient_id", *SLOT_KEY), "patient_id", t["patients"], "patient_id",
                           "_patient")
     checked = exists_flag(checked, "doctor_id", waits, "doctor_id", "_doctor").select(
@@ -84,26 +87,38 @@ def book_appointments(t: Tables, requests: DataFrame, as_of: str, high_water: in
 def _registrations(contenders: DataFrame) -> DataFrame:
     """Per phone new to the files, the `request_seq` that registers it, as `registered_at`; settled.
 
-    `contenders` ask for free slots of existing doctors. `sure` ones are complete as they stand; the others need an
-    earlier registration of their phone, by a `registers` request that wins its slot. That may hang on a caller of
-    the same kind in turn, so they are decided in rounds. A round settles at least the lowest open request: at
-    worst there are as many rounds as the longest chain of such callers, and none if all callers are sure. After a
-    round, only the first sure request of a slot and the open ones before it are left.
+    `contenders` ask for free slots of existing doctors. `sure` ones are complete as they stand; the others wait for an
+    earlier registration of their phone, by a `registers` request that wins its slot. Of a slot's sure requests only the first can
+    win, so these heads are all that can register; a head wins if no request that waits before it in its slot gets its phone registered.
+
+    In a round a waiting request is let in by a head that has won, and given up if no head of its phone is left before it. A head with
+    none left before it wins, one with a let-in request before it loses, and one that has a single request left before it, which
+    can hope for a single head only, wins exactly if that one loses. Such heads form chains, which are settled by doubling
+    pointers. Only heads that hang on several others are left for the next round, which decides at least the first.
     """
     contenders = settle(contenders.select(SEQ, "phone", *SLOT_KEY, "sure", "registers"), "callers")
-    while not contenders.filter("NOT sure").isEmpty():
-        slots = settle(contenders.groupBy(*SLOT_KEY).agg(
-            F.min(SEQ).alias("_first"), F.min(F.when(F.col("sure"), F.col(SEQ))).alias("_first_sure")), "caller-slots")
-        running = contenders.join(slots, SLOT_KEY).filter(F.col("_first_sure").isNull() | (F.col(SEQ) <= F.col("_first_sure")))
-        # Nobody before it is open: it wins. Otherwise it may.
-        calls = settle(running.filter("registers").groupBy("phone").agg(
-            F.min(F.when(F.col(SEQ) == F.col("_first"), F.col(SEQ))).alias("_registered"), F.min(SEQ).alias("_hoped")), "caller-phones")
-        known, open_ = (F.coalesce(F.col(c) < F.col(SEQ), F.lit(False)) for c in ("_registered", "_hoped"))
-        contenders = settle(running.join(calls, "phone", "left").filter(F.col("sure") | known | open_).select(
-            SEQ, "phone", *SLOT_KEY, (F.col("sure") | known).alias("sure"), "registers"), "callers")
-    winners = settle(contenders.groupBy(*SLOT_KEY).agg(F.min(SEQ).alias(SEQ)).select(SEQ), "caller-winners")
-    return settle(contenders.filter("registers").join(winners, SEQ, "left_semi")
-                  .groupBy("phone").agg(F.min(SEQ).alias("registered_at")), "registrations")
+    first = settle(contenders.filter("sure").groupBy(*SLOT_KEY).agg(F.min(SEQ).alias("head")), "slot-heads")
+    heads = settle(contenders.join(first, SLOT_KEY).filter((F.col(SEQ) == F.col("head")) & F.col("registers"))
+                   .select("head", "phone", *SLOT_KEY, F.lit(None).cast("boolean").alias("won")), "heads")
+    waiting = settle(contenders.filter("NOT sure").join(heads.select("head", *SLOT_KEY), SLOT_KEY)
+                     .filter(F.col(SEQ) < F.col("head")).select(SEQ, "phone", "head"), "waiting")
+    heads = heads.drop(*SLOT_KEY)
+    while not heads.filter("won IS NULL").isEmpty():
+        open_ = F.when(F.col("won").isNull(), F.col("head"))
+        calls = settle(heads.groupBy("phone").agg(F.min(F.when(F.col("won"), F.col("head"))).alias("_registered"), F.min(open_).alias("_hoped")), "phones")
+        further = settle(heads.filter("won IS NULL").join(calls.select("phone", "_hoped"), "phone").filter(F.col("head") > F.col("_hoped"))
+                         .groupBy("phone").agg(F.min("head").alias("_second")), "second-heads")
+        before = lambda c: F.coalesce(F.col(c) < F.col(SEQ), F.lit(False))
+        hopes = (waiting.join(heads.filter("won IS NULL").select("head"), "head", "left_semi").join(calls, "phone", "left").join(further, "phone", "left")
+                 .filter(before("_registered") | before("_hoped"))
+                 .select("head", before("_registered").alias("in"), F.when(before("_second"), None).otherwise(F.col("_hoped")).alias("hope")))
+        per_head = settle(hopes.groupBy("head").agg(F.bool_or("in").alias("beaten"), F.count(F.lit(1)).alias("n"), F.min("hope").alias("hope")), "hopes")
+        judged = heads.join(per_head, "head", "left")
+        nodes = judged.select("head", F.coalesce("won", F.when(F.col("n").isNull(), F.lit(True)).when(F.col("beaten"), F.lit(False))).alias("known"),
+                              F.when(F.col("n") == 1, F.col("hope")).alias("ahead"))
+        decided = settle_negations(nodes, "head").withColumnRenamed("known", "won")
+        heads = settle(heads.drop("won").join(decided, "head"), "heads")
+    return settle(heads.filter("won").groupBy("phone").agg(F.min("head").alias("registered_at")), "registrations")
 
 
 def book_as_patient(t: Tables, requests: DataFrame, as_of: str, high_water: int | None = None,

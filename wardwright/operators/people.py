@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardwright.functions.pointers import settle_negations
 from wardwright.functions.scalars import stamp
 from wardwright.operators import audit
-from wardwright.operators.changes import FOREIGN_KEY, NOT_FOUND, NOT_NULL, SEQ, Outcome, exists_flag, wanted_flag, with_new_ids
+from wardwright.operators.changes import FOREIGN_KEY, NOT_FOUND, NOT_NULL, SEQ, Outcome, exists_flag, only_wanted, wanted_flag, with_new_ids
 from wardwright.schemas import PATCHABLE_PATIENT_COLUMNS, REQUIRED
-from wardwright.session import settle
+from wardwright.session import scratch_path, settle
 from wardwright.sources.sinks import with_new_rows
 
 Tables = dict[str, DataFrame]
@@ -59,8 +60,9 @@ def add_doctors(t: Tables, requests: DataFrame, as_of: str, high_water: int | No
         F.lit(as_of[:10]).alias("hire_date"), "salary", F.lit("Active").alias("status"))
     checked = exists_flag(rows, "dept_id", t["departments"], "dept_id", "_dept")
     checked = exists_flag(checked, "phone", doctors.filter("phone IS NOT NULL"), "phone", "_phone_used")
-    # Empty emails may repeat on file, so the parent side is made unique first.
-    checked = exists_flag(checked, "email", doctors.select("email").distinct(), "email", "_email_used")
+    # Empty emails may repeat on file, so the parent side is made unique first; settled, as many requests may have one.
+    used = settle(only_wanted(doctors.select("email").distinct(), ["email"], rows), "used-emails")
+    checked = exists_flag(checked, "email", used, "email", "_email_used")
     reason = (F.when(_missing("doctors"), NOT_NULL)
                .when(F.col("_phone_used") | F.col("_email_used"), UNIQUE_KEY)
                .when(~F.col("_dept"), FOREIGN_KEY))
@@ -72,32 +74,63 @@ def add_doctors(t: Tables, requests: DataFrame, as_of: str, high_water: int | No
     return Outcome({"doctors": with_new_rows(doctors, accepted)}, accepted, rejected)
 
 
+def _per_value(rows: DataFrame, *sums: Column) -> DataFrame:
+    """`sums` over the requests of each value of each column, settled so that joins can split a hot value."""
+    entry = F.posexplode("entries").alias("column", "entry")
+    return settle(rows.select(SEQ, "ahead", entry).where("entry.value IS NOT NULL")
+                  .groupBy("column", F.col("entry.value").alias("value")).agg(*sums), "admission-values")
+
+
+def _with_values(rows: DataFrame, values: DataFrame, columns: int, names: tuple[str, ...]) -> DataFrame:
+    """Add to each entry of a request what is known of its value."""
+    for k in range(columns):
+        own = values.where(F.col("column") == k).select(F.col("value").alias("_value"), F.struct(*names).alias(f"_found{k}"))
+        rows = rows.join(own, F.col("entries")[k]["value"] == F.col("_value"), "left").drop("_value")
+    entries = F.array(*[F.struct(F.col("entries")[k]["value"].alias("value"), *[
+        F.col(f"_found{k}")[n].alias(n) if n in names else F.col("entries")[k][n].alias(n) for n in ("first", "second", "sure")]) for k in range(columns)])
+    return rows.withColumn("entries", entries).drop(*[f"_found{k}" for k in range(columns)])
+
+
 def first_come(requests: DataFrame, unique: list[str]) -> DataFrame:
-    """`request_seq` of the requests that get in when each of the columns must stay unique (NULLs never clash).
-
-    With several unique columns a refusal on one of them can let a later request
-    in on another, so the answer is found in rounds. In a round every request that
-    is first among the undecided ones on all its values gets in, and whatever shares
-    a value with it is out. Each round decides at least the first open request, so
-    at worst there are half as many rounds as the longest chain of requests that share
-    their values by turns (24 in a chain take 12). Every round is settled, so plans do not grow.
+    """`request_seq` of the requests that get in when each of the text columns must stay unique (NULLs never clash).
+
+    With several unique columns a refusal on one can let a later request in on another. In a round
+    * a request that comes first on all its values gets in;
+    * a request that comes first on all its values but one leaves that one taken, whether it gets in or an earlier one has:
+      whatever comes later on the value is out;
+    * a request that is first on all its values but one, and second on that, gets in exactly if the first does not. Such
+      requests form chains, which are settled by doubling pointers: a chain of n takes log n jobs.
+    What shares a value with a request that got in is out. Only requests that hang on several others are left for the next round,
+    which decides at least the first of them. Winners are appended to one table, so plans do not grow with the rounds.
     """
-    undecided, admitted = requests, None
-    while not undecided.isEmpty():
-        ranked = undecided
-        for c in unique:
-            first = undecided.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min(SEQ).alias(f"_first_{c}"))
-            ranked = ranked.join(first, c, "left")
-        leads = reduce(lambda a, b: a & b, [F.col(c).isNull() | (F.col(SEQ) == F.col(f"_first_{c}")) for c in unique])
-        ranked = ranked.select(SEQ, *unique, leads.alias("_in"))
-        ranked = settle(ranked, "admission-round")
-        winners = ranked.filter("_in").drop("_in")
-        rest = ranked.filter("NOT _in").drop("_in")
+    nothing = F.lit(None).cast("long")
+    undecided = requests.select(SEQ, *unique)
+    path = scratch_path(requests.sparkSession, "admitted")
+    while True:
+        entries = F.array(*[F.struct(F.col(c).alias("value"), nothing.alias("first"), nothing.alias("second"), nothing.alias("sure")) for c in unique])
+        rows = undecided.select(SEQ, entries.alias("entries"), F.lit(0).alias("ahead"))
+        firsts = _per_value(rows, F.min(SEQ).alias("first"))
+        # `ahead`: on how many values another request comes before it.
+        behind = F.size(F.filter("entries", lambda e: e["first"] < F.col(SEQ)))
+        rows = settle(_with_values(rows, firsts, len(unique), ("first",)).withColumn("ahead", behind), "admission-order")
+        late = F.col("entry.first") < F.col(SEQ)
+        seconds = _per_value(rows, F.min(F.when(late, F.col(SEQ))).alias("second"),
+                             F.min(F.when(F.col("ahead") - late.cast("int") == 0, F.col(SEQ))).alias("sure"))
+        rows = _with_values(rows, seconds, len(unique), ("second", "sure"))
+        before = F.filter("entries", lambda e: e["first"] < F.col(SEQ))[0]
+        known = (F.when(F.col("ahead") == 0, F.lit(True))
+                 .when(F.exists("entries", lambda e: e["sure"] < F.col(SEQ)), F.lit(False)))
+        leader = F.when((F.col("ahead") == 1) & (before["second"] == F.col(SEQ)), before["first"])
+        decided = settle_negations(rows.select(SEQ, known.alias("known"), leader.alias("ahead")), SEQ)
+        winners = undecided.join(decided.where("known"), SEQ, "left_semi")
+        winners.select(SEQ, *unique).write.mode("append").parquet(path)
+        rest = undecided.join(decided.where("known IS NULL"), SEQ, "left_semi")
+        if rest.isEmpty():
+            return requests.sparkSession.read.schema(undecided.schema).parquet(path).select(SEQ)
+        admitted = requests.sparkSession.read.schema(undecided.schema).parquet(path)
         for c in unique:
-            rest = rest.join(winners.select(c), c, "left_anti")
-        admitted = winners.select(SEQ) if admitted is None else admitted.unionByName(winners.select(SEQ))
+            rest = rest.join(admitted.select(c), c, "left_anti")
         undecided = settle(rest.select(SEQ, *unique), "admission-rest")
-    return admitted if admitted is not None else undecided.select(SEQ)
 
 
 # --- U2: sparse updates ------------------------------------------------------

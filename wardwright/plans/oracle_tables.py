@@ -127,8 +127,9 @@ CTES: dict[str, str] = {
                CASE WHEN event_id % 3 = 0 THEN CAST(value AS {MONEY}) END AS fees
         FROM slot_events WHERE event_type = 'signup'""",
     "patient_bookings": """
-        SELECT event_id AS request_seq, 'Caller ' || user_id AS name, 18 + user_id % 70 AS age, 'Other' AS gender,
-               printf('9%09d', user_id + CASE WHEN event_id % 4 = 0 THEN 1000000 ELSE 0 END) AS phone,
+        SELECT event_id AS request_seq, CASE WHEN event_id % 3 > 0 THEN 'Caller ' || user_id END AS name,
+               18 + user_id % 70 AS age, 'Other' AS gender,
+               printf('9%09d', CASE WHEN event_id % 4 = 0 THEN user_id // 4 + 1000000 ELSE user_id END) AS phone,
                doctor_id, appointment_date, time_slot
         FROM slot_events WHERE event_type = 'signup'""",
     "status_changes": """
@@ -237,21 +238,42 @@ CTES: dict[str, str] = {
                coalesce(fees, 500) AS fees, predicted_wait AS wait_time_minutes,
                CAST(30 AS BIGINT) AS duration_minutes, '{AS_OF} 08:00:00' AS created_at
         FROM u5_decided u JOIN predicted w ON u.doctor_id = w.doctor_id WHERE reason IS NULL""",
+    "u6_checked": """
+        SELECT x.*, d.doctor_id IS NOT NULL AS valid, coalesce(b.held, FALSE) AS held, p.phone IS NOT NULL AS on_file,
+               CASE WHEN v.is_available IS NULL THEN 'open' WHEN NOT v.is_available THEN 'leave'
+                    WHEN NOT (x.time_slot >= v.start_time AND x.time_slot < v.end_time)
+                    THEN 'outside hours' ELSE 'open' END AS verdict
+        FROM patient_bookings x LEFT JOIN doctors d ON x.doctor_id = d.doctor_id
+        LEFT JOIN doctor_availability v ON v.doctor_id = x.doctor_id AND v.avail_date = x.appointment_date
+        LEFT JOIN (SELECT DISTINCT phone FROM patients) p ON p.phone = x.phone
+        LEFT JOIN booked b ON b.doctor_id = x.doctor_id AND b.appointment_date = x.appointment_date
+                          AND b.time_slot = x.time_slot""",
+    "u6_open": """
+        SELECT request_seq, phone, doctor_id || '|' || appointment_date || '|' || time_slot AS slot, on_file,
+               name IS NOT NULL AS details, row_number() OVER (ORDER BY request_seq) AS k
+        FROM u6_checked WHERE verdict = 'open' AND valid AND NOT held""",
+    "u6_winners": """
+        WITH RECURSIVE walk AS (
+            SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS request_seq, CAST(NULL AS VARCHAR) AS phone,
+                   CAST(NULL AS VARCHAR) AS slot, FALSE AS wins, FALSE AS registers, CAST([] AS VARCHAR[]) AS slots,
+                   CAST([] AS VARCHAR[]) AS phones
+            UNION ALL
+            SELECT k, request_seq, phone, slot, wins, wins AND NOT on_file,
+                   CASE WHEN wins THEN list_append(slots, slot) ELSE slots END,
+                   CASE WHEN wins AND NOT on_file THEN list_append(phones, phone) ELSE phones END
+            FROM (SELECT o.*, w.slots, w.phones, NOT list_contains(w.slots, o.slot)
+                         AND (o.on_file OR o.details OR list_contains(w.phones, o.phone)) AS wins
+                  FROM walk w JOIN u6_open o ON o.k = w.k + 1))
+        SELECT request_seq, phone, slot, registers FROM walk WHERE wins""",
     "u6_decided": """
-        SELECT q.*, CASE WHEN verdict <> 'open' THEN verdict
-                         WHEN held OR request_seq > winner THEN 'slot taken'
+        SELECT x.*, CASE WHEN verdict <> 'open' THEN verdict
+                         WHEN held OR x.request_seq > w.request_seq THEN 'slot taken'
+                         WHEN NOT (on_file OR name IS NOT NULL OR coalesce(g.at < x.request_seq, FALSE)) THEN 'not null'
                          WHEN NOT valid THEN 'foreign key' END AS reason
-        FROM (SELECT r.*, b.held,
-                     min(CASE WHEN valid AND verdict = 'open' THEN request_seq END)
-                         OVER (PARTITION BY r.doctor_id, r.appointment_date, r.time_slot) AS winner
-              FROM (SELECT x.*, d.doctor_id IS NOT NULL AS valid,
-                           CASE WHEN v.is_available IS NULL THEN 'open' WHEN NOT v.is_available THEN 'leave'
-                                WHEN NOT (x.time_slot >= v.start_time AND x.time_slot < v.end_time)
-                                THEN 'outside hours' ELSE 'open' END AS verdict
-                    FROM patient_bookings x LEFT JOIN doctors d ON x.doctor_id = d.doctor_id
-                    LEFT JOIN doctor_availability v
-                      ON v.doctor_id = x.doctor_id AND v.avail_date = x.appointment_date) r
-              LEFT JOIN booked b USING (doctor_id, appointment_date, time_slot)) q""",
+        FROM u6_checked x
+        LEFT JOIN u6_winners w ON w.slot = x.doctor_id || '|' || x.appointment_date || '|' || x.time_slot
+        LEFT JOIN (SELECT phone, min(request_seq) AS at FROM u6_winners WHERE registers GROUP BY phone) g
+          ON g.phone = x.phone""",
     "u6_new_patients": """
         SELECT (SELECT max(patient_id) FROM patients) + row_number() OVER (ORDER BY request_seq) AS patient_id,
                name, age, gender, phone
