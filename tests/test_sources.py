@@ -61,3 +61,23 @@ def test_upload_listing(spark, make):
 def test_settled_table_is_computed_once(spark):
     df = settle(spark.range(5).withColumn("r", F.rand()), "settle")
     assert rows_of(df) == rows_of(df)
+
+
+def files_of(spark, path):
+    return {r[0] for r in spark.read.parquet(path).select(F.input_file_name()).distinct().collect()}
+
+
+def test_rewritten_partitions_leave_the_others_alone(spark, ward):
+    path, table = scratch_path(spark, "rewritten"), ward["appointments"]
+    sinks.write_by_date(table, path, "appointment_date", "appointment_id")
+    before = files_of(spark, path)
+    ids = spark.createDataFrame([(3,), (5,), (77,), (None,)], "appointment_id long")
+    cancel = F.when(F.col("appointment_id").isin(3, 5), F.lit("Cancelled")).otherwise(F.col("status"))
+    touched = sinks.rewrite_partitions(spark, path, table.schema, "appointment_date", "appointment_id", ids, lambda rows: rows.withColumn("status", cancel))
+    assert sorted(touched) == ["2024-04-03", "2024-04-05"]
+    stored = spark.read.schema(table.schema).parquet(path)
+    assert rows_of(stored, *table.columns) == rows_of(table.withColumn("status", cancel), *table.columns)
+    after = files_of(spark, path)
+    assert len(before & after) == 13 and not any("04-03" in f or "04-05" in f for f in before & after)
+    assert sinks.rewrite_partitions(spark, path, table.schema, "appointment_date", "appointment_id", ids.filter("appointment_id = 77"), lambda rows: rows) == []
+    assert files_of(spark, path) == after

@@ -55,3 +55,28 @@ def test_events_without_a_rule_are_dropped(spark):
         event("doctors", "DELETE", [], ("A", "n", None), None)], audit_stream.EVENT_SCHEMA)
     # An update that sets the status to the same value still counts.
     assert rows_of(audit_stream.audit_from_events(rows), "table_name", "old_value", "new_value") == [("appointments", "A", "A")]
+
+
+def test_numbered_log_is_gapless_over_batches_and_replays(spark, make):
+    events, batch = feed(make, spark)
+    source, log, checkpoint = (scratch_path(spark, n) for n in ("in", "log", "check"))
+    for late in events:
+        append_rows(late, source)
+        audit_stream.start_numbered_log(spark, source, log, checkpoint, 100, files_per_batch=1).awaitTermination()
+    audit_stream.start_numbered_log(spark, source, log, checkpoint, 500).awaitTermination()  # nothing new; the mark counts
+    found = audit_stream.read_numbered(spark, log)
+    rows = rows_of(found.withColumnRenamed("event_seq", "seq"), *COLUMNS)
+    assert rows == rows_of(batch.withColumnRenamed("request_seq", "seq"), *COLUMNS)
+    ids = sorted((r.batch, r.log_id, r.event_seq) for r in found.collect())
+    assert [n for _, n, _ in ids] == list(range(101, 110)) and len({b for b, _, _ in ids}) > 1
+    # A batch that runs again, as after a failure behind its rows, writes the same ids.
+    last = max(b for b, _, _ in ids)
+    again = found.filter(found.batch == last).drop("batch", "log_id")
+    again = spark.createDataFrame(again.collect(), again.schema)
+    audit_stream.append_numbered(again, last, log)
+    assert sorted((r.batch, r.log_id, r.event_seq) for r in audit_stream.read_numbered(spark, log).collect()) == ids
+    audit_stream.append_numbered(again, last + 1, log)
+    assert audit_stream.read_numbered(spark, log).agg({"log_id": "max"}).first()[0] == 109 + again.count()
+    # Rows without a mark belong to a batch that did not finish.
+    again.selectExpr("1000 AS log_id", "*").write.parquet(os.path.join(log, "rows", "batch=99"))
+    assert audit_stream.read_numbered(spark, log).filter("batch = 99").isEmpty()

@@ -43,15 +43,24 @@ def duplicates(t: Tables) -> DataFrame:
 
 
 def orphans(t: Tables) -> DataFrame:
-    """Rows whose reference is set but leads nowhere. References are anti-joined as distinct
-    (key, reference) rows against the parent's one key column."""
+    """Rows whose reference is set but leads nowhere.
+
+    Each child is read once and gives a row (rule, key, parent, ref) per reference. One join per parent
+    takes out the references it satisfies; what is left after the last leads nowhere. All of them work on (parent, ref), so the
+    references are shuffled at most once. The joins are outer ones of which the rows without a match are kept: an anti
+    join would be moved below the union and would read each parent once per child.
+    """
     parts = []
-    for child, column, parent in FOREIGN_KEYS:
-        given = t[child].filter(F.col(column).isNotNull()).select(
-            F.col(KEYS[child]).alias("key"), F.col(column).alias("ref"))
-        lost = given.join(t[parent].select(F.col(KEYS[parent]).alias("ref")), "ref", "left_anti")
-        parts.append(_violation(lost, f"{child}.{column}", F.col("key")))
-    return _union(parts)
+    for child in dict.fromkeys(c for c, _, _ in FOREIGN_KEYS):
+        given = [F.struct(F.lit(f"{child}.{column}").alias("rule"), F.lit(parent).alias("parent"), F.col(column).cast("long").alias("ref"))
+                 for c, column, parent in FOREIGN_KEYS if c == child]
+        parts.append(t[child].select(F.col(KEYS[child]).cast("long").alias("key"), F.explode(F.array(*given)).alias("x"))
+                     .select("key", "x.*").filter("ref IS NOT NULL"))
+    lost = _union(parts)
+    for parent in dict.fromkeys(p for _, _, p in FOREIGN_KEYS):
+        known = t[parent].select(F.lit(parent).alias("parent"), F.col(KEYS[parent]).cast("long").alias("ref"), F.lit(True).alias("_known"))
+        lost = lost.join(known, ["parent", "ref"], "left").filter("_known IS NULL").drop("_known")
+    return _violation(lost, F.col("rule"), F.col("key"))
 
 
 def double_bookings(appointments: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ BIGINT, timestamps as text. Lists are exploded.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +19,12 @@ from wardwright.operators import (audit, billing, booking, filters, people, qual
 from wardwright.operators.changes import SEQ, append_audit
 from wardwright.plans import dashboard, views
 from wardwright.plans.oracle_tables import OCC, with_tables
-
-from wardwright.session import scratch_path, tune
+from wardwright.schemas import KEYS
+from wardwright.session import scratch_path, settle, tune
 from wardwright.sources import sinks, tables
 from wardwright.sources.bindings import AS_OF, AS_OF_STAMP, Bindings
 from wardwright.sources.calendar import with_days, with_slots
+from wardwright.sources.versions import write_version
 from wardwright.streaming import audit_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +127,47 @@ def _(b):
     return tables.upload_manifest(b.uploads)
 
 
+@query("sc5_files_manifest", """
+    SELECT file_type, count(*) AS uploads, CAST(sum(strlen(original_name) + 1) AS BIGINT) AS bytes
+    FROM uploads GROUP BY file_type""")
+def _(b):
+    """Write the uploads' names to a folder per file type, list the files there without reading them, and hold their sizes
+    against the manifest, by the folder's name."""
+    folder = scratch_path(b.spark, "upload-files")
+    sinks.write_lines(b.uploads, folder, "original_name", "file_type")
+    stored = (tables.files_manifest(b.spark, folder).withColumn("file_type", F.regexp_extract("path", "/file_type=([^/]*)/", 1))
+              .groupBy("file_type").agg(F.sum("length").alias("bytes")))
+    listed = b.uploads.groupBy("file_type").agg(F.count(F.lit(1)).alias("uploads"))
+    return listed.join(stored, "file_type").select("file_type", "uploads", "bytes")
+
+
+def _bucketed(rows: DataFrame, name: str, key: str, spread: str, **layout) -> DataFrame:
+    path = scratch_path(rows.sparkSession, name)
+    return sinks.write_bucketed(rows, os.path.basename(path).replace("-", "_"), key, path, buckets=16, sort=(key, spread), spread=spread, **layout)
+
+
+@query("sc6_bucketed_lookup", f"SELECT {APPOINTMENT} FROM appointments WHERE doctor_id = 4 AND status = 'Scheduled'")
+def _(b):
+    """One doctor's open appointments, from a table with a folder per status and buckets by doctor."""
+    stored = _bucketed(b.appointments, "appointments-by-doctor", "doctor_id", "appointment_id", partition="status", files_per_bucket=2)
+    return stored.filter("doctor_id = 4 AND status = 'Scheduled'").select(*b.appointments.columns)
+
+
+@query("sc6_bucketed_join", """
+    SELECT patient_id, visits, last_visit, bills, CAST(owed AS DOUBLE) AS owed
+    FROM (SELECT patient_id, count(*) AS visits, max(appointment_date) AS last_visit FROM appointments GROUP BY patient_id)
+    JOIN (SELECT patient_id, count(*) AS bills, coalesce(sum(patient_payable) FILTER (status = 'Pending'), 0) AS owed
+          FROM bills GROUP BY patient_id) USING (patient_id)""")
+def _(b):
+    """Visits and debts of each patient, from two tables with buckets by patient: grouped and joined without a shuffle."""
+    visits = _bucketed(b.appointments, "appointments-by-patient", "patient_id", "appointment_id").groupBy("patient_id").agg(
+        F.count(F.lit(1)).alias("visits"), F.max("appointment_date").alias("last_visit"))
+    pending = F.when(F.col("status") == "Pending", F.col("patient_payable"))
+    bills = _bucketed(b.bills, "bills-by-patient", "patient_id", "bill_id").groupBy("patient_id").agg(
+        F.count(F.lit(1)).alias("bills"), F.coalesce(F.sum(pending), F.lit(0)).alias("owed"))
+    return visits.join(bills, "patient_id")
+
+
 @query("sc6_date_pruned_lookup", f"SELECT {APPOINTMENT} FROM appointments WHERE appointment_date = '{AS_OF}'")
 def _(b):
     path = scratch_path(b.spark, "appointments-by-date")
@@ -553,6 +597,59 @@ def _(b):
     return out
 
 
+_DOCUMENT = ("total_patients BIGINT, total_doctors BIGINT, scheduled_appts BIGINT, available_beds BIGINT, total_beds BIGINT, "
+             "total_revenue DECIMAL(18,2), appt_by_status ARRAY<STRUCT<status: STRING, cnt: BIGINT>>, "
+             "dept_stats ARRAY<STRUCT<dept_id: BIGINT, dept_name: STRING, location: STRING, doctor_count: BIGINT, "
+             "total_appointments: BIGINT, revenue: DECIMAL(18,2), avg_wait: DOUBLE>>, "
+             "bed_by_type ARRAY<STRUCT<bed_type: STRING, total: BIGINT, available: BIGINT, occupied: BIGINT, maintenance: BIGINT>>, "
+             "recent_appts ARRAY<STRUCT<appointment_id: BIGINT, patient_name: STRING, patient_phone: STRING, doctor_name: STRING, "
+             "dept_name: STRING, appointment_date: STRING, time_slot: STRING, status: STRING, fees: DECIMAL(18,2), "
+             "symptoms: STRING, diagnosis: STRING, duration_minutes: INT>>, wait_times ARRAY<STRUCT<dept_name: STRING, avg_wait: DOUBLE>>")
+_HEADLINE = """SELECT (SELECT count(*) FROM patients) AS total_patients,
+    (SELECT count(*) FROM doctors WHERE status = 'Active') AS total_doctors,
+    (SELECT count(*) FROM appointments WHERE status = 'Scheduled') AS scheduled_appts,
+    (SELECT count(*) FROM beds WHERE status = 'Available') AS available_beds, (SELECT count(*) FROM beds) AS total_beds,
+    (SELECT round(coalesce(sum(total_amount), 0), 2) FROM bills) AS total_revenue"""
+#: Sections of the document: SQL and order of the rows, text columns, numeric columns.
+_SECTIONS = {
+    "headline": (_HEADLINE, "total_beds", "", "total_patients total_doctors scheduled_appts available_beds total_beds total_revenue"),
+    "appt_by_status": ("SELECT status, count(*) AS cnt FROM appointments GROUP BY status", "status", "status", "cnt"),
+    "dept_stats": ("SELECT * FROM v_dept_stats", "dept_id", "dept_name location",
+                   "dept_id doctor_count total_appointments revenue avg_wait"),
+    "bed_by_type": ("""SELECT bed_type, count(*) AS total, count(*) FILTER (status = 'Available') AS available,
+        count(*) FILTER (status = 'Occupied') AS occupied, count(*) FILTER (status = 'Maintenance') AS maintenance
+        FROM beds GROUP BY bed_type""", "bed_type", "bed_type", "total available occupied maintenance"),
+    "recent_appts": ("SELECT * FROM v_appointment_details ORDER BY appointment_date DESC, time_slot DESC, appointment_id DESC LIMIT 8",
+                     "appointment_date DESC, time_slot DESC, appointment_id DESC",
+                     "patient_name patient_phone doctor_name dept_name appointment_date time_slot status symptoms diagnosis",
+                     "appointment_id fees duration_minutes"),
+    "wait_times": (_WAIT_SQL, "dept_name", "dept_name", "avg_wait"),
+}
+
+
+def _section_sql(name: str) -> str:
+    rows, order, texts, numbers = _SECTIONS[name]
+    cells = [f"SELECT place, '{c}' AS field, {c} AS text, CAST(NULL AS DOUBLE) AS number FROM x" for c in texts.split()]
+    cells += [f"SELECT place, '{c}' AS field, CAST(NULL AS VARCHAR) AS text, CAST({c} AS DOUBLE) AS number FROM x" for c in numbers.split()]
+    return (f"SELECT '{name}' AS section, place, field, text, number FROM (WITH x AS (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS place "
+            f"FROM ({rows})) {' UNION ALL '.join(cells)})")
+
+
+@query("a17_dashboard_document", " UNION ALL ".join(map(_section_sql, _SECTIONS)))
+def _(b):
+    """The one-row document, read back: a row per section, place in the list and field."""
+    stored = settle(dashboard.dashboard_document(b.spark, b.tables), "dashboard-document")
+    d = stored.select(F.from_json("document", _DOCUMENT).alias("d")).select("d.*")
+    parts = []
+    for name, (_sql, _order, texts, numbers) in _SECTIONS.items():
+        row = F.struct(*numbers.split()) if name == "headline" else F.col("row")
+        rows = d.select(F.lit(0).alias("place"), row.alias("row")) if name == "headline" else d.select(F.posexplode(name).alias("place", "row"))
+        cells = [F.struct(F.lit(c).alias("field"), F.col("row")[c].alias("text"), F.lit(None).cast("double").alias("number")) for c in texts.split()]
+        cells += [F.struct(F.lit(c).alias("field"), F.lit(None).cast("string").alias("text"), F.col("row")[c].cast("double").alias("number")) for c in numbers.split()]
+        parts.append(rows.select("place", F.explode(F.array(*cells)).alias("c")).select(F.lit(name).alias("section"), "place", "c.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- sorts, top-k --------------------------------------------------------------------
 
 @query("s1_single_key", f"SELECT * EXCLUDE (salary), {money_columns('salary')} FROM v_doctor_dept ORDER BY doctor_id")
@@ -906,6 +1003,20 @@ def _(b):
     return booking.change_status(b.tables, b.status_changes, AS_OF_STAMP).tables["appointments"]
 
 
+@query("u7_partition_rewrite", f"""
+    SELECT {APPOINTMENT} FROM (SELECT a.* REPLACE (coalesce(n.new_status, a.status) AS status)
+    FROM appointments a LEFT JOIN u7_last n ON a.appointment_id = n.appointment_id)""")
+def _(b):
+    """The status changes written back into the table by date, only the dates they touch."""
+    path = scratch_path(b.spark, "appointments-rewritten")
+    sinks.write_by_date(b.appointments, path, "appointment_date", "appointment_id")
+    changes = settle(b.status_changes, "changes")
+    sinks.rewrite_partitions(
+        b.spark, path, b.appointments.schema, "appointment_date", "appointment_id", changes.select("appointment_id"),
+        lambda rows: booking.change_status({"appointments": rows}, changes, AS_OF_STAMP).tables["appointments"])
+    return b.spark.read.schema(b.appointments.schema).parquet(path).select(*b.appointments.columns)
+
+
 @query("u8_accept", f"""
     SELECT {APPOINTMENT} FROM (SELECT a.* REPLACE (
         CASE WHEN n.d IS NULL THEN a.status ELSE 'Confirmed' END AS status,
@@ -971,6 +1082,20 @@ def _(b):
     return billing.pay_bills(b.tables, b.payments).tables["bills"]
 
 
+@query("u12_partition_rewrite", f"""
+    SELECT {BILL} FROM (SELECT b.* REPLACE (CASE WHEN p.bill_id IS NULL THEN b.status ELSE 'Paid' END AS status)
+    FROM bills b LEFT JOIN payments p ON b.bill_id = p.bill_id)""")
+def _(b):
+    """The payments written back into the bills, kept by month; only the months they touch."""
+    path = scratch_path(b.spark, "bills-rewritten")
+    monthly = b.bills.withColumn("bill_month", F.substring("bill_date", 1, 7))
+    sinks.write_by_date(monthly, path, "bill_month", "bill_id")
+    payments = settle(b.payments, "payments")
+    sinks.rewrite_partitions(b.spark, path, monthly.schema, "bill_month", "bill_id", payments.select("bill_id"),
+                             lambda rows: billing.pay_bills({"bills": rows}, payments).tables["bills"])
+    return b.spark.read.schema(monthly.schema).parquet(path).select(*b.bills.columns)
+
+
 @query("u13_delete_availability", f"""
     SELECT {AVAIL} FROM doctor_availability WHERE avail_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def _(b):
@@ -1041,17 +1166,34 @@ def _(b):
     return append_audit(b.audit_log, audit.status_audit(b.appointments, b.status_changes, AS_OF_STAMP))
 
 
-@query("t5_snapshot_diff", f"""
+_T5_SQL = f"""
     SELECT 'appointments' AS table_name, a.appointment_id AS record_id, 'STATUS_CHANGE' AS action,
            a.status AS old_value, n.new_status AS new_value, {AUDIT}
     FROM appointments a JOIN u7_last n ON a.appointment_id = n.appointment_id WHERE a.status <> n.new_status
     UNION ALL SELECT table_name, record_id, action, old_value, new_value, performed_by, timestamp FROM ({_T2_SQL})
-    UNION ALL SELECT table_name, record_id, action, old_value, new_value, performed_by, timestamp FROM ({_T3_SQL})""")
+    UNION ALL SELECT table_name, record_id, action, old_value, new_value, performed_by, timestamp FROM ({_T3_SQL})"""
+
+
+def _after_batches(b: Bindings) -> dict[str, DataFrame]:
+    """The audited tables after a batch of status changes, of deletions and of bed assignments."""
+    return {"appointments": booking.change_status(b.tables, b.status_changes, AS_OF_STAMP).tables["appointments"],
+            "patients": _deletion(b).tables["patients"],
+            "beds": wards.assign_beds(b.tables, b.bed_assignments, AS_OF_STAMP).tables["beds"]}
+
+
+@query("t5_snapshot_diff", _T5_SQL)
 def _(b):
-    after = {"appointments": booking.change_status(b.tables, b.status_changes, AS_OF_STAMP).tables["appointments"],
-             "patients": _deletion(b).tables["patients"],
-             "beds": wards.assign_beds(b.tables, b.bed_assignments, AS_OF_STAMP).tables["beds"]}
-    return audit.snapshot_audit(b.tables, after, AS_OF_STAMP)
+    return audit.snapshot_audit(b.tables, _after_batches(b), AS_OF_STAMP)
+
+
+@query("t5_digest_diff", _T5_SQL)
+def _(b):
+    """The same from two stored versions, by their digests."""
+    def stored(rows: dict[str, DataFrame], label: str):
+        return {name: write_version(rows[name], scratch_path(b.spark, f"{name}-{label}"), KEYS[name],
+                                    lambda table, block, name=name: audit.block_digests(table, block, KEYS[name], audit.AUDITED[name]))
+                for name in audit.AUDITED}
+    return audit.digest_audit(stored(b.tables, "before"), stored(_after_batches(b), "after"), AS_OF_STAMP)
 
 
 # --- constraints --------------------------------------------------------------------------------
@@ -1135,3 +1277,23 @@ def _(b):
         sinks.append_rows(events, source)
     audit_stream.start_audit_stream(b.spark, source, sink).awaitTermination()
     return b.spark.read.parquet(sink)
+
+
+_NUMBERED_SQL = " UNION ALL ".join(f"SELECT {k} AS feed, * FROM ({sql})" for k, sql in enumerate((_T1_SQL, _T2_SQL, _T3_SQL)))
+
+
+@query("st1_numbered_log", f"""
+    SELECT (SELECT max(log_id) FROM audit_log) + row_number() OVER (ORDER BY feed, request_seq) AS log_id,
+           request_seq AS event_seq, * EXCLUDE (feed, request_seq) FROM ({_NUMBERED_SQL})""")
+def _(b):
+    """Three feeds arrive one after the other; the stream starts after each, goes on where it ended, and numbers its
+    rows behind the log's."""
+    source, log, checkpoint = (scratch_path(b.spark, label) for label in ("events", "numbered-log", "numbered-checkpoint"))
+    last = b.audit_log.agg(F.coalesce(F.max("log_id"), F.lit(0))).first()[0]
+    feeds = [lambda: audit_stream.status_events(audit.status_audit(b.appointments, b.status_changes, AS_OF_STAMP)),
+             lambda: audit_stream.delete_events(_deletion(b).accepted, AS_OF_STAMP),
+             lambda: audit_stream.bed_events(wards.assign_beds(b.tables, b.bed_assignments, AS_OF_STAMP).accepted, AS_OF_STAMP)]
+    for feed in feeds:
+        sinks.append_rows(feed(), source)
+        audit_stream.start_numbered_log(b.spark, source, log, checkpoint, last).awaitTermination()
+    return audit_stream.read_numbered(b.spark, log).drop("batch")

@@ -43,3 +43,27 @@ def dashboard(spark: SparkSession, t: Tables) -> dict[str, DataFrame]:
         "recent_appts": views.recent_appointments(t),
         "wait_times": reports.mean_wait_by_department(t, per_doctor),
     }
+
+
+#: The list sections of the document, each with the columns it is ordered by; the latest appointments come first.
+SECTION_ORDER = {"appt_by_status": ("status",), "dept_stats": ("dept_id",), "bed_by_type": ("bed_type",),
+                 "recent_appts": ("appointment_date", "time_slot", "appointment_id"), "wait_times": ("dept_name",)}
+NEWEST_FIRST = {"recent_appts"}
+
+
+def nested_dashboard(spark: SparkSession, t: Tables) -> DataFrame:
+    """The whole dashboard as one row: the headline figures, and a list of structs per section. The lists are as long as there are
+    statuses, departments, bed types and latest appointments, not as there are rows."""
+    bundle = dashboard(spark, t)
+    lists = []
+    for name, keys in SECTION_ORDER.items():
+        section = bundle[name]
+        entry = F.struct(F.struct(*keys).alias("_order"), F.struct(*section.columns).alias("row"))
+        listed = F.transform(F.sort_array(F.collect_list(entry), asc=name not in NEWEST_FIRST), lambda x: x["row"])
+        lists.append(section.agg(listed.alias(name)).scalar().alias(name))
+    return bundle["headline"].select("*", *lists)
+
+
+def dashboard_document(spark: SparkSession, t: Tables) -> DataFrame:
+    """One row with one column, `document`: the dashboard as JSON, nulls kept."""
+    return nested_dashboard(spark, t).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))

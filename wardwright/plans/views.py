@@ -9,6 +9,8 @@ from wardwright.operators.filters import latest_order
 from wardwright.operators.loads import department_load
 
 Tables = dict[str, DataFrame]
+DETAIL_COLUMNS = ("appointment_id", "patient_name", "patient_phone", "doctor_name", "dept_name", "appointment_date",
+                  "time_slot", "status", "fees", "symptoms", "diagnosis", "duration_minutes")
 
 
 def doctor_dept(t: Tables) -> DataFrame:
@@ -24,22 +26,34 @@ def appointment_details(t: Tables) -> DataFrame:
     # The dimension arm first: it stays small, and the wide table joins it once per key.
     staff = d.join(dp, "dept_id").select(d.doctor_id, d.name.alias("doctor_name"), dp.dept_name)
     people = p.select(p.patient_id, p.name.alias("patient_name"), p.phone.alias("patient_phone"))
-    return a.join(staff, "doctor_id").join(people, "patient_id").select(
-        "appointment_id", "patient_name", "patient_phone", "doctor_name", "dept_name", "appointment_date",
-        "time_slot", "status", "fees", "symptoms", "diagnosis", "duration_minutes")
+    return a.join(staff, "doctor_id").join(people, "patient_id").select(*DETAIL_COLUMNS)
 
 
 def leading_appointments(t: Tables, order: list[Column], k: int) -> DataFrame:
-    """The first `k` rows of the appointment view in `order`, without joining the whole table.
+    """The first `k` rows of the appointment view in `order` (columns of the appointments), fetched late.
 
-    Semi joins leave the appointments that are in the view, by keys alone; the first k of them are found
-    as each task's own first k, and only those are joined with the wide columns.
+    Semi joins leave the appointments that are in the view, by keys and order columns alone; the first k of them are found as each
+    task's own first k. Only then are these k rows looked up by their ids, in scans that the ids prune: names in the
+    people's tables, the wide columns in a second scan of the appointments. As k rows at most go back to it, they are
+    broadcast whatever the limits, and no wide column is ever shuffled. The k ids come to the driver, so a job runs at the call.
     """
     staff = t["doctors"].join(t["departments"], "dept_id", "left_semi").select("doctor_id")
     leaders = (t["appointments"].join(staff, "doctor_id", "left_semi")
-               .join(t["patients"].select("patient_id"), "patient_id", "left_semi").orderBy(*order).limit(k))
-    star = {"appointments": leaders, **{name: t[name] for name in ("patients", "doctors", "departments")}}
-    return appointment_details(star).orderBy(*order).limit(k)
+               .join(t["patients"].select("patient_id"), "patient_id", "left_semi")
+               .orderBy(*order).limit(k).select("appointment_id", "doctor_id", "patient_id"))
+    found = leaders.collect()
+    rows = leaders.sparkSession.createDataFrame(found, leaders.schema)
+
+    def fetch(name: str, key: str, keys: str) -> DataFrame:
+        return t[name].filter(F.col(key).isin(sorted({r[keys] for r in found})))
+
+    staff = fetch("doctors", "doctor_id", "doctor_id").join(t["departments"], "dept_id").select(
+        "doctor_id", F.col("name").alias("doctor_name"), "dept_name")
+    people = fetch("patients", "patient_id", "patient_id").select(
+        "patient_id", F.col("name").alias("patient_name"), F.col("phone").alias("patient_phone"))
+    names = rows.join(staff, "doctor_id").join(people, "patient_id").drop("doctor_id", "patient_id")
+    wide = fetch("appointments", "appointment_id", "appointment_id").join(F.broadcast(names), "appointment_id")
+    return wide.orderBy(*order).limit(k).select(*DETAIL_COLUMNS)
 
 
 def recent_appointments(t: Tables, k: int = 8) -> DataFrame:

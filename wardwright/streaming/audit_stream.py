@@ -7,12 +7,15 @@ restarts from its checkpoint after a failure.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wardwright.functions.ordering import positions
 from wardwright.operators.audit import BED_ASSIGNED, DELETE, STATUS_CHANGE, bed_label, patient_label
-from wardwright.session import scratch_path
+from wardwright.session import scratch_path, settle
 
 EVENT_SCHEMA = (
     "event_seq BIGINT, table_name STRING, op STRING, record_id BIGINT, changed_columns ARRAY<STRING>, "
@@ -52,6 +55,51 @@ def start_audit_stream(spark: SparkSession, source: str, sink: str, checkpoint:
             .trigger(availableNow=True).start())
 
 
+# --- the numbered log ----------------------------------------------------------
+
+AUDITED_TABLES = ("appointments", "beds", "patients")
+NUMBERED_SCHEMA = ("log_id BIGINT, table_name STRING, record_id BIGINT, action STRING, old_value STRING, new_value STRING, "
+                   "timestamp TIMESTAMP_NTZ, performed_by STRING, event_seq BIGINT")
+
+
+def append_numbered(rows: DataFrame, batch_id: int, log: str) -> None:
+    """Give a micro-batch's audit rows the next ids and write them to the batch's folder.
+
+    Ids go on behind the high-water mark that the batches before left in `log`. Rows and mark are written by batch id, so a
+    batch that runs again writes the same ids over its own. Rows are in the order of `event_seq`, unique within a table,
+    then of the table's name.
+    """
+    spark = rows.sparkSession
+    place = F.array_position(F.array(*map(F.lit, AUDITED_TABLES)), F.col("table_name")) - 1
+    rows = settle(rows.withColumn("_order", F.col("event_seq") * len(AUDITED_TABLES) + place), "audit-batch")
+    marks = spark.read.schema("last_id BIGINT, batch BIGINT").parquet(os.path.join(log, "marks"))
+    mark = marks.filter(F.col("batch") < batch_id).agg(F.max("last_id")).first()[0]
+    numbered = rows.join(positions(rows.select("_order"), "_order", "_place"), "_order").withColumn("log_id", F.lit(mark) + F.col("_place"))
+    numbered.select(*[part.split()[0] for part in NUMBERED_SCHEMA.split(", ")]).write.mode("overwrite").parquet(os.path.join(log, "rows", f"batch={batch_id}"))
+    _write_mark(spark, mark + rows.count(), batch_id, log)
+
+
+def _write_mark(spark: SparkSession, last_id: int, batch_id: int, log: str) -> None:
+    spark.range(1).select(F.lit(last_id).cast("long").alias("last_id")).write.mode("overwrite").parquet(os.path.join(log, "marks", f"batch={batch_id}"))
+
+
+def read_numbered(spark: SparkSession, log: str) -> DataFrame:
+    """The rows of all batches that left a mark; a batch that failed half-way does not show."""
+    rows = spark.read.schema(NUMBERED_SCHEMA + ", batch BIGINT").parquet(os.path.join(log, "rows"))
+    marks = spark.read.schema("last_id BIGINT, batch BIGINT").parquet(os.path.join(log, "marks"))
+    return rows.join(marks.select("batch"), "batch", "left_semi")
+
+
+def start_numbered_log(spark: SparkSession, source: str, log: str, checkpoint: str, high_water: int,
+                       files_per_batch: int | None = None) -> StreamingQuery:
+    """Process all events present, append their audit rows with gapless ids after `high_water` to `log`, and stop.
+    A later start with the same checkpoint goes on where this one ended; `high_water` counts for a new log only."""
+    spark.range(1).select(F.lit(high_water).cast("long").alias("last_id")).write.mode("ignore").parquet(os.path.join(log, "marks", "batch=-1"))
+    rows = audit_from_events(read_events(spark, source, files_per_batch))
+    return (rows.writeStream.foreachBatch(lambda batch, batch_id: append_numbered(batch, batch_id, log))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 # --- events from change sets -------------------------------------------------
 
 def _events(audit: DataFrame, before, after, table: str, op: str, columns: tuple[str, ...] = ("status",)) -> DataFrame:
