@@ -18,9 +18,10 @@ SAMPLE = 8  # one document in so many is in the sample
 CAUTION = 0.6  # the sample's support is this part of the share it should have, so that few phrases are missed
 COVER = (80, 100)  # a longer phrase with at least this share of the occurrences covers the phrases inside it
 TOP = 2000
-_BUFFER = 4 << 20  # bytes of text whose phrases are counted together in a task
+_STREAM = 1 << 15  # words of a stored stream, about
+_TOGETHER = 1 << 19  # words that are counted together in a task
+_SLICE = 1 << 18  # words of the corpus for each slice of the hash space
 _BITS = (20, 29)  # bounds of a filter's size, as powers of two: 128 kB to 64 MB
-COUNTS = "lang string, words int, phrase string, hash long, n long"
 
 _ENDS = b".,;:!?\n\v\f\r"
 #: A-Z to lower case, every piece end to a full stop, tab to space.
@@ -40,6 +41,66 @@ def folded_words(text: str, block: int = 1 << 20) -> Iterator[list[bytes]]:
         start = end
 
 
+# --- texts as numbers -----------------------------------------------------------
+
+STREAMS = "lang string, sampled boolean, n long, codes binary, words array<string>, word_codes array<long>"
+
+
+class Encoder:
+    """Writes texts as 64-bit word codes, 0 between pieces, and remembers which words are new to it."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = WordIds()
+        self.words[b"."]  # number 0, code 0
+        self.codes = np.zeros(0, np.uint64)
+
+    def encode(self, text: str) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        from xxhash import xxh64_intdigest
+
+        ids = self.words.of_all(folded_words(text))
+        fresh = self.words.take()
+        codes = np.fromiter((0 if w == b"." else xxh64_intdigest(w) or 1 for w in fresh), np.uint64, len(fresh))
+        self.codes = np.concatenate([self.codes, codes]) if len(fresh) else self.codes
+        out = self.codes[ids]
+        if self.words.full():
+            self.clear()
+        return out, fresh, codes
+
+
+def _encoded(schema: pa.Schema):
+    """Texts -> rows of some _STREAM words of one language, and with each the words that the task has not reported yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, held, sizes, words, codes = Encoder(), {}, {}, [], []
+
+        def row(key: tuple) -> pa.RecordBatch:
+            stream = np.concatenate(held.pop(key))
+            out = {"lang": key[0], "sampled": key[1], "n": int(np.count_nonzero(stream)), "codes": stream.tobytes(),
+                   "words": [w for w in words if w != b"."], "word_codes": [c for c in codes if c]}
+            del sizes[key], words[:], codes[:]
+            return pa.RecordBatch.from_pylist([out], schema=schema)
+
+        for batch in batches:
+            for k in range(len(batch)):
+                lang, sampled, text = (c[k].as_py() for c in batch.columns)
+                stream, fresh, new = encoder.encode(text)
+                words += fresh
+                codes += new.astype(np.int64).tolist()
+                held.setdefault((lang, sampled), []).extend((stream, np.zeros(1, np.uint64)))
+                sizes[lang, sampled] = sizes.get((lang, sampled), 0) + len(stream)
+                if sizes[lang, sampled] >= _STREAM:
+                    yield row((lang, sampled))
+        for key in list(held):
+            yield row(key)
+
+    return run
+
+
+# --- counting -------------------------------------------------------------------
+
 class Filter:
     """A set of phrase hashes as bits. It may hold phrases that were never put in, which costs counting, no result."""
 
@@ -52,102 +113,192 @@ class Filter:
         return (self.bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _hash(codes: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+def phrase_hashes(codes: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of the phrases of so many words that start at `at`; the last two bits tell how many."""
     total = np.full(len(at), words, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(words):
             total = total * np.uint64(0x9E3779B97F4A7C15) + codes[at + k]
-        return _mix(total)
+        return _mix(total) & ~np.uint64(3) | np.uint64(words - 1)
 
 
-def _groups(ids: np.ndarray, at: np.ndarray, words: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal phrases among those that start at `at`: a place of each in `at`, and how often it occurs."""
-    order = np.argsort(hashes)
-    same = hashes[order[1:]] == hashes[order[:-1]]
-    columns = [ids[at + k] for k in range(words)]
-    equal = np.logical_and.reduce([c[order[1:]] == c[order[:-1]] for c in columns])
-    if (same & ~equal).any():  # two phrases of one hash: sort by the words themselves
-        order = np.lexsort(columns)
-        equal = np.logical_and.reduce([c[order[1:]] == c[order[:-1]] for c in columns])
-    first = np.flatnonzero(np.concatenate([[True], ~equal]))
-    return order[first], np.diff(np.concatenate([first, [len(order)]]))
+def _levels(stream: np.ndarray, lang: str):
+    """Word codes of a language's stream, so that no phrase is the same in two languages, and where its words stand."""
+    from xxhash import xxh64_intdigest
 
+    return _mix(stream ^ np.uint64(xxh64_intdigest(lang.encode()))), stream != 0
 
-class PhraseCounts:
-    """Counts phrases in a task. A phrase of two words or more counts if what is left without its last word and without
-    its first is known; with `fresh`, only if one of the two is fresh. Known phrases and their negative border
-    are exactly these."""
 
-    def __init__(self, known: bytes | None, fresh: bytes | None, singles: bool):
-        self.known, self.fresh, self.singles = known and Filter(known), fresh and Filter(fresh), singles
-        self.clear()
+def _next(usable: np.ndarray) -> np.ndarray:
+    """Where a phrase of one word more starts: both that begin here without its last word and without its first are usable."""
+    return np.flatnonzero(usable[:-1] & usable[1:])
 
-    def clear(self) -> None:
-        self.words = WordIds(500_000)
-        self.words[b"."]  # number 0
-        self.names: list[bytes] = []
-        self.codes = np.zeros(0, np.uint64)
 
-    def count(self, lang: str, texts: list[str]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+def border_hashes(stream: np.ndarray, lang: str, known: Filter | None, sizes: range) -> Iterator[np.ndarray]:
+    """Hashes of the phrases to count: known ones and their negative border, which are those that leave a known phrase both
+    without their last and without their first word. Beyond two words without `known`, none; below `sizes`, only looked at."""
+    codes, inside = _levels(stream, lang)
+    usable = np.concatenate([inside, [False]])
+    for words in range(1, sizes.stop):
+        at = np.flatnonzero(usable[:-1]) if words == 1 else _next(usable)
+        hashes = phrase_hashes(codes, at, words)
+        if words in sizes:
+            yield hashes
+        usable = np.zeros(len(usable), bool)
+        # A longest phrase that is counted here may itself be new, so what is longer builds on all that are counted.
+        usable[at if known is None or words in sizes and sizes.start > 1 else at[known.has(hashes)]] = True
 
-        ids = np.concatenate([x for t in texts for x in (self.words.of_all(folded_words(t)).astype(np.int32), np.zeros(1, np.int32))])
-        fresh = self.words.take()
-        self.names += fresh
-        self.codes = np.concatenate([self.codes, np.fromiter(map(xxh64_intdigest, fresh), np.uint64, len(fresh))])
-        codes = _mix(self.codes ^ np.uint64(xxh64_intdigest(lang.encode())))[ids]
-        inside = ids > 0
-        yield self._rows(lang, 0, [""], np.zeros(1, np.uint64), np.array([inside.sum()]))
-        at = np.flatnonzero(inside)
-        if self.singles and len(at):
-            number, n = np.unique(ids[at], return_counts=True)
-            place = np.zeros(len(self.names), np.int64)
-            place[ids[at]] = at
-            yield self._rows(lang, 1, [self.names[k] for k in number.tolist()], _hash(codes, place[number], 1), n)
-        for words in range(1, LONGEST):
-            if not self.known or not len(at):
-                break
-            hashes = _hash(codes, at, words)
-            known, fresh_ = np.zeros(len(ids) + 1, bool), np.zeros(len(ids) + 1, bool)
-            hit = self.known.has(hashes)
-            known[at[hit]] = True
-            at = np.flatnonzero(known[:-1] & known[1:])  # phrases of one word more
-            if self.fresh:
-                fresh_[np.flatnonzero(known)[self.fresh.has(hashes[hit])]] = True
-                counted = at[fresh_[at] | fresh_[at + 1]]
-            else:
-                counted = at
-            if len(counted):
-                hashes = _hash(codes, counted, words + 1)
-                picked, n = _groups(ids, counted, words + 1, hashes)
-                columns = [map(self.names.__getitem__, ids[counted[picked] + k].tolist()) for k in range(words + 1)]
-                yield self._rows(lang, words + 1, list(map(b" ".join, zip(*columns))), hashes[picked], n)
-        if self.words.full():
-            self.clear()
 
-    @staticmethod
-    def _rows(lang: str, words: int, phrases: list, hashes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int64))), pa.array(np.full(len(n), words, np.int32)),
-             pa.array(phrases, pa.string()), pa.array(hashes.astype(np.int64)), pa.array(n.astype(np.int64))],
-            names=["lang", "words", "phrase", "hash", "n"])
+def exact_phrases(stream: np.ndarray, lang: str, proposed: Filter, found: Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, hashes, places) of the phrases to count by their words: those found frequent, and those that the failures of the border
+    make possible. A failure is one that was found but not proposed. A phrase is possible if what it leaves without its last
+    and without its first word is found or possible, and one of them is a failure or only possible."""
+    codes, inside = _levels(stream, lang)
+    usable, news = np.concatenate([inside, [False]]), np.zeros(len(stream) + 1, bool)
+    for words in range(1, LONGEST + 1):
+        at = np.flatnonzero(usable[:-1]) if words == 1 else _next(usable)
+        hashes = phrase_hashes(codes, at, words)
+        known = found.has(hashes)
+        possible = ~known & (news[at] | news[at + 1]) if words > 1 else np.zeros(len(at), bool)
+        taken = known | possible
+        yield words, hashes[taken], at[taken]
+        fresh = possible | known & ~proposed.has(hashes)
+        usable, news = np.zeros(len(usable), bool), np.zeros(len(usable), bool)
+        usable[at[taken]] = True
+        news[at[fresh]] = True
+
 
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
+    """Stored streams of a language, put together up to _TOGETHER words."""
+    held: dict[str, list[np.ndarray]] = {}
+    for batch in batches:
+        for k in range(len(batch)):
+            lang, stream = batch.column(0)[k].as_py(), np.frombuffer(batch.column(1)[k].as_py(), np.uint64)
+            parts = held.setdefault(lang, [])
+            parts.append(stream)
+            if sum(map(len, parts)) >= _TOGETHER:
+                yield lang, np.concatenate(held.pop(lang))
+    for lang, parts in held.items():
+        yield lang, np.concatenate(parts)
+
+
+# Counts travel packed: a row holds the counts of one slice of the hash space, so that few bytes go through the shuffle, and
+# each slice is added up by itself. There are as many slices as keep one small, however large the corpus.
+
+PACKED = "slice long, lang string, hashes binary, columns binary, kind string, n binary"
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as differences, their first bytes together, then their second ones and so on; the high ones are
+    mostly zero and compress to nothing."""
+    return np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _of_planes(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _narrow(values: np.ndarray) -> tuple[str, np.ndarray]:
+    kind = np.min_scalar_type(int(values.max(initial=0))).str
+    return kind, values.astype(kind)
+
+
+def _cuts(hashes: np.ndarray, slices: int) -> list[tuple[int, int, int]]:
+    """Sorted hashes by slice: (slice, start, end) of those that hold any."""
+    bounds = np.array([(k << 64) // slices for k in range(slices)], np.uint64)
+    at = np.searchsorted(hashes, bounds).tolist() + [len(hashes)]
+    return [(k, at[k], at[k + 1]) for k in range(slices) if at[k] < at[k + 1]]
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.string(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["slice", "lang", "hashes", "columns", "kind", "n"])
+
+
+def _border_counts(known, sizes: range, slices: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        proposed = known and Filter(known.value)
+        for lang, stream in _streams(batches):
+            for hashes in border_hashes(stream, lang, proposed, sizes):
+                hashes, n = np.unique(hashes, return_counts=True)
+                kind, n = _narrow(n)
+                rows = [(k, "", _planes(hashes[a:b]), b"", kind, n[a:b].tobytes()) for k, a, b in _cuts(hashes, slices)]
+                if rows:
+                    yield _packed(rows)
+
+    return run
+
+
+def _exact_counts(proposed, found, slices: int):
+    """The same for phrases by their words: per row the word codes that occur, and each phrase as places among them, 0 for none."""
 
-def _counting(known, fresh, singles: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = PhraseCounts(known and known.value, fresh and fresh.value, singles)
-        held: dict[str, list[str]] = {}
-        size = 0
+        filters = Filter(proposed.value), Filter(found.value)
+        for lang, stream in _streams(batches):
+            for words, hashes, at in exact_phrases(stream, lang, *filters):
+                order = np.lexsort([*(stream[at + k] for k in range(words)), hashes])
+                at, hashes = at[order], hashes[order]
+                new = np.logical_or.reduce([np.diff(c, prepend=~c[:1]) != 0 for c in (hashes, *(stream[at + k] for k in range(words)))])
+                first = np.flatnonzero(new)
+                kind, n = _narrow(np.diff(np.concatenate([first, [len(at)]])))
+                rows = []
+                for k, a, b in _cuts(hashes[first], slices):
+                    codes = stream[at[first[a:b]][None, :] + np.arange(words)[:, None]]
+                    own, places = np.unique(codes, return_inverse=True)
+                    columns = np.zeros((LONGEST, b - a), np.uint32)
+                    columns[:words] = places.reshape(words, -1) + 1
+                    rows.append((k, lang, _planes(own), columns.tobytes(), kind, n[a:b].tobytes()))
+                if rows:
+                    yield _packed(rows)
+
+    return run
+
+
+def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows of `keys` added up."""
+    order = np.lexsort(keys.T)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def _sums(exact: bool, support: int):
+    """Packed rows sorted by slice and language -> the sums that reach the support. What is held is added up whenever it has
+    doubled, so a slice takes as much memory as it has different phrases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, size, room = None, [], 0, 1 << 20
+
+        def total() -> tuple[np.ndarray, np.ndarray]:
+            return _added(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+
+        def result() -> pa.RecordBatch:
+            keys, n = total()
+            keys, n = keys[n >= support].view(np.int64), n[n >= support]
+            if not exact:
+                return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(n)], names=["hash", "n"])
+            lang = pa.array([key[1]], pa.string()).take(pa.array(np.zeros(len(n), np.int64)))
+            codes = [pa.array(keys[:, k], mask=keys[:, k] == 0) for k in range(LONGEST)]
+            return pa.RecordBatch.from_arrays([lang, *codes, pa.array(n)], names=["lang", "c1", "c2", "c3", "c4", "n"])
+
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(lang, []).append(text)
-                size += len(text)
-                if size >= _BUFFER:
-                    for key, texts in held.items():
-                        yield from counts.count(key, texts)
-                    held, size = {}, 0
-        for key, texts in held.items():
-            yield from counts.count(key, texts)
+            for k in range(len(batch)):
+                slice_, lang, hashes, columns, kind, n = (c[k].as_py() for c in batch.columns)
+                if held and (slice_, lang) != key:
+                    yield result()
+                    held, size, room = [], 0, 1 << 20
+                key, values = (slice_, lang), _of_planes(hashes)
+                if exact:
+                    places = np.frombuffer(columns, np.uint32).reshape(LONGEST, -1).T
+                    values = np.concatenate([np.zeros(1, np.uint64), values])[places]
+                held.append((values.reshape(len(values), -1), np.frombuffer(n, kind).astype(np.int64)))
+                size += len(values)
+                if size > room:
+                    held = [total()]
+                    size = len(held[0][1])
+                    room = max(1 << 20, 2 * size)
+        if held:
+            yield result()
 
     return run
 
@@ -159,51 +310,59 @@ def _filter(rows: DataFrame):
     slot = F.shiftrightunsigned("hash", 64 - bits) + 1
     blocks = rows.groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     data = np.zeros((1 << bits) // 8, np.uint8)
-    for block, part in blocks.toLocalIterator():
+    for block, part in blocks.collect():  # 4 kB each, 64 MB in all at most
         data[(block - 1) * 4096 : block * 4096] = np.frombuffer(part, np.uint8)
     return spark.sparkContext.broadcast(data.tobytes())
 
 
-def _pass(docs: DataFrame, known: DataFrame | None, fresh: DataFrame | None, singles: bool, support: int) -> DataFrame:
-    """One pass over `docs`: exact counts of what is to be counted, those that reach the support, and the words per language."""
-    counted = docs.mapInArrow(_counting(known is not None and _filter(known), fresh is not None and _filter(fresh), singles), COUNTS)
-    sums = counted.groupBy("lang", "words", "phrase").agg(F.min("hash").alias("hash"), F.sum("n").alias("n"))
-    return settle(sums.where((F.col("n") >= support) | (F.col("words") == 0)), "phrase-counts")
-
+def _summed(counted: DataFrame, exact: bool, support: int) -> DataFrame:
+    out = "lang string, c1 long, c2 long, c3 long, c4 long, n long" if exact else "hash long, n long"
+    return settle(counted.repartition("slice").sortWithinPartitions("slice", "lang").mapInArrow(_sums(exact, support), out), "phrase-counts")
 
-def _closed(docs: DataFrame, support: int, proposed: DataFrame | None) -> DataFrame:
-    """All phrases of `docs` that reach the support, with exact counts.
 
-    The first pass counts what is proposed and its negative border. Frequent phrases that were not proposed are
-    failures of the border; then a further pass counts the phrases that these make possible, and so on
-    until a pass has no failure that could be part of a longer phrase.
-    """
-    rows = _pass(docs, proposed, None, True, support)
-    found, failed = rows, rows.where("words > 0")
-    if proposed is not None:
-        failed = failed.join(proposed.select("lang", "phrase"), ["lang", "phrase"], "left_anti")
-    failed = settle(failed, "border-failures")
-    while not (fresh := failed.where(F.col("words") < LONGEST)).isEmpty():
-        rows = _pass(docs, found.where("words > 0"), fresh, False, support).where("words > 0")
-        # The filters may let a phrase be counted twice; both counts are exact.
-        failed = settle(rows.join(found.select("lang", "phrase"), ["lang", "phrase"], "left_anti"), "border-failures")
-        found = found.unionByName(failed)
-    return found
+def _counted(streams: DataFrame, known, sizes: range, support: int, slices: int) -> DataFrame:
+    """(hash, n) of what is counted and reaches the support. Tasks add up what they read, so no hash is hot."""
+    return _summed(streams.select("lang", "codes").mapInArrow(_border_counts(known, sizes, slices), PACKED), False, support)
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, sample: int = SAMPLE) -> DataFrame:
-    """(lang, words, phrase, hash, n): phrases of 1 to 4 words with `support` occurrences or more, and a row of `words` 0 per
+    """(lang, words, phrase, n): phrases of 1 to 4 words with `support` occurrences or more, and a row of `words` 0 per
     language with the number of all its words.
 
-    One document in `sample`, chosen by a hash of the row, is mined with a lowered support; the result proposes. It grows with
-    the corpus and settles only what is counted in which pass, never what is found.
+    Toivonen's algorithm. One document in `sample`, chosen by a hash of the row, is mined with a lowered support; what is
+    frequent there is proposed. A full pass counts the proposed phrases and their negative border. Those of the border that turn out
+    frequent are failures; a further pass counts all that they make possible, phrases that build on other possible
+    ones included, which closes the border in one go. That pass counts by the words themselves, everything found before as well: hashes
+    and filters, whose size is bounded, may let too much be counted but decide nothing.
+
+    The sample grows with the corpus and settles only what is counted in which pass, never what is found. Texts are
+    encoded once, 8 bytes a word, and read by the passes from the shared folder.
     """
-    prepare(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-                       (F.pmod(F.xxhash64(*[c for c, kind in docs.dtypes if kind in ("bigint", "int", "string")]), F.lit(sample)) == 0).alias("_in"))
-    few = rows.where("_in").select("lang", "text")
-    proposed = _closed(few, max(2, int(np.ceil(support / sample * CAUTION))), None).where("words > 0")
-    return _closed(rows.select("lang", "text"), support, proposed)
+    spark = prepare(docs.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
+    chosen = F.pmod(F.xxhash64(*[c for c, kind in docs.dtypes if kind in ("bigint", "int", "string")]), F.lit(sample)) == 0
+    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), chosen.alias("sampled"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    streams = settle(rows.mapInArrow(_encoded(spark.createDataFrame([], STREAMS).toArrow().schema), STREAMS), "word-streams")
+    few, lowered = streams.where("sampled"), max(2, int(np.ceil(support / sample * CAUTION)))
+    slices = max(256, (streams.agg(F.sum("n")).first()[0] or 0) // _SLICE)
+    short = _counted(few, None, range(1, 3), lowered, slices)
+    long = _counted(few, _filter(short), range(3, LONGEST + 1), lowered, slices)
+    proposed = _filter(short.unionByName(long))
+    found = _filter(_counted(streams, proposed, range(1, LONGEST + 1), support, slices))
+    codes = [f"c{k + 1}" for k in range(LONGEST)]
+    exact = _summed(streams.select("lang", "codes").mapInArrow(_exact_counts(proposed, found, slices), PACKED), True, support)
+
+    # Words for codes. Should two words share a code, their phrases cannot be told apart: better to stop than to add them up.
+    asked = exact.select("lang", *codes, "n", F.posexplode(F.array_compact(F.array(*codes))).alias("place", "code"))
+    reported = streams.select(F.explode(F.arrays_zip("words", "word_codes")).alias("x")).select(F.col("x.word_codes").alias("code"), F.col("x.words").alias("word"))
+    wanted = settle(asked.select("code").distinct(), "frequent-codes")
+    named = settle(reported.join(wanted, "code", "left_semi").groupBy("code").agg(F.min("word").alias("word"), F.max("word").alias("_last")), "frequent-words")
+    if not named.where("word <> _last").isEmpty():
+        raise ValueError("two words have the same 64-bit code")
+    phrases = asked.join(named, "code").groupBy("lang", *codes, "n").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("_w"))
+    phrases = phrases.select("lang", F.size("_w").alias("words"), F.array_join(F.col("_w.word"), " ").alias("phrase"), "n")
+    totals = streams.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0").select("lang", F.lit(0).alias("words"), F.lit("").alias("phrase"), "n")
+    return settle(phrases.unionByName(totals), "frequent-phrases")
 
 
 def _wide(column: str | Column) -> Column:
