@@ -136,23 +136,28 @@ def search(queries: CoverTree, data: CoverTree, ids: np.ndarray, number: int, be
         seen += 1
         qs, qe, ds, de = queries.start[q], queries.end[q], data.start[d], data.end[d]
         cq, cd = queries.center[q], data.center[d]
-        rq, rd = queries.radius[q], data.radius[d]
-        bound = _bound(queries.points[cq] @ data.points[cd], queries.norms[cq], rq, data.norms[cd], rd)
-        if bound < best.bounds[qs:qe].min():
+        rq, rd, nd = queries.radius[q], data.radius[d], data.norms[cd]
+        if _bound(queries.points[cq] @ data.points[cd], queries.norms[cq], rq, nd, rd) < best.bounds[qs:qe].min():
             continue
         q_kids, d_kids = queries.children(q), data.children(d)
-        if not q_kids and not d_kids:
-            scores = product(queries.points[qs:qe], data.points[ds:de])
-            hit = scores >= best.bounds[qs:qe, None]
-            for row in np.flatnonzero(hit.any(1)).tolist():
-                at = np.flatnonzero(hit[row])
-                best.offer(qs + row, [(int(scores[row, k]), -int(ids[ds + k]), number, ds + int(k)) for k in at])
-        elif not d_kids or q_kids and rq > rd:
+        if q_kids and (rq > rd or not d_kids):
             stack += [(k, d) for k in q_kids]
-        else:
+            continue
+        if not q_kids:  # each query of a leaf by itself, with no radius of its own
+            each = _bound(queries.points[qs:qe] @ data.points[cd], queries.norms[qs:qe], 0.0, nd, rd) >= best.bounds[qs:qe]
+            if not each.any():
+                continue
+        if d_kids:
             # The nearest child last, so that it is searched first and raises the bounds.
             nearness = data.points[[data.center[k] for k in d_kids]] @ queries.points[cq]
             stack += [(q, d_kids[k]) for k in np.argsort(nearness).tolist()]
+            continue
+        rows = qs + np.flatnonzero(each)
+        scores = product(queries.points[rows], data.points[ds:de])
+        hit = scores >= best.bounds[rows, None]
+        for k in np.flatnonzero(hit.any(1)).tolist():
+            at = np.flatnonzero(hit[k])
+            best.offer(int(rows[k]), [(int(scores[k, j]), -int(ids[ds + j]), number, ds + int(j)) for j in at])
     return seen
 
 
