@@ -37,11 +37,11 @@ def test_bed_reports(ward):
 
 def test_ward_rollup_nests_in_order_and_splits_by_place(ward, make):
     occupancy = views.bed_occupancy(ward)
-    whole = reports.ward_rollup(occupancy, ward["beds"]).collect()
+    whole = reports.ward_rollup(occupancy).collect()
     assert [r.ward_name for r in whole][:2] == ["Alder", "Birch"] and len(whole) == 7
     assert [b.bed_number for b in whole[0].beds] == ["BED-001", "BED-002", "BED-003"]
     assert whole[0].beds[1].patient_name == "Patient 4" and whole[0].ward_type == "ICU"
-    split = reports.ward_rollup(occupancy, ward["beds"], beds_per_row=3)
+    split = reports.ward_rollup(occupancy, beds_per_row=3)
     assert split.agg(F.max(F.size("beds"))).first()[0] <= 3
     assert split.agg(F.sum(F.size("beds"))).first()[0] == 42
     elm = [[b.bed_number for b in r.beds] for r in split.filter("ward_name = 'Elm'").collect()]
@@ -49,7 +49,7 @@ def test_ward_rollup_nests_in_order_and_splits_by_place(ward, make):
     # Ids far apart and in another order than the bed numbers: still one list, by bed number.
     odd = make("beds", [{"bed_id": 1, "ward_name": "X", "bed_number": "B-9", "bed_type": "ICU", "status": "Available"},
                         {"bed_id": 2000, "ward_name": "X", "bed_number": "B-1", "bed_type": "ICU", "status": "Available"}])
-    listed = reports.ward_rollup(views.bed_occupancy(dict(ward, beds=odd)), odd).collect()
+    listed = reports.ward_rollup(views.bed_occupancy(dict(ward, beds=odd))).collect()
     assert [[b.bed_id for b in r.beds] for r in listed] == [[2000, 1]]
 
 

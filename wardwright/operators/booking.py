@@ -11,7 +11,7 @@ from wardwright.functions.pointers import settle_negations
 from wardwright.functions.scalars import money
 from wardwright.operators import audit
 from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, admission, exists_flag,
-                                           first_valid, last_per_key, only_wanted, split_known, update_by_key,
+                                           first_valid, known_rows, last_per_key, only_wanted, split_by, update_by_key,
                                            with_new_ids, wanted_flag)
 from wardwright.operators.scheduling import (SLOT_KEY, check_availability, known_phones, occupied_slots,
                                              predicted_wait)
@@ -167,19 +167,22 @@ def book_as_patient(t: Tables, requests: DataFrame, as_of: str, high_water: int
                    {"new_patients": new_patients})
 
 
+def _set_status(t: Tables, changes: DataFrame, columns: list[str], label: str, as_of: str) -> Outcome:
+    """Set `columns`, status among them, of the appointments asked for; the last change wins. The table is read twice: once for the
+    stored status of the appointments asked for, from which acceptance and audit follow, once for the new state."""
+    known = known_rows(changes, t["appointments"], "appointment_id", "status")
+    accepted, unknown = split_by(changes, known, "appointment_id")
+    latest = settle(last_per_key(changes, "appointment_id", columns), label)
+    state = update_by_key(t["appointments"], "appointment_id", latest, {c: F.col(f"c.{c}") for c in columns})
+    return Outcome({"appointments": state}, accepted, unknown, audit.status_audit(known, changes, as_of))
+
+
 def change_status(t: Tables, changes: DataFrame, as_of: str) -> Outcome:
     """Set statuses, last change wins, no state machine; unknown ids change nothing."""
-    accepted, unknown = split_known(changes, t["appointments"], "appointment_id")
-    latest = settle(last_per_key(changes, "appointment_id", ["status"]), "status-changes")
-    state = update_by_key(t["appointments"], "appointment_id", latest, {"status": F.col("c.status")})
-    return Outcome({"appointments": state}, accepted, unknown, audit.status_audit(t["appointments"], changes, as_of))
+    return _set_status(t, changes, ["status"], "status-changes", as_of)
 
 
 def accept_appointments(t: Tables, acceptances: DataFrame, as_of: str) -> Outcome:
     """Confirm appointments and set their duration."""
     confirmed = acceptances.withColumn("status", F.lit("Confirmed"))
-    accepted, unknown = split_known(confirmed, t["appointments"], "appointment_id")
-    latest = settle(last_per_key(confirmed, "appointment_id", ["status", "duration_minutes"]), "acceptances")
-    state = update_by_key(t["appointments"], "appointment_id", latest,
-                          {"status": F.col("c.status"), "duration_minutes": F.col("c.duration_minutes")})
-    return Outcome({"appointments": state}, accepted, unknown, audit.status_audit(t["appointments"], confirmed, as_of))
+    return _set_status(t, confirmed, ["status", "duration_minutes"], "acceptances", as_of)

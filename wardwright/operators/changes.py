@@ -87,9 +87,19 @@ def wanted_flag(requests: DataFrame, column: str, parent: DataFrame, parent_key:
     return exists_flag(requests, column, keys, parent_key, out)
 
 
+def known_rows(requests: DataFrame, table: DataFrame, key: str, *columns: str) -> DataFrame:
+    """`known_keys` with further columns of the table, so that what else follows from the rows asked for needs no scan of its own."""
+    return settle(only_wanted(table.select(key, *columns), [key], requests), "known-rows")
+
+
 def split_known(requests: DataFrame, table: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Requests whose key is in the table, and the others as rejections."""
-    keys = known_keys(requests, table, key)
+    return split_by(requests, known_keys(requests, table, key), key)
+
+
+def split_by(requests: DataFrame, known: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Requests whose key is in `known`, a settled table, and the others as rejections."""
+    keys = known.select(key)
     unknown = requests.join(keys, key, "left_anti").select(SEQ, F.lit(NOT_FOUND).alias("reason"))
     return requests.join(keys, key, "left_semi"), unknown
 

@@ -153,33 +153,33 @@ def ward_beds(occupancy: DataFrame, beds: DataFrame) -> DataFrame:
 
 
 def placed_in_ward(occupancy: DataFrame) -> DataFrame:
-    """Add `place`: the bed's number in its ward by bed number, from 0.
+    """Add `place`, the bed's number in its ward by bed number, from 0, and of the ward the type of its first bed and the
+    number of its beds as `ward_type` and `bed_count`.
 
     The beds are sorted by range into parts, which cut a large ward, and numbered within their part; the beds
-    of a ward in earlier parts are added from the counts per ward and part.
+    of a ward in earlier parts are added from the counts per ward and part, which also tell the ward's type and count.
     """
     order = ["ward_name", "bed_number", "bed_id"]
     parted = settle(occupancy.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ward-parts")
-    counts = parted.groupBy("ward_name", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("ward_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = settle(counts.select("ward_name", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")), "ward-offsets")
+    counts = parted.groupBy("ward_name", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min_by("bed_type", "bed_number").alias("_type"))
+    whole = Window.partitionBy("ward_name").orderBy("_part")
+    earlier, all_parts = (whole.rowsBetween(Window.unboundedPreceding, end) for end in (-1, Window.unboundedFollowing))
+    offsets = settle(counts.select("ward_name", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+                                   F.first("_type").over(all_parts).alias("ward_type"), F.sum("_n").over(all_parts).alias("bed_count")), "ward-offsets")
     inside = F.row_number().over(Window.partitionBy("ward_name", "_part").orderBy("bed_number", "bed_id"))
     return (parted.withColumn("_row", inside).join(offsets, ["ward_name", "_part"])
             .withColumn("place", F.col("_before") + F.col("_row") - 1).drop("_part", "_row", "_before"))
 
 
-def ward_rollup(occupancy: DataFrame, beds: DataFrame, beds_per_row: int = 1024) -> DataFrame:
+def ward_rollup(occupancy: DataFrame, beds_per_row: int = 1024) -> DataFrame:
     """Ward -> type and ordered list of beds.
 
     The list is by bed number. It is cut by place into rows of `beds_per_row`, so a row is bounded however large
     the ward, and a ward with no more beds than that is one row; `list_place` orders the rows of a ward.
     """
     bed = F.struct("place", "bed_number", "bed_id", "status", "patient_name")
-    lists = (placed_in_ward(occupancy).groupBy("ward_name", F.floor(F.col("place") / beds_per_row).alias("list_place"))
-             .agg(F.array_sort(F.collect_list(bed)).alias("beds")))
-    return (lists.join(ward_summary(beds), "ward_name")
-            .select("ward_name", "ward_type", "bed_count", "list_place", "beds")
-            .orderBy("ward_name", "list_place"))
+    return (placed_in_ward(occupancy).groupBy("ward_name", "ward_type", "bed_count", F.floor(F.col("place") / beds_per_row).alias("list_place"))
+            .agg(F.array_sort(F.collect_list(bed)).alias("beds")).orderBy("ward_name", "list_place"))
 
 
 # --- top-k and samples -------------------------------------------------------

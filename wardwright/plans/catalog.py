@@ -555,7 +555,7 @@ _WARD_SQL = """
     SELECT *, place // 1024 AS list_place, CAST(place % 1024 AS BIGINT) AS list_index
     FROM (SELECT *, row_number() OVER (PARTITION BY ward_name ORDER BY bed_number, bed_id) - 1 AS place FROM ({_WARD_SQL}))""")
 def _(b):
-    rolled = reports.ward_rollup(views.bed_occupancy(b.tables), b.beds)
+    rolled = reports.ward_rollup(views.bed_occupancy(b.tables))
     return rolled.select("ward_name", "ward_type", "bed_count", "list_place", F.posexplode("beds").alias("list_index", "bed")).select(
         "ward_name", "ward_type", "bed_count", "list_place", F.col("list_index").cast("long").alias("list_index"), "bed.*")
 
