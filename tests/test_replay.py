@@ -324,6 +324,23 @@ def test_new_patients_and_uploads(make):
     assert [r.upload_id for r in up.tables["uploads"].collect()] == [1]
 
 
+def test_nulls_that_are_given_are_kept(make):
+    from pyspark.sql import functions as F
+    data, t = world(make, random.Random(1))
+    requests = make("new_patients", [{"request_seq": k, "name": "n", "age": 1, "gender": "Other", "phone": "1", "email": e} for k, e in enumerate([None, None, "x@y", None])])
+    given = F.when(F.col("request_seq") == 0, F.array(F.lit("email"), F.lit("address"))).when(F.col("request_seq") == 3, F.lit(None))
+    done = people.add_patients(t, requests.withColumn("given", given.otherwise(F.array(F.lit("address")))), STAMP)
+    assert {r.request_seq: (r.email, r.address, r.blood_group) for r in done.accepted.collect()} == {0: (None, None, ""), 1: ("", None, ""), 2: ("x@y", None, ""), 3: ("", "", "")}
+    # A doctor's email that is given as NULL clashes with nothing; empty ones clash.
+    doctors = make("new_doctors", [{"request_seq": k, "name": "n", "specialization": "s", "dept_id": 1, "phone": f"77{k}", "salary": Decimal(1)} for k in range(4)])
+    done = people.add_doctors(t, doctors.withColumn("given", F.when(F.col("request_seq") < 2, F.array(F.lit("email"))).otherwise(F.array().cast("array<string>"))), STAMP)
+    assert outcome(done, "email") == ({0: (None,), 1: (None,), 2: ("",)}, {3: "unique"})
+    bookings = make("admin_bookings", [{"request_seq": k, "patient_id": 1, "doctor_id": 3, "appointment_date": "2024-06-01", "time_slot": slot}
+                                       for k, slot in enumerate(["09:00", "09:30"])])
+    done = booking.book_appointments(t, bookings.withColumn("given", F.when(F.col("request_seq") == 0, F.array(F.lit("fees"), F.lit("symptoms")))), STAMP)
+    assert outcome(done, "fees", "symptoms")[0] == {0: (None, None), 1: (Decimal(500), "")}
+
+
 def test_bills(make):
     data, t = world(make, random.Random(9))
     t["patients"] = make("patients", [{"patient_id": 1, "insurance_id": "I"}, {"patient_id": 2}, {"patient_id": 3, "insurance_id": ""},

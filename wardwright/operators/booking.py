@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardwright.functions.pointers import settle_negations
 from wardwright.functions.scalars import money
 from wardwright.operators import audit
-from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, admission, exists_flag,
+from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, admission, default_for, exists_flag,
                                            first_valid, known_rows, last_per_key, only_wanted, split_by, update_by_key,
                                            with_new_ids, wanted_flag)
 from wardwright.operators.scheduling import (SLOT_KEY, check_availability, known_phones, occupied_slots,
@@ -76,8 +76,8 @@ def book_appointments(t: Tables, requests: DataFrame, as_of: str, high_water: in
     ids = with_new_ids(_winners(state), t["appointments"], "appointments", high_water)
     accepted = (requests.join(ids, SEQ).join(waits, "doctor_id")
                 .select(SEQ, "appointment_id", "patient_id", "doctor_id", "appointment_date", "time_slot",
-                        F.lit("Scheduled").alias("status"), F.coalesce("symptoms", F.lit("")).alias("symptoms"),
-                        F.coalesce(money("fees"), money(F.lit(DEFAULT_FEE))).alias("fees"),
+                        F.lit("Scheduled").alias("status"), default_for(requests, "symptoms", F.lit("")).alias("symptoms"),
+                        money(default_for(requests, "fees", F.lit(DEFAULT_FEE))).alias("fees"),
                         F.col("predicted_wait").alias("wait_time_minutes"),
                         F.lit(DEFAULT_DURATION).alias("duration_minutes"), F.lit(as_of).alias("created_at")))
     return Outcome({"appointments": with_new_rows(t["appointments"], accepted)}, accepted,
@@ -155,7 +155,7 @@ def book_as_patient(t: Tables, requests: DataFrame, as_of: str, high_water: int
     accepted = (requests.join(ids, SEQ).join(by_phone, "phone", "left")
                 .select(SEQ, "appointment_id", F.coalesce("known_patient_id", "_new_patient_id").alias("patient_id"),
                         "doctor_id", "appointment_date", "time_slot", F.lit("Scheduled").alias("status"),
-                        F.coalesce("symptoms", F.lit("")).alias("symptoms"),
+                        default_for(requests, "symptoms", F.lit("")).alias("symptoms"),
                         money(F.lit(DEFAULT_FEE)).alias("fees"), F.lit(0).alias("wait_time_minutes"),
                         F.lit(DEFAULT_DURATION).alias("duration_minutes"), F.lit(as_of).alias("created_at")))
     new_patients = (requests.select(SEQ, "name", "age", "gender").join(registered, SEQ)

@@ -24,6 +24,19 @@ NOT_NULL = "not null"
 NOT_FOUND = "not found"
 
 
+#: Optional column of a change set: the names of the columns that a request gives. A NULL in a column it names is kept; any
+#: other NULL, and every one without this column, stands for a value that was left out, which takes the default.
+GIVEN = "given"
+
+
+def default_for(requests: DataFrame, column: str, default: Column) -> Column:
+    """The value of a column of `requests`, or `default` where it was left out."""
+    value, named = F.col(column), F.lit(False)
+    if GIVEN in requests.columns:
+        named = F.coalesce(F.array_contains(GIVEN, column), F.lit(False))
+    return F.when(value.isNull() & ~named, default).otherwise(value)
+
+
 @dataclass(frozen=True)
 class Outcome:
     """New state of the touched tables, and what became of every request."""

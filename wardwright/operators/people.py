@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardwright.functions.pointers import settle_negations
 from wardwright.functions.scalars import stamp
 from wardwright.operators import audit
-from wardwright.operators.changes import FOREIGN_KEY, NOT_FOUND, NOT_NULL, SEQ, Outcome, exists_flag, only_wanted, wanted_flag, with_new_ids
+from wardwright.operators.changes import FOREIGN_KEY, NOT_FOUND, NOT_NULL, SEQ, Outcome, default_for, exists_flag, only_wanted, wanted_flag, with_new_ids
 from wardwright.schemas import PATCHABLE_PATIENT_COLUMNS, REQUIRED
 from wardwright.session import scratch_path, settle
 from wardwright.sources.sinks import with_new_rows
@@ -37,10 +37,10 @@ def _insert(table: DataFrame, name: str, rows: DataFrame, reason: Column, high_w
 
 
 def add_patients(t: Tables, requests: DataFrame, as_of: str, high_water: int | None = None) -> Outcome:
-    """Register patients; optional contact fields default to empty text."""
+    """Register patients; contact fields that a request leaves out are empty text."""
     rows = requests.select(
         SEQ, "name", "age", "gender", "phone",
-        *[F.coalesce(c, F.lit("")).alias(c) for c in ("email", "blood_group", "address")],
+        *[default_for(requests, c, F.lit("")).alias(c) for c in ("email", "blood_group", "address")],
         F.lit(as_of[:10]).alias("registration_date"), "insurance_id", "insurance_provider",
         F.lit("Active").alias("status"))
     return _insert(t["patients"], "patients", rows, F.when(_missing("patients"), NOT_NULL), high_water)
@@ -56,7 +56,7 @@ def add_doctors(t: Tables, requests: DataFrame, as_of: str, high_water: int | No
     """Register doctors. Phone and email are unique: of equal values the first accepted request wins."""
     doctors = t["doctors"]
     rows = requests.select(
-        SEQ, "name", "specialization", "dept_id", "phone", F.coalesce("email", F.lit("")).alias("email"),
+        SEQ, "name", "specialization", "dept_id", "phone", default_for(requests, "email", F.lit("")).alias("email"),
         F.lit(as_of[:10]).alias("hire_date"), "salary", F.lit("Active").alias("status"))
     checked = exists_flag(rows, "dept_id", t["departments"], "dept_id", "_dept")
     checked = exists_flag(checked, "phone", doctors.filter("phone IS NOT NULL"), "phone", "_phone_used")

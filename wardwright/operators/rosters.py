@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, exists_flag, split_known, update_by_key,
+from wardwright.operators.changes import (FOREIGN_KEY, NOT_NULL, SEQ, Outcome, default_for, exists_flag, split_known, update_by_key,
                                           with_new_ids)
 from wardwright.session import settle
 from wardwright.sources.sinks import with_new_rows
@@ -20,7 +20,7 @@ def upsert_availability(t: Tables, records: DataFrame, high_water: int | None =
     entry keeps its id. One bad record rejects the whole batch.
     """
     table = t["doctor_availability"]
-    records = records.withColumn("notes", F.coalesce("notes", F.lit("")))
+    records = records.withColumn("notes", default_for(records, "notes", F.lit("")))
     missing = F.lit(False)
     for name in (*DAY, "start_time", "end_time", "is_available"):
         missing = missing | F.col(name).isNull()

@@ -865,6 +865,14 @@ def _(b):
     return people.add_patients(b.tables, b.new_patients, AS_OF).accepted
 
 
+@query("u1_explicit_nulls", _NEW_PATIENTS_SQL.replace("'' AS email", "CASE WHEN request_seq % 2 = 1 THEN '' END AS email").replace(
+    "'' AS blood_group", "CASE WHEN request_seq % 3 > 0 THEN '' END AS blood_group"))
+def _(b):
+    """Requests that say which columns they give: a NULL they give is kept, one they leave out takes the default."""
+    given = F.array_compact(F.array(F.when(F.col(SEQ) % 2 == 0, F.lit("email")), F.when(F.col(SEQ) % 3 == 0, F.lit("blood_group")), F.lit("name")))
+    return people.add_patients(b.tables, b.new_patients.withColumn("given", given), AS_OF).accepted
+
+
 @query("u1_add_uploads", f"""
     SELECT * FROM uploads UNION ALL
     SELECT (SELECT max(upload_id) FROM uploads) + row_number() OVER (ORDER BY request_seq), filename, original_name,
