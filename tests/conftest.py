@@ -43,7 +43,6 @@ def ward(spark):
     from decimal import Decimal
     salaries = [97, 121, 88, 143, 176, 102, 64, 152, 131, 79, 110, 93]
     depts = [2, 1, 4, 3, 6, 5, 8, 7, 3, 3, 1, 5]
-    statuses = ["Completed", "Scheduled", "Cancelled", "No-Show", "Confirmed"]
     wards_ = [("Alder", "ICU", 3), ("Birch", "General", 7), ("Cedar", "Private", 4), ("Dogwood", "Semi-Private", 6),
               ("Elm", "General", 9), ("Fir", "ICU", 5), ("Ginkgo", "Private", 8)]
     held = {2: 4, 5: 1, 12: 9, 23: 2, 31: 7, 36: 12}
@@ -55,20 +54,23 @@ def ward(spark):
                          "status": "Occupied" if n in held else "Maintenance" if n == 18 else "Available",
                          "patient_id": held.get(n), "hourly_rate": Decimal(100),
                          "admitted_date": "2024-04-10 08:00" if n in held else None})
-    hours = {(3, 1): ("09:00", "17:00", False, "Away"), (1, 2): ("10:00", "13:00", True, "Short day"),
-             (5, 0): ("14:00", "17:00", True, "Late start")}
-    availability = []
-    for day in range(3):
-        for doctor in range(1, 7):
-            start, end, ok, note = hours.get((doctor, day), ("09:00", "17:00", True, ""))
-            availability.append({"avail_id": len(availability) + 1, "doctor_id": doctor,
-                                 "avail_date": f"2024-04-{15 + day}", "start_time": start, "end_time": end,
-                                 "is_available": ok, "notes": note})
+    # Doctor, day in April, hours, at work, note: some doctors, on some days.
+    hours = [(2, 15, "09:00", "16:30", True, ""), (2, 18, "09:00", "16:30", True, ""), (4, 15, "11:00", "15:30", True, "Lecture until eleven"),
+             (4, 16, "09:00", "12:00", True, ""), (7, 17, "08:00", "20:00", True, "On call"), (8, 15, "09:00", "17:00", False, "Congress"),
+             (8, 16, "09:00", "17:00", False, "Congress"), (8, 17, "13:00", "17:00", True, ""), (11, 16, "15:00", "16:30", True, "")]
+    availability = [{"avail_id": 3 * k + 2, "doctor_id": doctor, "avail_date": f"2024-04-{day}", "start_time": start, "end_time": end,
+                     "is_available": ok, "notes": note} for k, (doctor, day, start, end, ok, note) in enumerate(hours)]
+    # Patient, doctor, day in March, place in the slot grid, status, fee, wait.
+    visits = [(9, 4, 3, 5, "Completed", 640, 22), (9, 4, 19, 0, "Scheduled", 640, None), (2, 10, 4, 7, "Cancelled", 300, None),
+              (14, 4, 4, 8, "Completed", 815, 7), (5, 1, 6, 1, "Completed", 450, 40), (11, 7, 6, 3, "No-Show", 380, None),
+              (1, 12, 8, 2, "Confirmed", 520, None), (3, 7, 11, 10, "Completed", 990, 13), (3, 7, 25, 10, "Scheduled", 990, None),
+              (8, 10, 12, 4, "Completed", 275, 31), (12, 2, 13, 6, "Cancelled", 610, None), (7, 9, 13, 6, "Confirmed", 705, None),
+              (13, 4, 21, 11, "Scheduled", 560, None), (6, 5, 14, 9, "Completed", 430, 18), (15, 2, 28, 2, "Confirmed", 345, None),
+              (4, 10, 16, 1, "No-Show", 285, None), (10, 11, 27, 8, "Scheduled", 770, None)]
     appointments = [{
-        "appointment_id": i + 1, "patient_id": i + 1, "doctor_id": i % 12 + 1,
-        "appointment_date": f"2024-04-{1 + i:02d}", "time_slot": SLOT_GRID[i % 12], "status": statuses[i % 5],
-        "fees": Decimal(500 + 100 * i), "wait_time_minutes": 10 + i, "duration_minutes": 30,
-        "created_at": "2024-03-30 09:00:00"} for i in range(15)]
+        "appointment_id": 10 + 2 * k, "patient_id": patient, "doctor_id": doctor, "appointment_date": f"2024-03-{day:02d}",
+        "time_slot": SLOT_GRID[place], "status": status, "fees": Decimal(fee), "wait_time_minutes": wait, "duration_minutes": 30,
+        "created_at": "2024-02-27 16:20:00"} for k, (patient, doctor, day, place, status, fee, wait) in enumerate(visits)]
     rows = {
         "departments": [{"dept_id": i, "dept_name": f"Dept {i}", "location": f"Floor {i}", "capacity": 50}
                         for i in range(1, 9)],
@@ -77,17 +79,17 @@ def ward(spark):
                      "hire_date": "2020-01-01", "salary": Decimal(salaries[i] * 1000), "status": "Active"}
                     for i in range(12)],
         "patients": [{"patient_id": i, "name": f"Patient {i}", "age": 20 + i, "gender": "Other", "phone": f"900{i:04d}",
-                      "registration_date": "2024-01-01", "insurance_id": None if i in (6, 11, 15) else f"INS{i:03d}",
+                      "registration_date": "2024-01-01", "insurance_id": None if i in (2, 9, 13, 14) else f"INS{i:03d}",
                       "status": "Active"} for i in range(1, 16)],
         "beds": beds, "appointments": appointments, "doctor_availability": availability,
-        "bills": [{"bill_id": 1, "patient_id": 1, "appointment_id": 1, "bed_charges": Decimal(0),
-                   "consultation_fees": Decimal(500), "medicine_charges": Decimal(200), "test_charges": Decimal(0),
-                   "total_amount": Decimal(700), "insurance_coverage": Decimal(490), "patient_payable": Decimal(210),
-                   "bill_date": "2024-04-02", "status": "Paid"},
-                  {"bill_id": 2, "patient_id": 6, "appointment_id": 7, "bed_charges": Decimal(0),
-                   "consultation_fees": Decimal(1000), "medicine_charges": Decimal(0), "test_charges": Decimal(0),
-                   "total_amount": Decimal(1000), "insurance_coverage": Decimal(0), "patient_payable": Decimal(1000),
-                   "bill_date": "2024-04-07", "status": "Pending"}],
+        "bills": [{"bill_id": 3, "patient_id": 5, "appointment_id": 18, "bed_charges": Decimal(0),
+                   "consultation_fees": Decimal(450), "medicine_charges": Decimal(150), "test_charges": Decimal(0),
+                   "total_amount": Decimal(600), "insurance_coverage": Decimal(420), "patient_payable": Decimal(180),
+                   "bill_date": "2024-03-07", "status": "Paid"},
+                  {"bill_id": 8, "patient_id": 9, "appointment_id": 10, "bed_charges": Decimal(0),
+                   "consultation_fees": Decimal(640), "medicine_charges": Decimal(0), "test_charges": Decimal(260),
+                   "total_amount": Decimal(900), "insurance_coverage": Decimal(0), "patient_payable": Decimal(900),
+                   "bill_date": "2024-03-05", "status": "Pending"}],
         "audit_log": [], "uploads": [],
     }
     return {name: table(spark, name, r).cache() for name, r in rows.items()}

@@ -13,11 +13,11 @@ AS_OF = "2024-04-15"
 
 def test_department_statistics(ward):
     stats = {r.dept_id: r for r in views.dept_stats(ward).collect()}
-    assert [stats[i].total_appointments for i in range(1, 9)] == [3, 2, 3, 2, 2, 1, 1, 1]
+    assert [stats[i].total_appointments for i in range(1, 9)] == [3, 1, 8, 0, 1, 1, 0, 3]
     assert [stats[i].doctor_count for i in range(1, 9)] == [2, 1, 3, 1, 2, 1, 1, 1]
-    # Completed: appointments 1, 6, 11 of doctors 1, 6, 11 in departments 2, 5, 1.
-    assert stats[2].revenue == 500 and stats[5].revenue == 1000 and stats[1].revenue == 1500
-    assert stats[2].avg_wait == 10.0 and stats[3].avg_wait is None and stats[3].revenue == 0
+    # Completed: of department 3 two visits of doctor 4 and one of doctor 10; one each of doctors 1, 5 and 7.
+    assert stats[3].revenue == 640 + 815 + 275 and stats[2].revenue == 450 and stats[8].revenue == 990 and stats[6].revenue == 430
+    assert stats[3].avg_wait == 20.0 and stats[2].avg_wait == 40.0 and stats[1].avg_wait is None and stats[1].revenue == 0
 
 
 def test_department_without_doctors_is_kept(ward, make):
@@ -63,12 +63,12 @@ def test_salary_reports(ward):
 
 
 def test_above_mean_load(ward):
-    assert rows_of(reports.above_mean_load(ward), "doctor_id", "appt_count") == [(1, 2), (2, 2), (3, 2)]
+    assert rows_of(reports.above_mean_load(ward), "doctor_id", "appt_count") == [(2, 2), (4, 4), (7, 3), (10, 3)]
 
 
 def test_top_and_left_join_counts(ward):
     top = reports.top_completed(ward).collect()
-    assert [(r.doctor_id, r.completed_appts) for r in top] == [(1, 1), (6, 1), (11, 1)]
+    assert [(r.doctor_id, r.completed_appts) for r in top] == [(4, 2), (1, 1), (5, 1), (7, 1), (10, 1)]
     everyone = reports.appointments_per_doctor(ward).collect()
     assert [r.doctor for r in everyone] == sorted(r.doctor for r in everyone) and len(everyone) == 12
 
@@ -79,19 +79,20 @@ def test_orders(ward):
     assert recent == sorted(recent, reverse=True) and len(recent) == 8
     # Appointments whose patient is missing are not in the view: the next ones move up.
     lost = dict(ward, patients=ward["patients"].filter("patient_id != 15"))
-    assert [r.appointment_id for r in views.recent_appointments(lost, 3).collect()] == [14, 13, 12]
-    assert [r.appointment_id for r in views.appointment_sample(ward, 3).collect()] == [1, 2, 3]
-    assert views.recent_appointments(ward, 100).count() == 15
+    assert [r.appointment_id for r in views.recent_appointments(ward, 4).collect()] == [38, 42, 26, 34]
+    assert [r.appointment_id for r in views.recent_appointments(lost, 3).collect()] == [42, 26, 34]
+    assert [r.appointment_id for r in views.appointment_sample(ward, 3).collect()] == [10, 12, 14]
+    assert views.recent_appointments(ward, 100).count() == 17
     pending = [r.appointment_date for r in filters.pending_queue(details).collect()]
-    assert pending == ["2024-04-02", "2024-04-07", "2024-04-12"]
-    assert [r.appointment_id for r in reports.scheduled_sample(ward["appointments"], 2).collect()] == [2, 7]
-    assert [r.bill_id for r in reports.bill_list(ward).collect()] == [2, 1]
-    assert [r.name for r in reports.patients_with_bills(ward).collect()] == ["Patient 1", "Patient 6"]
+    assert pending == ["2024-03-19", "2024-03-21", "2024-03-25", "2024-03-27"]
+    assert [r.appointment_id for r in reports.scheduled_sample(ward["appointments"], 2).collect()] == [12, 26]
+    assert [r.bill_id for r in reports.bill_list(ward).collect()] == [8, 3]
+    assert [r.name for r in reports.patients_with_bills(ward).collect()] == ["Patient 5", "Patient 9"]
 
 
 def test_money_totals(ward):
     k = reports.billing_kpis(ward["bills"]).first()
-    assert (k.total_billed, k.total_insurance, k.collected, k.pending_bills) == (1700, 490, 210, 1)
+    assert (k.total_billed, k.total_insurance, k.collected, k.pending_bills) == (1500, 420, 180, 1)
     assert reports.total_revenue(ward["bills"].filter("false")).first()[0] == 0
     none = reports.billing_kpis(ward["bills"].filter("false")).first()
     assert (none.total_billed, none.collected, none.pending_bills) == (0, 0, 0)
@@ -99,22 +100,22 @@ def test_money_totals(ward):
 
 def test_dashboard(spark, ward):
     bundle = dashboard.dashboard(spark, ward)
-    assert tuple(bundle["headline"].first()) == (15, 12, 3, 35, 42, Decimal(1700))
-    assert tuple(dashboard.headline_counts(spark, ward).first()) == (15, 12, 3, 35, 42, Decimal(1700))
+    assert tuple(bundle["headline"].first()) == (15, 12, 4, 35, 42, Decimal(1500))
+    assert tuple(dashboard.headline_counts(spark, ward).first()) == (15, 12, 4, 35, 42, Decimal(1500))
     assert rows_of(bundle["appt_by_status"]) == [
-        ("Cancelled", 3), ("Completed", 3), ("Confirmed", 3), ("No-Show", 3), ("Scheduled", 3)]
+        ("Cancelled", 2), ("Completed", 6), ("Confirmed", 3), ("No-Show", 2), ("Scheduled", 4)]
     waits = [r.avg_wait for r in bundle["wait_times"].collect()]
-    assert waits == [20.0, 15.0, 10.0]
+    assert waits == [40.0, 20.0, 18.0, 13.0]
 
 
 def test_filters(ward):
     details = views.appointment_details(ward)
-    assert filters.appointment_list(details).count() == 15
-    assert filters.appointment_list(details, "Scheduled").count() == 3
-    assert filters.appointment_list(details, "Scheduled", "2024-04-02").count() == 1
+    assert filters.appointment_list(details).count() == 17
+    assert filters.appointment_list(details, "Scheduled").count() == 4
+    assert filters.appointment_list(details, "Cancelled", "2024-03-04").count() == 1
     assert filters.doctor_list(views.doctor_dept(ward), 1).count() == 2
     assert filters.doctor_list(views.doctor_dept(ward), 0).count() == 12
-    assert filters.availability_between(ward["doctor_availability"], 3, "2024-04-15", "2024-04-16").count() == 2
+    assert filters.availability_between(ward["doctor_availability"], 8, "2024-04-16", "2024-04-17").count() == 2
 
 
 def test_search(ward, make):
@@ -123,8 +124,8 @@ def test_search(ward, make):
     assert filters.search_patients(ward["patients"]).first().patient_id == 15
     assert [r.patient_id for r in filters.search_patients(ward["patients"], "ins_12").collect()] == [12]
     assert filters.search_patients(ward["patients"], "ins12").count() == 0
-    # Ids 11 and 15 have no insurance.
-    assert [r.patient_id for r in filters.search_patients(ward["patients"], "INS_1%").collect()] == [14, 13, 12, 10]
+    # Ids 13 and 14 have no insurance.
+    assert [r.patient_id for r in filters.search_patients(ward["patients"], "INS_1%").collect()] == [15, 12, 11, 10]
     odd = make("patients", [{"patient_id": 1, "name": "Ädam", "phone": "1"}, {"patient_id": 2, "name": "a\\b", "phone": "2"},
                             {"patient_id": 3, "name": "axb", "phone": "3"}])
     assert filters.search_patients(odd, "ädam").count() == 0  # only A-Z fold
@@ -135,17 +136,18 @@ def test_search(ward, make):
 
 def test_open_slots(spark, ward):
     asked = spark.createDataFrame(
-        [(3, "2024-04-16"), (1, "2024-04-17"), (5, "2024-04-15"), (7, "2024-04-15"), (2, "2024-04-02")],
+        [(8, "2024-04-16"), (4, "2024-04-16"), (11, "2024-04-16"), (6, "2024-04-15"), (4, "2024-03-04"), (10, "2024-03-12"), (7, "2024-03-06")],
         "doctor_id BIGINT, appointment_date STRING")
     free = scheduling.open_slots(asked, ward["appointments"], ward["doctor_availability"])
     slots = {}
     for r in free.collect():
         slots.setdefault((r.doctor_id, r.appointment_date), []).append(r.time_slot)
-    assert (3, "2024-04-16") not in slots
-    assert slots[1, "2024-04-17"] == ["10:00", "10:30", "11:00", "11:30"]
-    assert slots[5, "2024-04-15"] == ["14:00", "14:30", "15:00", "15:30", "16:00", "16:30"]
-    assert len(slots[7, "2024-04-15"]) == 12
-    assert len(slots[2, "2024-04-02"]) == 11 and "09:30" not in slots[2, "2024-04-02"]
+    assert (8, "2024-04-16") not in slots
+    assert slots[4, "2024-04-16"] == ["09:00", "09:30", "10:00", "10:30", "11:00", "11:30"]
+    assert slots[11, "2024-04-16"] == ["15:00", "15:30", "16:00"]
+    assert len(slots[6, "2024-04-15"]) == 12
+    assert len(slots[4, "2024-03-04"]) == 11 and "15:00" not in slots[4, "2024-03-04"]
+    assert len(slots[10, "2024-03-12"]) == 11 and len(slots[7, "2024-03-06"]) == 12  # a no-show holds no slot
 
 
 def test_calendar_and_matrix(ward):
@@ -153,14 +155,15 @@ def test_calendar_and_matrix(ward):
     by_id = {r.doctor_id: r.availability for r in calendar}
     assert len(calendar) == 12 and all(len(a) == 3 for a in by_id.values())
     assert [r.doctor_id for r in calendar][:3] == [2, 11, 1]
-    assert tuple(by_id[7][0]) == ("2024-04-15", "Mon, Apr 15", True, "09:00", "17:00", "Default schedule")
-    assert not by_id[3][1].is_available and by_id[3][1].notes == "Away"
-    work = scheduling.working_days(scheduling.availability_calendar(ward, AS_OF)).filter("doctor_id = 3").first()
-    assert [a.date for a in work.availability] == ["2024-04-15", "2024-04-17"]
+    assert tuple(by_id[6][0]) == ("2024-04-15", "Mon, Apr 15", True, "09:00", "17:00", "Default schedule")
+    assert not by_id[8][1].is_available and by_id[8][1].notes == "Congress"
+    work = scheduling.working_days(scheduling.availability_calendar(ward, AS_OF)).filter("doctor_id = 8").first()
+    assert [a.date for a in work.availability] == ["2024-04-17"]
     assert scheduling.availability_calendar(ward, AS_OF, dept=1).count() == 2
     matrix = {r.doctor_id: tuple(r)[3:] for r in scheduling.availability_matrix(ward, AS_OF).collect()}
-    assert matrix[3] == ("09:00-17:00", "Leave", "09:00-17:00") and matrix[7] == ("Default",) * 3
-    assert matrix[5][0] == "14:00-17:00"
+    # The matrix covers doctors by day; a day without an entry is the default, and the 18th lies outside.
+    assert matrix[8] == ("Leave", "Leave", "13:00-17:00") and matrix[6] == ("Default",) * 3
+    assert matrix[4] == ("11:00-15:30", "09:00-12:00", "Default") and matrix[2] == ("09:00-16:30", "Default", "Default")
 
 
 def test_inactive_doctors_are_not_offered(ward):
@@ -170,7 +173,7 @@ def test_inactive_doctors_are_not_offered(ward):
 
 def test_predicted_wait(ward):
     waits = dict(rows_of(scheduling.predicted_wait(ward["doctors"], ward["appointments"])))
-    assert waits[1] == 10 and waits[6] == 15 and waits[2] == 15
+    assert waits[1] == 40 and waits[4] == 15 and waits[7] == 13 and waits[10] == 31 and waits[2] == 15  # 15 without history; (22 + 7) / 2 rounds up to it too
 
 
 def test_quality_rules(ward, make):
@@ -181,17 +184,17 @@ def test_quality_rules(ward, make):
     assert ("patients.gender", "1") in rows_of(quality.not_null(bad))
     assert ("patients.registration_date", "1") in rows_of(quality.not_null(bad))
     lost = rows_of(quality.orphans(bad))
-    assert ("beds.patient_id", "2") in lost and ("appointments.patient_id", "2") in lost
-    assert ("bills.patient_id", "2") in lost and not any(r == "beds.patient_id" and k == "3" for r, k in lost)
+    assert ("beds.patient_id", "2") in lost and ("appointments.patient_id", "10") in lost
+    assert ("bills.patient_id", "8") in lost and ("appointments.patient_id", "22") not in lost and not any(r == "beds.patient_id" and k == "3" for r, k in lost)
     bad["doctors"] = make("doctors", [{"doctor_id": 1, "phone": None, "email": ""}, {"doctor_id": 2, "phone": None, "email": ""}])
     assert rows_of(quality.duplicates(bad)) == [("doctors.email", "")]
     beds = make("beds", [{"bed_id": 1, "status": "Occupied"}, {"bed_id": 2, "status": "Available", "patient_id": 4},
                          {"bed_id": 3, "status": "Occupied", "patient_id": 4}, {"bed_id": 4, "status": None}])
     assert rows_of(quality.bed_consistency(beds)) == [
         ("beds.occupied_without_patient", "1"), ("beds.patient_without_occupancy", "2")]
-    bills = ward["bills"].withColumn("patient_payable", F.col("patient_payable") + (F.col("bill_id") == 2).cast("int"))
-    assert rows_of(quality.bill_arithmetic(bills)) == [("bills.payable", "2")]
+    bills = ward["bills"].withColumn("patient_payable", F.col("patient_payable") + (F.col("bill_id") == 8).cast("int"))
+    assert rows_of(quality.bill_arithmetic(bills)) == [("bills.payable", "8")]
     assert quality.bill_arithmetic(ward["bills"]).count() == 0
     assert quality.double_bookings(ward["appointments"]).count() == 0
-    doubled = ward["appointments"].unionByName(ward["appointments"].filter("appointment_id = 1"))
-    assert rows_of(quality.double_bookings(doubled)) == [("appointments.slot", "1|2024-04-01|09:00")]
+    doubled = ward["appointments"].unionByName(ward["appointments"].filter("appointment_id = 18"))
+    assert rows_of(quality.double_bookings(doubled)) == [("appointments.slot", "1|2024-03-06|09:30")]
