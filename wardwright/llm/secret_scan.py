@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -13,6 +12,7 @@ import zlib
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +32,16 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _ONE_ESCAPE = re.compile(r"\\[uUx]([0-9A-Fa-f]+)|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_HEX_BYTES = re.compile(r"(?:[0-9A-Fa-f]{2}){12,}")
-_MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ\x00")
-
-#: Decoded characters that one text may yield in all layers. What a compressed layer would add beyond it is
-#: not unwrapped and is counted in `oversized`; this bounds memory against bombs, not against long texts.
+#: What stands between lines of wrapped base64, and a last line that is short.
+_GAP = re.compile(r"={0,2}\r?\n[ \t]*")
+_TAIL = re.compile(r"\r?\n[ \t]*[A-Za-z0-9+/_-]{1,15}={0,2}(?![A-Za-z0-9+/_=-])")
+_HEX_BYTES = re.compile(r"[0-9A-Fa-f]{24,}")
+_MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00")
+#: No match of PATTERNS, escaped or not, is shorter than this in printable ASCII without a break.
+_RUN = re.compile(rb"[\t\x20-\x7e]{12,}")
+
+#: Bytes that the compressed layers of one text may yield. What would go beyond is not unwrapped; it is counted in `oversized`, and
+#: `redact` masks it whole. Layers that are not compressed are never larger than what they were unwrapped from, and are not charged.
 MAX_DECODED = 64 << 20
 
 
@@ -65,13 +70,13 @@ class Layer:
                 last[0] + end - self.marks[b] if self.exact[b] else last[1])
 
 
-def _printable(data: bytes) -> str | None:
-    """The text that `data` holds, if it is UTF-8 without control characters."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
+def _readable(data: bytes) -> list[str]:
+    """The texts that `data` may be: UTF-8, and UTF-16 where it holds zero bytes. What does not decode is replaced, so
+    text among other bytes is seen; without a printable run that could hold a match there is none."""
+    texts = [data.decode("utf-8", "replace")] if _RUN.search(data) else []
+    if b"\0" in data:
+        texts += [data[k:].decode("utf-16-le", "replace") for k in (0, 1) if _RUN.search(data[k::2])]
+    return texts
 
 
 def _member(data: bytes, at: int, room: int) -> tuple[bytes | None, int]:
@@ -100,51 +105,61 @@ def _member(data: bytes, at: int, room: int) -> tuple[bytes | None, int]:
 
 
 def _texts(data: bytes, max_decoded: int, used: list[int]) -> Iterator[str | None]:
-    """The texts in `data`, inflated again while a magic number fits; None for what would exceed `max_decoded`. Members
-    that follow one another are one content, as their tools have it; if that is no text, each is tried by itself.
-    Inflated bytes that are no text count towards it within the run only."""
-    work, seen, spent = [data], set(), 0
+    """The texts in `data`; None for what would exceed `max_decoded`. Compressed members are found
+    wherever they begin, and inflated again and again. Members that follow one another are one content, as their tools have
+    it, and each is a content by itself; a run that is compressed without a header is tried as a whole."""
+    work, seen = [(data, False)], set()
     while work:
-        data = work.pop()
-        if data.startswith(_MAGIC) and (mark := hashlib.sha256(data).digest()) not in seen:
-            seen.add(mark)
-            members, at, size = [], 0, 0
-            while data.startswith(_MAGIC, at):
-                content, at = _member(data, at, max(0, max_decoded - used[0] - spent - size))
-                if content is None:
-                    yield None
-                elif content:
-                    members.append(content)
-                    size += len(content)
-                while data.startswith(b"\0", at):  # padding between members
-                    at += 1
-            if rest := data[at:] if at else b"":
-                work.append(rest)
-            if members:
-                joined = b"".join(members)
-                work.append(joined)
-                if _printable(joined) is None:
-                    spent += size
-                    if len(members) > 1:
-                        work += members
-        if text := _printable(data):
+        data, inflated = work.pop()
+        mark = hashlib.sha256(data).digest()
+        if mark in seen:
+            continue
+        seen.add(mark)
+        groups: list[list[bytes]] = []
+        at, end = 0, -1
+        while m := _MAGIC.search(data, at):
+            at = m.start()
+            content, stop = _member(data, at, max(0, max_decoded - used[0]))
+            if content is None:
+                yield None
+                at = stop
+                continue
+            if not content:
+                at += 1
+                continue
+            used[0] += len(content)
+            if end < 0 or data[end:at].strip(b"\0"):  # zeros may stand between members
+                groups.append([])
+            groups[-1].append(content)
+            at = end = max(stop, at + 1)
+        if not groups and not inflated and not _RUN.search(data) and (content := _headless(data, max_decoded - used[0])):
+            used[0] += len(content)
+            groups.append([content])
+        for group in groups:
+            work += [(content, True) for content in (group if len(group) > 1 else [])]
+            work.append((b"".join(group), True))
+        for text in _readable(data):
             yield text
 
 
-def _unescape(m: re.Match) -> str | None:
+def _headless(data: bytes, room: int) -> bytes:
+    """What a whole run of raw deflate holds; nothing if it is not one."""
+    tool = zlib.decompressobj(-15)
     try:
-        units = [int(a or b, 16) if a or b else int(c) for a, b, c in _ONE_ESCAPE.findall(m.group())]
-        # Two halves of a pair join; a lone half leaves the run as it is.
-        return b"".join(u.to_bytes(2, "little") if u < 0x10000 else chr(u).encode("utf-16-le") for u in units).decode("utf-16-le")
-    except (ValueError, OverflowError):
-        return None
+        out = tool.decompress(data, max_length=max(1, room))
+    except zlib.error:
+        return b""
+    return out if tool.eof and not tool.unused_data else b""
 
 
-def _unpercent(m: re.Match) -> str | None:
-    try:
-        return urllib.parse.unquote_to_bytes(m.group()).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _unescape(m: re.Match) -> str:
+    # Two halves of a pair join; a lone half, and what is no character, is replaced.
+    units = [int(a or b, 16) if a or b else int(c) for a, b, c in _ONE_ESCAPE.findall(m.group())]
+    return b"".join(u.to_bytes(2, "little") if u < 0x10000 else chr(min(u, 0x10FFFF)).encode("utf-16-le") for u in units).decode("utf-16-le", "replace")
+
+
+def _unpercent(m: re.Match) -> str:
+    return urllib.parse.unquote_to_bytes(m.group()).decode("utf-8", "replace")
 
 
 def _replaced(layer: Layer, expression: re.Pattern, decode) -> Layer | None:
@@ -180,57 +195,88 @@ def _replaced(layer: Layer, expression: re.Pattern, decode) -> Layer | None:
     return Layer("".join(pieces), marks, origins, exact)
 
 
-def _packed(layer: Layer, max_decoded: int, used: list[int]) -> Iterator[Layer | None]:
-    """A layer for each text in a run of base64 or hexadecimal bytes, straight or compressed; None for one too large."""
-    for expression in (_BASE64, _HEX_BYTES):
-        for m in expression.finditer(layer.text):
-            run = m.group().rstrip("=")
-            try:
-                if expression is _BASE64:
-                    if len(run) % 4 == 1:
-                        continue
-                    data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-                else:
-                    data = bytes.fromhex(run)
-            except (binascii.Error, ValueError):
-                continue
+def _unpacked(run: str, hexadecimal: bool) -> Iterator[bytes]:
+    """The bytes a run stands for, for each place in a group where it may begin: what stands before the packed part in the run,
+    such as the path of an address, only shifts it."""
+    if hexadecimal:
+        for k in (0, 1):
+            yield bytes.fromhex(run[k : k + (len(run) - k) // 2 * 2])
+        return
+    run = run.translate(_PLAIN)
+    for k in range(4):
+        part = run[k:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        yield base64.b64decode(part + "=" * (-len(part) % 4))
+
+
+#: Both alphabets of base64 as one; padding and white space left out.
+_PLAIN = str.maketrans({"-": "+", "_": "/", **dict.fromkeys("= \t\r\n")})
+
+
+def _wrapped(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each block of base64 that goes on over single line ends."""
+    if "\n" not in text:
+        return
+    start, end, lines = 0, -1, 0
+
+    def block() -> Iterator[tuple[int, int]]:
+        tail = _TAIL.match(text, end) if lines else None
+        if lines + bool(tail) > 1:
+            yield start, tail.end() if tail else end
+
+    for m in _BASE64.finditer(text):
+        if lines and m.start() - end < 80 and _GAP.fullmatch(text, end, m.start()):
+            end, lines = m.end(), lines + 1
+        else:
+            yield from block()
+            start, end, lines = m.start(), m.end(), 1
+    yield from block()
+
+
+def _packed(layer: Layer, max_decoded: int, used: list[int], done: set) -> Iterator[tuple[Layer | None, tuple[int, int]]]:
+    """A layer for each text in a run of base64 or hexadecimal bytes, straight or compressed, with the run's span; None for one too large.
+    Runs that another layer had unchanged are not unpacked again."""
+    runs = chain(((m.span(), False) for m in _BASE64.finditer(layer.text)), ((place, False) for place in _wrapped(layer.text)),
+                 ((m.span(), True) for m in _HEX_BYTES.finditer(layer.text)))
+    for (start, end), hexadecimal in runs:
+        span, run = layer.span(start, end), layer.text[start:end]
+        mark = (span, hashlib.sha256(run.encode()).digest(), hexadecimal)
+        if mark in done:
+            continue
+        done.add(mark)
+        for data in _unpacked(run, hexadecimal):
             for text in _texts(data, max_decoded, used):
-                yield Layer(text, [0], [layer.span(m.start(), m.end())], [False]) if text else None
+                yield Layer(text, [0], [span], [False]) if text else None, span
 
 
-def scan(text: str | None, max_decoded: int = MAX_DECODED) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:
-    """Spans in the text itself, spans of all layers, number of layers decoded, runs left as too large.
+def scan(text: str | None, max_decoded: int = MAX_DECODED) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, list[tuple[int, int]]]:
+    """Spans in the text itself, spans of all layers, number of layers decoded, spans of runs left as too large.
 
     Works off a list of layers until none is new. A layer that was seen before, same text from the same
     span, is not taken again, which ends cycles such as an archive that unpacks to itself.
     """
     text = text or ""
     base = find(text)
-    spans, seen, work, used, oversized = set(base), set(), deque([Layer.whole(text)]), [0], 0
-
-    def unwrapped(layer: Layer) -> Iterator[Layer | None]:
-        if "%" in layer.text:
-            yield _replaced(layer, _PERCENT, _unpercent) or layer
-        if "\\" in layer.text or "&#" in layer.text:
-            yield _replaced(layer, _ESCAPE, _unescape) or layer
-        yield from _packed(layer, max_decoded, used)
+    spans, seen, done, work, used, oversized = set(base), set(), set(), deque([Layer.whole(text)]), [0], []
+
+    def unwrapped(layer: Layer) -> Iterator[Layer]:
+        if "%" in layer.text and (x := _replaced(layer, _PERCENT, _unpercent)):
+            yield x
+        if ("\\" in layer.text or "&#" in layer.text) and (x := _replaced(layer, _ESCAPE, _unescape)):
+            yield x
+        for x, span in _packed(layer, max_decoded, used, done):
+            if x:
+                yield x
+            else:
+                oversized.append(span)
 
     while work:
         layer = work.popleft()
         for x in unwrapped(layer):
-            if x is None:
-                oversized += 1
-                continue
-            if x is layer:
-                continue
             mark = (hashlib.sha256(x.text.encode("utf-8", "surrogatepass")).digest(), x.origins[0][0], x.origins[-1][1])
             if mark in seen:
                 continue
             seen.add(mark)
-            if used[0] + len(x.text) > max_decoded + len(text):
-                oversized += 1
-                continue
-            used[0] += len(x.text)
             spans.update((kind, *x.span(start, end)) for kind, start, end in find(x.text))
             work.append(x)
     return base, sorted(spans, key=_order), len(seen), oversized
@@ -253,7 +299,8 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     to the span of the text they were unwrapped from), `layers` and `oversized` to each row.
 
     Offsets count code points, the end is exclusive. URL and Unicode escapes are replaced in place; base64 and
-    hexadecimal runs, compressed or not, become layers of their own that map to the whole run. A null text counts
+    hexadecimal runs, in one line or wrapped, compressed or not, become layers of their own that map to the whole run.
+    Bytes that do not decode are replaced, so a secret beside them is found. A null text counts
     as empty and has no spans; repeated rows give the same result twice; an empty table gives an empty one; input
     columns named like the results are replaced. Whole texts are scanned, however long.
     """
@@ -266,7 +313,7 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
             for value in batch:
                 base, spans, layers, oversized = scan(value)
                 rows.append(([{"kind": k, "start": s, "end": e} for k, s, e in sorted(base, key=_order)],
-                             [{"kind": k, "start": s, "end": e} for k, s, e in spans], layers, oversized))
+                             [{"kind": k, "start": s, "end": e} for k, s, e in spans], layers, len(oversized)))
             yield pd.DataFrame(rows, columns=["base", "spans", "layers", "oversized"])
 
     kept = [c for c in docs.columns if c not in ("base", "spans", "layers", "oversized")]
@@ -274,14 +321,19 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """The documents with every span that the scan finds replaced by `mask`; overlapping spans become one.
+    """The documents with every span that the scan finds replaced by `mask`; overlapping spans become one. Runs that are too
+    large to unwrap are masked whole, as nobody knows what they hold.
     `n_chars`, if there, is set anew for a changed text. Columns and their order stay; null texts stay null."""
     prepare(docs.sparkSession)
 
     @F.pandas_udf("string")
     def masked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([None if value is None else _masked(value, scan(value)[1], mask) for value in batch], dtype=object)
+            rows = []
+            for value in batch:
+                _, spans, _, oversized = scan(value)
+                rows.append(None if value is None else _masked(value, spans + [("", *span) for span in oversized], mask))
+            yield pd.Series(rows, dtype=object)
 
     kept = docs.columns
     changed = docs.withColumn("_masked", masked(text))
