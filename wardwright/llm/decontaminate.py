@@ -9,10 +9,11 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardwright.llm.common import WordIds, matches, prepare, table
+from wardwright.llm.common import WordIds, _mix, matches, prepare, table
 from wardwright.session import settle
 
 WINDOW = 8  # tokens of a template window
@@ -55,6 +56,21 @@ def spaced_words(text: str) -> Iterator[list[str]]:
     return matches(_SPACED if text.isascii() or not _ANY_UNSPACED.search(text) else _MIXED, text)
 
 
+class Bitmap:
+    """A set of hashes as bits of fixed size; it may hold what was never put in."""
+
+    def __init__(self, data: bytes):
+        self.bits = np.unpackbits(np.frombuffer(data, np.uint8)).astype(bool)
+
+    def __getitem__(self, hashes: np.ndarray) -> np.ndarray:
+        return self.bits[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
+
+
+def _beside(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two neighbouring token codes."""
+    return _mix(left * np.uint64(0xC2B2AE3D27D4EB4F) + right)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse modulo 2^64."""
     if n > len(_POWERS[0]):
@@ -119,10 +135,12 @@ class Templates:
         count, ends, kind, code, unit = bytearray(b"\1" * n), bytearray(n), bytearray(n), [0] * n, np.zeros(n, np.uint64)
         for k, word in enumerate(fresh):
             bare = word.rstrip(".,!?;:")
-            if bare.isalpha() and bare.islower() and bare not in UNITS:  # most words, without further ado
-                ends[k] = bare != word and word[-1] != ","
-                code[k] = xxh64_intdigest(bare)
-                continue
+            if bare.isalpha() and bare not in UNITS:  # most words, without further ado
+                low = bare if bare.islower() else bare.lower() if len(bare) > 1 and bare[1:].islower() and bare[0].isupper() else ""
+                if low and low not in UNITS:
+                    ends[k] = bare != word and word[-1] != ","
+                    kind[k], code[k] = LITERAL if low is bare else CAPITAL, xxh64_intdigest(low)
+                    continue
             tokens, ends[k] = canonical(word)
             count[k] = len(tokens)
             if tokens:
@@ -152,9 +170,21 @@ class Templates:
             code[at] = _PLACEHOLDER[slot]
         return plain, code, number | unit, capital, capital & ~start[word], word, second
 
-    def windows(self, texts: list[str | None], sizes: tuple[int, ...], wanted: np.ndarray | None = None, block: int = 1 << 18):
+    def vocabulary(self, text: str | None) -> list[int]:
+        """Hashes of the tokens of a text and of its neighbouring tokens, in all readings of capitalised words."""
+        numbers = self.words.of_all(spaced_words(text)) if isinstance(text, str) else np.zeros(0, np.int64)
+        self.learn()
+        numbers = numbers[self.count[numbers] > 0]
+        _, code, _, capital, _, _, _ = self._tokens(numbers, np.arange(len(numbers)) == 0)
+        name = np.where(capital, np.uint64(_PLACEHOLDER[CAPITAL]), code)
+        found = [_mix(code), *(_beside(a[:-1], b[1:]) for a in (code, name) for b in (code, name))]
+        return np.unique(np.concatenate(found)).view(np.int64).tolist()
+
+    def windows(self, texts: list[str | None], sizes: tuple[int, ...], wanted: tuple[Bitmap, Bitmap] | None = None, block: int = 1 << 18):
         """Per text the number of tokens and its windows: each one by its values, without slots, and those of SHORT
-        tokens or more with at least half literal tokens by their template too; with `wanted` only those in the filter.
+        tokens or more with at least half literal tokens by their template too; with `wanted`, bitmaps of the windows and the
+        vocabulary of all items, only those that may be windows of an item. There a capitalised word that no item has
+        is a name only, and windows with two neighbours that no item has as neighbours are not read at all.
         A capitalised word is read as a name and as a literal, wherever it stands; `usual` is the reading as a name inside
         a sentence and a literal at its start, and `light` says that this one has a template. Words are worked on a block
         at a time."""
@@ -174,6 +204,13 @@ class Templates:
             plain, code, slot, capital, inner, word, second = self._tokens(stream[low:high], first[low:high])
             word += low
             turn = np.uint64(_PLACEHOLDER[CAPITAL]) - plain
+            either, named, strange, apart = capital, *(np.zeros(len(code), bool) for _ in range(3))
+            if wanted is not None and len(code):
+                of_items = wanted[1][_mix(code)]
+                either, named, strange = capital & of_items, capital & ~of_items, ~of_items & ~capital & ~slot
+                code = np.where(named, np.uint64(_PLACEHOLDER[CAPITAL]), code)
+                apart[1:] = ~(wanted[1][_beside(code[:-1], code[1:])] | either[:-1] | either[1:])  # from the token before
+            named_before, strange_before, apart_before = (np.concatenate([[0], np.cumsum(x)]) for x in (named, strange, apart))
             slots_before, inner_before, capitals_before = (np.concatenate([[0], np.cumsum(x)]) for x in (slot, inner, capital))
             for size in sizes:
                 n = len(code) - size + 1
@@ -183,15 +220,20 @@ class Templates:
                 n_slots, n_inner, n_capitals = (x[size:] - x[:-size] for x in (slots_before, inner_before, capitals_before))
                 light = (2 * (n_slots + n_inner) <= size) & (size >= SHORT)
                 exact, template = _hashes(plain, size), _hashes(code, size)
-                tried = np.flatnonzero(own & (2 * n_slots <= size) & (n_slots + n_capitals > 0)) if size >= SHORT else np.zeros(0, np.int64)
+                fixed = n_slots + named_before[size:] - named_before[:-size]
+                fits = own & (2 * fixed <= size) & (n_slots + n_capitals > 0) & (strange_before[size:] == strange_before[:-size])
+                fits &= apart_before[size:] == apart_before[1 : n + 1]
+                tried = np.flatnonzero(fits) if size >= SHORT else np.zeros(0, np.int64)
                 every = np.flatnonzero(own)
                 parts = [(every, exact[every], np.full(len(every), -1))]
-                parts = chain(parts, _readings(tried, template[tried], n_slots[tried], size, capital, turn))
+                parts = chain(parts, _readings(tried, template[tried], fixed[tried], size, either, turn))
                 for starts, hashed, names in parts:
                     if wanted is not None:
-                        kept = wanted[(hashed >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
+                        kept = wanted[0][hashed]
                         starts, hashed, names = starts[kept], hashed[kept], names[kept]
                     for i, h, bits in zip(starts.tolist(), hashed.astype(np.int64).tolist(), names.tolist()):
+                        if bits >= 0:
+                            bits |= sum(1 << k for k in range(size) if named[i + k])
                         if not bits and not n_slots[i]:
                             continue  # Without slots the template is the values.
                         chosen = 0 if bits < 0 else bits
@@ -224,23 +266,57 @@ def _by_length(made: Templates, texts: list[str | None]) -> list[tuple[int, list
     return rows
 
 
-def _windows(sizes: tuple[int, ...] = (), wanted=None):
-    """The windows of texts; of the sizes given only the ones in the filter `wanted`, else those of items."""
+def _windows():
+    """The windows of items."""
 
     @F.pandas_udf(WINDOWS_TYPE)
     def found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         made = Templates()
-        bits = None if wanted is None else np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
         for batch in texts:
             rows = []
             for at in range(0, len(batch), 100):
-                part = batch[at : at + 100].tolist()
-                rows += made.windows(part, sizes, bits) if sizes else _by_length(made, part)
+                rows += _by_length(made, batch[at : at + 100].tolist())
             yield pd.DataFrame(rows, columns=["tokens", "windows"])
 
     return found
 
 
+def _hits(sizes: tuple[int, ...], wanted, schema: pa.Schema):
+    """(doc, hash, doc_pos, doc_usual, doc_slots) of the windows of documents that pass the bitmaps. A map over batches, as a
+    function of the text would be worked out twice, once to leave out the documents without windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, bits = Templates(), tuple(map(Bitmap, wanted.value))
+        for batch in batches:
+            for at in range(0, len(batch), 100):
+                keys, texts = (batch.column(k).slice(at, 100).to_pylist() for k in (0, 1))
+                rows = [(key, w["hash"], w["pos"], w["usual"], w["slots"]) for key, (_, found) in zip(keys, made.windows(texts, sizes, bits)) for w in found]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def _vocabulary():
+    """The vocabulary of items."""
+
+    @F.pandas_udf("array<long>")
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        made = Templates()
+        for batch in texts:
+            yield pd.Series([made.vocabulary(t) for t in batch])
+
+    return found
+
+
+def _bits(hashes: DataFrame) -> bytes:
+    """The bitmap of a column of hashes; at most a row per bit comes to the driver."""
+    slots = hashes.select(F.shiftrightunsigned("hash", 64 - _FILTER_BITS).alias("slot")).distinct().toArrow().column("slot").to_numpy()
+    bits = np.zeros(1 << _FILTER_BITS, bool)
+    bits[slots] = True
+    return np.packbits(bits).tobytes()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc, item, matched_windows, item_windows, same_slots) for each document and benchmark item it leaks.
 
@@ -255,8 +331,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", text:
     A document leaks an item if what counts covers six different windows of it or half, of all its windows or of those with
     a template. `same_slots` says that no slot differs.
 
-    Only windows that pass a bitmap of the benchmark's hashes are ever rows; the bitmap has a fixed size of 512 kB, so a
-    large benchmark lets more pass but changes no result. Texts without a letter or digit, null texts and null
+    Only windows that pass a bitmap of the benchmark's windows are ever rows, and only those whose words and neighbours pass one
+    of its vocabulary are read in more than one way; each has a fixed size of 512 kB, so a large benchmark lets more pass but
+    changes no result. Texts without a letter or digit, null texts and null
     keys have no windows to find. Repeated rows of a key count once. Empty tables give an empty result.
     """
     spark = prepare(docs.sparkSession)
@@ -268,12 +345,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", text:
                      .select("item", "size", "item_windows", F.size(F.array_distinct(F.transform(F.filter("found", lambda x: x["light"]), lambda x: x["pos"]))).alias("item_light"), F.explode("found").alias("x"))
                      .select("item", "size", "item_windows", "item_light", F.col("x.hash").alias("hash"), F.col("x.pos").alias("item_pos"), F.col("x.light").alias("light"), F.col("x.usual").alias("item_usual"), F.col("x.slots").alias("item_slots")), "item-windows")
     sizes = tuple(sorted(r[0] for r in windows.select("size").distinct().collect())) or (WINDOW,)
-    slots = windows.select(F.shiftrightunsigned("hash", 64 - _FILTER_BITS).alias("slot")).distinct().toArrow().column("slot").to_numpy()
-    bits = np.zeros(1 << _FILTER_BITS, bool)
-    bits[slots] = True
-    sent = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-    hits = (docs.where(F.col(doc_key).isNotNull()).select(F.col(doc_key).alias("doc"), _windows(sizes, sent)(text).alias("w"))
-            .select("doc", F.explode("w.windows").alias("x")).select("doc", F.col("x.hash").alias("hash"), F.col("x.pos").alias("doc_pos"), F.col("x.usual").alias("doc_usual"), F.col("x.slots").alias("doc_slots")))
+    vocabulary = items.select(F.explode(_vocabulary()("_text")).alias("hash"))
+    sent = spark.sparkContext.broadcast((_bits(windows), _bits(vocabulary)))
+    hit_type = f"doc {docs.schema[doc_key].dataType.simpleString()}, hash long, doc_pos int, doc_usual boolean, doc_slots array<string>"
+    hits = docs.where(F.col(doc_key).isNotNull()).select(F.col(doc_key).alias("doc"), F.col(text)).mapInArrow(
+        _hits(sizes, sent, spark.createDataFrame([], hit_type).toArrow().schema), hit_type)
     met = hits.join(windows, "hash").withColumn("line", F.col("doc_pos") - F.col("item_pos"))
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
     place = F.struct("item_pos", "light")
