@@ -24,15 +24,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest id; of rows that repeat an id, one. Rows without
-    an id are of a group only if their fingerprint is that of a row with one, and then go; else they stay."""
-    classes = settle(simhash.near_duplicates(docs, shingle=3, radius=2), "near-duplicate-classes")
-    known = classes.where("doc_id IS NOT NULL")
-    later = known.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(later, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
-    printed = simhash.with_fingerprint(docs.where("doc_id IS NULL"), 3)
-    nameless = printed.join(known.select("fingerprint").distinct(), "fingerprint", "left_anti").dropDuplicates(["fingerprint"])
-    return kept.unionByName(nameless.select(*docs.columns))
+    """One document of each SimHash group: the one with the smallest id, null ids last.
+
+    Rows are known to the operator by a hash of id and text, so a row goes only if its own text has a near copy that stays, whatever
+    other rows have its id. Rows that repeat id and text are one document, of which one row stays: the first by its other columns.
+    """
+    mark = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    keyed = docs.withColumn("_mark", mark)
+    classes = settle(simhash.near_duplicates(keyed, shingle=3, radius=2, doc_id="_mark"), "near-duplicate-classes")
+    members = classes.select(F.col("doc_id").alias("_mark"), "component_id").join(keyed.select("_mark", "doc_id"), "_mark")
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_mark"))["_mark"].alias("_best"))
+    best = settle(best, "best-of-groups")
+    losers = settle(classes.join(best, "component_id").where(F.col("doc_id") != F.col("_best")).select(F.col("doc_id").alias("_mark")).distinct(), "near-copies")
+    repeated = settle(classes.groupBy(F.col("doc_id").alias("_mark")).count().where("count > 1").select("_mark"), "repeated-rows")
+    kept = keyed.join(losers, "_mark", "left_anti")
+    order = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns])
+    again = kept.join(repeated, "_mark", "left_semi").groupBy("_mark").agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
+    return kept.join(repeated, "_mark", "left_anti").select(*docs.columns).unionByName(again.select("_row.*"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +49,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked."""
+    """All documents, secrets masked, and with them packed runs too large to look into."""
     return secret_scan.redact(docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, and whether they decode to the text again."""
+    """The token ids of each document, and whether they decode to the text again; of the other columns, id, language and source."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN), path)
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
