@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -110,12 +111,27 @@ def test_long_texts_in_parts_give_the_tokens_of_the_whole():
         assert [i for ids in t.encode(parts) for i in ids] == whole
 
 
+def test_large_groups_are_counted_by_different_ids(monkeypatch):
+    """Groups of many tokens, such as runs of bytes that only one tokenizer knows: the same counts as listed one by one."""
+    texts = ["\u2603\u2603\u2603 \U0001F9FF\U0001F9FF x", "zażółć gęślą jaźń " * 5, "ꙮꙮꙮꙮꙮꙮ ꙮꙮ"]
+    results = []
+    for limit in (1, 64):
+        monkeypatch.setattr(alignment, "_PLAIN", limit)
+        block = alignment.Block(alignment.Windows(alignment.ByteLevel(FIRST), alignment.Pieces(SECOND)), False)
+        block.add([1, 2, 3], texts)
+        results.append((block.rows, [e.tolist() for e in block.entries], [t.tolist() for t in block.times]))
+    assert results[0] == results[1] and max(map(max, results[0][2])) > 1
+
+
 def test_windows_are_learnt_once_and_end_where_both_do():
     w = alignment.Windows(alignment.ByteLevel(FIRST), alignment.Pieces(SECOND))
-    ids = [t.encode(["the cat and the cat and the cat"])[0] for t in w.tokenizers]
+    ids = [np.array(t.encode(["the cat and the cat and the cat"])[0], np.uint32) for t in w.tokenizers]
     found = w.of(*ids)
-    assert len(found) == 8 and len(set(found)) == len(w.known) == 3
-    for a, b in w.known:
+    assert not len(w.groups)
+    w.settle()
+    assert len(w.groups) == len(w.text) == 3 and len(found) == 8 and len(set(found)) == len(w.known) == 3
+    for key in w.known:
+        a, b = (np.frombuffer(part, np.uint32) for part in key.split(b"\xff\xff\xff\xff"))
         assert b"".join(w.tokenizers[0].bytes[i] for i in a) == b"".join(w.tokenizers[1].bytes[i] for i in b)
 
 
@@ -124,3 +140,18 @@ def test_query_over_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = sorted((d.doc_id, *w[:-1], sha256(w[-1].encode()).hexdigest() if w[0] else "") for d, w in zip(docs, plain([d.text for d in docs])))
     assert rows_of(queries.QUERIES["op13_tokenizer_alignment"](spark, SF), *COLUMNS, "groups_sha256") == want
+
+
+def test_ranks_give_the_ids_of_the_merges():
+    """The fast way for common texts and the library's own, on given and on random texts."""
+    first = alignment.ByteLevel(FIRST)
+    assert first.ranks is not None
+    rng = random.Random(3)
+    letters = "abcdeinorst   ABCXYZ'éßüøñ0123456789.,;:!?()[]{}<>|\\\\/\"#$%&*+-=_~^`\t\n\r\x0b\x0c\x85\xa0\xad\x00\x7f"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 80))) for _ in range(3000)]
+    texts += ["".join(rng.choice(["ing", "tion", "the", " ", "  ", "ment", "er", "un", "s", "\n", "'ll", "'S", "ð", "ſ"]) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    assert not any(alignment._NEWER.search(t) for t in texts)
+    want = [e.ids for e in first.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    assert first.encode(texts) == want
+    mixed = ["plain", "日本", "é", "😀", "ɐ"]
+    assert first.encode(mixed) == [e.ids for e in first.model.encode_batch_fast([" " + t for t in mixed], add_special_tokens=False)]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+import json
+import os
 import re
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 from wardwright.llm.common import prepare, table
 from wardwright.session import settle
 
-_BLOCK = 8 << 20  # characters of text whose documents share one row of id pairs
+_BLOCK = 4 << 20  # characters of text, about, whose documents share one row of id pairs
 _LONG = 1 << 18  # longer texts are tokenised in parts, cut where both tokenizers must cut
 _MEMO = 400_000  # windows that a task remembers
+_PLAIN = 64  # links of a group up to which they are listed one by one
 _CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 
 
@@ -33,9 +35,15 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level BPE file; it is given the text with a space before it."""
+    """A byte-level BPE file; it is given the text with a space before it.
+
+    Files whose merges stand in the order of their ids, cut by the usual expression, give the same ids by ranks, which is much
+    faster. That is done for texts of characters below U+0250, whose classes no version of Unicode has changed.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads of the library would spin on others
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -45,9 +53,28 @@ class ByteLevel:
         self.bytes = [b""] * (entries[-1][0] + 1)
         for number, token in entries:
             self.bytes[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        cut, model = told.get("pre_tokenizer") or {}, told["model"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        by_rank = (cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not told.get("normalizer")
+                   and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "dropout", "ignore_merges"))
+                   and all(model["vocab"].get("".join(m)) == 256 + k for k, m in enumerate(merges)))
+        ranks = {bytes(letters[c] for c in token): number for token, number in model["vocab"].items() if number < 256 + len(merges)}
+        self.ranks = tiktoken.Encoding("ranks", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}) if by_rank else None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        plain = [bool(self.ranks) and not _NEWER.search(t) for t in texts]
+        others = iter(self.model.encode_batch_fast([" " + t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
+        return [self.ranks.encode_ordinary(" " + t) if p else next(others).ids for t, p in zip(texts, plain)]
+
+    def decode(self, ids: list[int]) -> bytes:
+        return self.ranks.decode_bytes(ids) if self.ranks else b"".join(map(self.bytes.__getitem__, ids))
+
+
+#: The expression that byte-level files cut texts by (a fixed value).
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_NEWER = re.compile("[^\x00-\u024f]")
 
 
 class Pieces:
@@ -65,6 +92,9 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
+
 
 def parts_of(text: str, size: int = _LONG) -> list[str]:
     """A long text cut between a letter and a space before a letter; the space is left out, as both tokenizers see one
@@ -78,70 +108,102 @@ def parts_of(text: str, size: int = _LONG) -> list[str]:
 
 class Windows:
     """Aligns windows of token ids and remembers them by their ids: groups as text, numbers of groups and links, and
-    how often each pair of ids is linked."""
+    which pairs of ids are linked how often, end to end in two arrays."""
 
     def __init__(self, first, second):
         self.tokenizers = (first, second)
-        self.lengths = [np.array([len(b) for b in t.bytes], np.int64) for t in self.tokenizers]
+        self.lengths = [[len(b) for b in t.bytes] for t in self.tokenizers]
+        self.arrays = [np.array(n, np.int64) for n in self.lengths]
         self.marked = [np.array([b[:1] == b" " for b in t.bytes], bool) for t in self.tokenizers]
+        self.names = [[str(k) for k in range(len(t.bytes))] for t in self.tokenizers]
         self.other = len(second.bytes)  # a pair of ids is one number: first * other + second
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[tuple, int] = {}
+        self.known: dict[bytes, int] = {}
         self.text: list[str] = []
-        self.groups: list[int] = []
-        self.links: list[int] = []
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
-
-    def learn(self, key: tuple) -> int:
-        """Align a window: tokens are in one group up to the next byte where tokens of both end."""
-        ids = [list(k) for k in key]
-        ends = [np.cumsum(n[k]).tolist() for n, k in zip(self.lengths, ids)]
-        shared = sorted(set(ends[0]).intersection(ends[1]))
-        at, text, links, count = [0, 0], [], 0, Counter()
-        for end in shared:
-            upto = [bisect_left(e, end, s) + 1 for e, s in zip(ends, at)]
-            a, b = (k[s:u] for k, s, u in zip(ids, at, upto))
-            at = upto
-            text.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
-            links += len(a) * len(b)
-            if len(a) == 1 == len(b):
-                count[a[0] * self.other + b[0]] += 1
-            else:
-                for x, n in Counter(a).items():
-                    for y, m in Counter(b).items():
-                        count[x * self.other + y] += n * m
-        self.text.append(";".join(text))
-        self.groups.append(len(shared))
-        self.links.append(links)
-        self.pairs.append(np.fromiter(count.keys(), np.int64, len(count)))
-        self.times.append(np.fromiter(count.values(), np.int64, len(count)))
-        self.known[key] = number = len(self.known)
-        return number
-
-    def of(self, first: list[int], second: list[int]) -> list[int]:
-        """The windows of a text, by number. They end where tokens of both end and tokens of both begin with a space."""
+        # Per window: groups, links, and where its pairs end.
+        self.groups, self.links, self.ends = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.pairs, self.times = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.fresh: list[tuple[bytes, bytes]] = []  # ids, packed
+
+    def settle(self) -> None:
+        """Align the windows met since the last time, all at once: tokens are in one group up to the next byte where
+        tokens of both end. Laid end to end the windows stay apart, as both tokenizers end at the end of each."""
+        if not self.fresh:
+            return
+        ids = [np.frombuffer(b"".join([w[side] for w in self.fresh]), np.uint32).astype(np.int64) for side in (0, 1)]
+        ends = [np.cumsum(n[k]) for n, k in zip(self.arrays, ids)]
+        shared = np.intersect1d(*ends, assume_unique=True)
+        group = [np.searchsorted(shared, e) for e in ends]
+        size = [np.bincount(g, minlength=len(shared)) for g in group]
+        start = [np.cumsum(n) - n for n in size]
+        window = np.searchsorted(np.cumsum([len(w[0]) // 4 for w in self.fresh]), start[0], "right")  # of each group
+        # Every first token with each second token of its group, in order; large groups are listed by different ids.
+        links = size[0] * size[1]
+        small = links[group[0]] <= _PLAIN
+        reach = np.where(small, size[1][group[0]], 0)
+        begin = np.cumsum(reach) - reach
+        second = np.arange(reach.sum()) + np.repeat(start[1][group[0]] - begin, reach)
+        pairs = np.repeat(ids[0], reach) * self.other + ids[1][second]
+        owner, times = np.repeat(window[group[0]], reach), np.ones(len(pairs), np.int64)
+        for g in np.flatnonzero(links > _PLAIN).tolist():
+            (left, n), (right, m) = (np.unique(k[at[g] : at[g] + many[g]], return_counts=True) for k, at, many in zip(ids, start, size))
+            pairs = np.concatenate([pairs, (left[:, None] * self.other + right).ravel()])
+            times = np.concatenate([times, (n[:, None] * m).ravel()])
+            owner = np.concatenate([owner, np.full(len(left) * len(right), window[g])])
+        order = np.argsort(owner, kind="stable")
+        filled, n = int(self.ends[-1]), len(self.fresh)
+        while filled + len(pairs) > len(self.pairs):
+            self.pairs, self.times = (np.concatenate([x, np.zeros_like(x)]) for x in (self.pairs, self.times))
+        self.pairs[filled : filled + len(pairs)], self.times[filled : filled + len(pairs)] = pairs[order], times[order]
+        self.ends = np.concatenate([self.ends, filled + np.cumsum(np.bincount(owner, minlength=n))])
+        self.groups = np.concatenate([self.groups, np.bincount(window, minlength=n)])
+        self.links = np.concatenate([self.links, np.bincount(window, links, n).astype(np.int64)])
+        first, second = (list(map(names.__getitem__, k.tolist())) for names, k in zip(self.names, ids))
+        text = [f"{first[s]}|{second[t]}" if a == 1 == b else ",".join(first[s : s + a]) + "|" + ",".join(second[t : t + b])
+                for s, t, a, b in zip(*(x.tolist() for x in (*start, *size)))]
+        stops = np.cumsum(np.bincount(window, minlength=n)).tolist()
+        self.text += [";".join(text[s:e]) for s, e in zip([0, *stops], stops)]
+        self.fresh = []
+
+    def of(self, first: np.ndarray, second: np.ndarray) -> list[int]:
+        """The windows of a text, by number; new ones are aligned by `settle`. They end where tokens of both end and tokens
+        of both begin with a space."""
         starts = []
-        for ids, lengths, marked in zip((first, second), self.lengths, self.marked):
-            array = np.array(ids, np.int64)
-            place = np.flatnonzero(marked[array[1:]]) + 1
-            starts.append((place, np.cumsum(lengths[array])[place - 1]))
+        for ids, lengths, marked in zip((first, second), self.arrays, self.marked):
+            place = np.flatnonzero(marked[ids[1:]]) + 1
+            starts.append((place, np.cumsum(lengths[ids])[place - 1]))
         (a, a_end), (b, b_end) = starts
         if len(a) and len(b):
             met = np.minimum(np.searchsorted(b_end, a_end), len(b) - 1)
             shared = b_end[met] == a_end
-            a, b = a[shared].tolist(), b[met[shared]].tolist()
+            a, b = (4 * a[shared]).tolist(), (4 * b[met[shared]]).tolist()
         else:
             a, b = [], []
-        known, found = self.known, []
-        for s, e, t, u in zip([0, *a], [*a, len(first)], [0, *b], [*b, len(second)]):
-            key = (tuple(first[s:e]), tuple(second[t:u]))
-            number = known.get(key)
-            found.append(self.learn(key) if number is None else number)
+        left, right, known, found = first.tobytes(), second.tobytes(), self.known, []
+        get, append, s, t = known.get, found.append, 0, 0
+        for e, u in zip([*a, len(left)], [*b, len(right)]):
+            # The two tuples of ids, packed, with a number between them that is no id.
+            x, y = left[s:e], right[t:u]
+            key = x + b"\xff\xff\xff\xff" + y
+            number = get(key)
+            if number is None:
+                known[key] = number = len(known)
+                self.fresh.append((x, y))
+            append(number)
+            s, t = e, u
         return found
 
+    def counted(self, found: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The different pairs of a text, sorted, and how often each is linked."""
+        number, n = np.unique(np.array(found), return_counts=True)
+        start, end = self.ends[number], self.ends[number + 1]
+        size = end - start
+        at = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+        pairs, place = np.unique(self.pairs[at], return_inverse=True)
+        return pairs, np.bincount(place, self.times[at] * np.repeat(n, size), len(pairs)).astype(np.int64)
+
 
 def _small(values: np.ndarray) -> tuple[str, bytes]:
     """An array of whole numbers in the narrowest type that holds it."""
@@ -164,26 +226,27 @@ class Block:
         parts = [parts_of(t) if t and w.tokenizers[1].cuts_at_spaces else [t or ""] for t in texts]
         flat = [p for ps in parts for p in ps]
         encoded = [t.encode(flat) for t in w.tokenizers]
-        at = 0
+        at, rows = 0, []
         for key, text, ps in zip(keys, texts, parts):
-            a, b = ([i for ids in e[at : at + len(ps)] for i in ids] for e in encoded)
+            both = [e[at] if len(ps) == 1 else [i for ids in e[at : at + len(ps)] for i in ids] for e in encoded]
             at += len(ps)
             data = b" " + (text or "").encode()
-            if not text or any(b"".join(map(t.bytes.__getitem__, ids)) != data for t, ids in zip(w.tokenizers, (a, b))):
+            if text and all(t.decode(ids) == data for t, ids in zip(w.tokenizers, both)):
+                rows.append((key, len(both[0]), len(both[1]), w.of(*(np.array(ids, np.uint32) for ids in both))))
+            else:
+                rows.append((key, 0, 0, []))
+            self.size += len(text or "")
+        w.settle()
+        for key, n_a, n_b, found in rows:
+            if not found:
                 self._row(key, 0, 0, 0, 0, "", 0)
                 continue
-            found = w.of(a, b)
-            number, n = np.unique(np.array(found), return_counts=True)
-            number = number.tolist()
-            pairs = np.concatenate([w.pairs[k] for k in number])
-            times = np.concatenate([w.times[k] for k in number]) * np.repeat(n, [len(w.pairs[k]) for k in number])
-            pairs, place = np.unique(pairs, return_inverse=True)
+            pairs, times = w.counted(found)
             self.entries.append(pairs)
-            self.times.append(np.bincount(place, times, len(pairs)).astype(np.int64))
+            self.times.append(times)
             groups = ";".join(map(w.text.__getitem__, found))
-            self._row(key, len(a), len(b), sum(map(w.groups.__getitem__, found)), sum(map(w.links.__getitem__, found)),
+            self._row(key, n_a, n_b, int(w.groups[found].sum()), int(w.links[found].sum()),
                       sha256(groups.encode()).hexdigest() if self.digest else groups, len(pairs))
-            self.size += len(text)
         if len(w.known) > _MEMO:
             w.clear()
 
@@ -201,6 +264,7 @@ class Block:
 
 def _blocks(first_path: str, second_path: str, digest: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(200_000, 50, 50)  # many lists and strings are made here, and no cycles
         windows = Windows(ByteLevel(first_path), Pieces(second_path))
         number = TaskContext.get().partitionId() << 32
 
@@ -263,6 +327,7 @@ def align(docs: DataFrame, first_path: str, second_path: str, doc_key: str = "do
     `groups`. Every row is a document, also where keys repeat or are null. Other columns are left out. An empty table gives no rows.
     """
     spark = prepare(docs.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     key_type = docs.schema[doc_key].dataType.simpleString()
     figures = ("n_a", "n_b", "n_groups", "n_links")
     ddl = (f"block long, pairs array<long>, documents array<long>, at_type string, at binary, times_type string, times binary, keys array<{key_type}>, "
