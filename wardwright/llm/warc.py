@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from bisect import bisect_left
@@ -21,6 +22,7 @@ from wardwright.session import scratch_path, settle
 BLOCK_ENTRIES = 256
 REVISIT_BYTES = 1000  # payloads from this size on are stored once
 _NO_PAGE = -(1 << 63) - 1
+_DATE, _EXACT = "2024-01-01T00:00:00Z", "X-Exact-Target-URI"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -29,6 +31,7 @@ def _files(path: str):
     from pyarrow import fs
 
     if "://" in path or path.startswith("file:"):
+        path = re.sub("^s3[an]://", "s3://", path)  # Hadoop's names for one store
         return fs.FileSystem.from_uri(path.replace("file:///", "file:/").replace("file:/", "file:///"))
     return fs.LocalFileSystem(), path
 
@@ -44,12 +47,22 @@ def sort_key(url: str | None) -> str:
 
 
 def _header(name: str, value) -> bytes:
-    """One header line; characters that would end it are escaped."""
-    return name.encode() + b": " + str(value).replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A").encode("utf-8") + b"\r\n"
+    return f"{name}: {value}\r\n".encode()
 
 
-def _unheader(value: str) -> str:
-    return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def _target(url: str) -> bytes:
+    """The header of the captured address, as it is. One that would end the line is written with its line ends escaped, as in any
+    address, and once more in a field of our own that restores it."""
+    plain = _header("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A"))
+    return plain + _header(_EXACT, json.dumps(url)) if "\r" in url or "\n" in url else plain
+
+
+def _warcinfo() -> bytes:
+    """The record that an archive file begins with."""
+    block = b"software: wardwright\r\nformat: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/\r\n"
+    head = b"WARC/1.1\r\n" + _header("WARC-Type", "warcinfo") + _header("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>") + _header("WARC-Date", _DATE)
+    head += b"Content-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n" % len(block)
+    return gzip.compress(head + block + b"\r\n\r\n", 5, mtime=0)
 
 
 def _record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
@@ -59,8 +72,8 @@ def _record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     block = http + payload if refers_to is None else http
     head = b"WARC/1.1\r\n" + _header("WARC-Type", kind) + _header("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>")
     if url is not None:
-        head += _header("WARC-Target-URI", url)
-    head += _header("WARC-Date", "2024-01-01T00:00:00Z") + _header("WARC-Payload-Digest", f"sha1:{digest}")
+        head += _target(url)
+    head += _header("WARC-Date", _DATE) + _header("WARC-Payload-Digest", f"sha1:{digest}")
     if refers_to is not None:
         head += _header("WARC-Profile", _PROFILE) + _header("WARC-Refers-To", f"<urn:page:{refers_to}>")
     head += b"Content-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n" % len(block)
@@ -80,8 +93,8 @@ def parse_record(member: bytes) -> dict:
     payload = payload[:size] if refers is None else None
     if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
         raise ValueError(f"the payload of record {page} does not fit its digest")
-    url = fields.get("WARC-Target-URI")
-    return {"page_id": int(page) if page else None, "url": None if url is None else _unheader(url), "payload_bytes": size, "payload_digest": digest,
+    url = json.loads(fields[_EXACT]) if _EXACT in fields else fields.get("WARC-Target-URI")
+    return {"page_id": int(page) if page else None, "url": url, "payload_bytes": size, "payload_digest": digest,
             "record_type": fields["WARC-Type"], "refers_to": None if refers is None else int(refers[len("<urn:page:") : -1]), "payload": payload}
 
 
@@ -98,7 +111,7 @@ class Archive:
 def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html") -> Archive:
     """Write a record per row, and the index over all of them, below the shared folder.
 
-    Of the records whose payloads are equal and have `REVISIT_BYTES` or more, the one with the largest id is stored and
+    Each file begins with a warcinfo record. Of the records whose payloads are equal and have `REVISIT_BYTES` or more, the one with the largest id is stored and
     the others refer to it; rows that repeat its id are stored too, and so are all rows of a payload that only comes with
     null ids. A null payload counts as empty. A null URL has the empty key. Each task writes files under names of its
     own, and only the files of finished tasks are listed, so a lost executor leaves nothing half read.
@@ -124,6 +137,8 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
                     if out is None:
                         system.create_dir(base, recursive=True)
                         out = system.open_output_stream(f"{base}/{name}", compression=None)
+                        out.write(first := _warcinfo())
+                        at = len(first)
                     member = _record(page, None if pd.isna(target) else target, bytes(data), digest, refers_to)
                     out.write(member)
                     lines.append((sort_key(None if pd.isna(target) else target), page, name, at, len(member)))
