@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,20 +65,19 @@ def find_splitters(keys: DataFrame, parts: int, tolerance: float, probes: int =
         rows = keys.select(place("high", "low").alias("place"), "size").groupBy("place").agg(
             F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
         in_place = {r["place"]: (r["bytes"], r["rows"]) for r in rows}
-        counted, bytes_below, rows_below = [], 0, 0
-        for n, bound in enumerate(bounds):
-            more = in_place.get(n, (0, 0))
-            bytes_below, rows_below = bytes_below + more[0], rows_below + more[1]
-            counted.append((bound, bytes_below, rows_below))
+        here = np.zeros((len(bounds) + 1, 2), object)
+        for n, counts in in_place.items():
+            here[n] = counts
+        bytes_below, rows_below = np.cumsum(here[:-1], axis=0).T.tolist() if bounds else ([], [])
         for k in open_ones:
             low, high = brackets[k]
-            for point in counted:
-                if low[0] < point[0] < high[0]:
-                    if point[1] <= wanted[k]:
-                        low = point
-                    else:
-                        high = point
-                        break
+            # The last candidate inside the bracket with no more than the bytes wanted below it, and the one after it.
+            first, end = bisect_right(bounds, low[0]), bisect_left(bounds, high[0])
+            at = bisect_right(bytes_below, wanted[k], first, end)
+            if at > first:
+                low = (bounds[at - 1], bytes_below[at - 1], rows_below[at - 1])
+            if at < end:
+                high = (bounds[at], bytes_below[at], rows_below[at])
             brackets[k] = [low, high]
             best = min((low, high), key=lambda p: abs(p[1] - wanted[k]))
             # No row or one lies between the two, or they are neighbours: nothing better exists.
