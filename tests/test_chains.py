@@ -2,12 +2,13 @@
 
 import os
 import random
+import tempfile
 
 import pytest
 
+from wardwright import session
 from wardwright.functions.pointers import settle_negations
 from wardwright.operators import booking, people
-from wardwright.session import shared_dir
 
 
 def walk(requests):
@@ -27,9 +28,12 @@ def admitted(spark, requests):
 
 
 def tables_written(spark, action):
-    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
-    result = action()
-    return result, len(set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before)
+    """What `action` returns, and how many tables it settles in a shared folder of its own."""
+    with tempfile.TemporaryDirectory() as folder, pytest.MonkeyPatch.context() as patch:
+        patch.setattr(session, "shared_dir", lambda _: folder)
+        result = action()
+        tables = len(os.listdir(folder))
+    return result, tables
 
 
 def test_negations_along_a_chain_a_fork_and_an_open_end(spark):
