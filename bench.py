@@ -25,7 +25,7 @@ HEADLINE = (
     "q1_salary_vs_avg", "q3_above_avg_load", "u2_patch_patients", "u3_delete_patients", "u4_upsert_availability",
     "u5_new_state", "u6_bookings", "u7_change_status", "u9_new_state", "u11_bills", "t1_status_audit",
     "u1_add_doctors", "a16_ward_beds", "t4_appended_log",
-    "t5_snapshot_diff", "c3_fk_orphans", "c4_double_bookings", "st1_audit_stream",
+    "t5_snapshot_diff", "t5_digest_diff", "u7_partition_rewrite", "sc6_bucketed_join", "a17_dashboard_document", "c3_fk_orphans", "c4_double_bookings", "st1_audit_stream",
 )
 
 
