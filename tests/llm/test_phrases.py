@@ -110,6 +110,52 @@ def test_border_of_known_phrases():
     assert found == [8, 5, 1, 0]
 
 
+def test_a_bit_that_others_set_hides_no_phrase():
+    """The word was not proposed, so nothing longer was counted, whatever the filters say of the pair: all may be frequent."""
+    stream = np.array([11] * 6 + [0], np.uint64)
+    codes, _ = phrases._levels(stream, "en")
+    hashes = [phrases.phrase_hashes(codes, np.array([0]), k)[0] for k in (1, 2)]
+
+    class Bits:
+        def __init__(self, *of):
+            self.of = np.array(of, np.uint64)
+
+        def has(self, asked):
+            return np.isin(asked, self.of)
+
+    for proposed, found, want in (((hashes[1],), hashes, [6, 5, 4, 3]), (hashes, hashes, [6, 5, 0, 0]), ((), (), [0, 0, 0, 0])):
+        taken = phrases.exact_phrases(stream, "en", Bits(*proposed), Bits(*found))
+        assert [len(at) for _, _, at in taken] == want
+
+
+def test_full_filters_hide_no_phrase(spark, monkeypatch):
+    """Words that only one document has, often in a row, and filters so small that most bits are set."""
+    monkeypatch.setattr(phrases, "_BITS", (15, 15))
+    rows = [(k, "en", f"w{k} " * 24 + f"of w{k}", 1, 1, "") for k in range(4000)]
+    counts, _ = plain_counts([r[1:3] for r in rows])
+    want = sorted((" ".join(w), n) for (_, w), n in counts.items() if n >= 20)
+    found = phrases.frequent_phrases(spark.createDataFrame(rows, FIELDS), support=20).where("words > 0")
+    assert rows_of(found, "phrase", "n") == want
+
+
+def test_phrases_of_one_hash_stay_apart():
+    hashes, column = np.array([7, 7, 5, 7, 7], np.uint64), np.array([1, 2, 3, 1, 2], np.uint64)
+    order, first = phrases._equal(hashes, [column])
+    assert column[order[first]].tolist() == [3, 1, 2] and np.diff(first, append=5).tolist() == [1, 2, 2]
+
+
+def test_packed_rows_grow_with_the_streams_only():
+    """A task makes a row per slice and stream, and the corpus takes few slices."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([rng.integers(1, 50, 20_000).astype(np.uint64).tobytes()])], names=["lang", "codes"])
+    rows = [r for out in phrases._border_counts(None, range(1, 3), 16)(iter([batch])) for r in out.to_pylist()]
+    assert sorted(r["slice"] for r in rows) == list(range(16))
+    hashes, n = zip(*((phrases._of_planes(r["hashes"]), np.frombuffer(r["n"], r["kind"])) for r in rows))
+    assert sum(map(len, hashes)) == sum(map(len, n)) and sum(int(x.sum()) for x in n) == 20_000 + 19_999
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 def test_query_equals_its_sql(spark):
     duck = duckdb.connect()

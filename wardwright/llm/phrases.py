@@ -18,9 +18,12 @@ SAMPLE = 8  # one document in so many is in the sample
 CAUTION = 0.6  # the sample's support is this part of the share it should have, so that few phrases are missed
 COVER = (80, 100)  # a longer phrase with at least this share of the occurrences covers the phrases inside it
 TOP = 2000
-_STREAM = 1 << 15  # words of a stored stream, about
+_STREAM = 1 << 12  # words of a stored stream, about; Parquet pages hold a hundred rows at least
 _TOGETHER = 1 << 19  # words that are counted together in a task
-_SLICE = 1 << 18  # words of the corpus for each slice of the hash space
+_SLICES = 256  # of the hash space, at least
+_SLICE = 1 << 22  # words of the corpus for each slice; few, large slices, as every task makes a row for each
+_ROWS = 16  # packed rows of an Arrow batch
+_HELD = 1 << 18  # counts that are held before they are added up, at least
 _BITS = (20, 29)  # bounds of a filter's size, as powers of two: 128 kB to 64 MB
 
 _ENDS = b".,;:!?\n\v\f\r"
@@ -151,21 +154,21 @@ def border_hashes(stream: np.ndarray, lang: str, known: Filter | None, sizes: ra
 
 def exact_phrases(stream: np.ndarray, lang: str, proposed: Filter, found: Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(words, hashes, places) of the phrases to count by their words: those found frequent, and those that the failures of the border
-    make possible. A failure is one that was found but not proposed. A phrase is possible if what it leaves without its last
-    and without its first word is found or possible, and one of them is a failure or only possible."""
+    make possible. The pass before counted a phrase if both parts, without its last and without its first word, were counted
+    and proposed. A phrase that it counted is taken if it was found; one that it did not count may be frequent if both
+    parts are taken. Filters are asked only about what was counted, so a bit that other phrases have set adds to the counting, no more."""
     codes, inside = _levels(stream, lang)
-    usable, news = np.concatenate([inside, [False]]), np.zeros(len(stream) + 1, bool)
+    usable = np.concatenate([inside, [False]])
+    grown = usable  # where the pass before went on to a word more
     for words in range(1, LONGEST + 1):
         at = np.flatnonzero(usable[:-1]) if words == 1 else _next(usable)
         hashes = phrase_hashes(codes, at, words)
-        known = found.has(hashes)
-        possible = ~known & (news[at] | news[at + 1]) if words > 1 else np.zeros(len(at), bool)
-        taken = known | possible
+        counted = grown[at] & grown[at + 1] if words > 1 else np.ones(len(at), bool)
+        taken = ~counted | found.has(hashes)
         yield words, hashes[taken], at[taken]
-        fresh = possible | known & ~proposed.has(hashes)
-        usable, news = np.zeros(len(usable), bool), np.zeros(len(usable), bool)
+        usable, grown = np.zeros(len(usable), bool), np.zeros(len(usable), bool)
         usable[at[taken]] = True
-        news[at[fresh]] = True
+        grown[at[counted & proposed.has(hashes)]] = True
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
@@ -210,21 +213,22 @@ def _cuts(hashes: np.ndarray, slices: int) -> list[tuple[int, int, int]]:
     return [(k, at[k], at[k + 1]) for k in range(slices) if at[k] < at[k + 1]]
 
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
+def _packed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, as the JVM holds a batch outside its heap."""
     kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.string(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["slice", "lang", "hashes", "columns", "kind", "n"])
+    for at in range(0, len(rows), _ROWS):
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows[at : at + _ROWS]), kinds)]
+        yield pa.RecordBatch.from_arrays(columns, names=["slice", "lang", "hashes", "columns", "kind", "n"])
 
 
 def _border_counts(known, sizes: range, slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         proposed = known and Filter(known.value)
         for lang, stream in _streams(batches):
-            for hashes in border_hashes(stream, lang, proposed, sizes):
-                hashes, n = np.unique(hashes, return_counts=True)
-                kind, n = _narrow(n)
-                rows = [(k, "", _planes(hashes[a:b]), b"", kind, n[a:b].tobytes()) for k, a, b in _cuts(hashes, slices)]
-                if rows:
-                    yield _packed(rows)
+            hashes, n = np.unique(np.concatenate(list(border_hashes(stream, lang, proposed, sizes))), return_counts=True)
+            kind, n = _narrow(n)
+            rows = [(k, "", _planes(hashes[a:b]), b"", kind, n[a:b].tobytes()) for k, a, b in _cuts(hashes, slices)]
+            yield from _packed(rows)
 
     return run
 
@@ -235,31 +239,48 @@ def _exact_counts(proposed, found, slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = Filter(proposed.value), Filter(found.value)
         for lang, stream in _streams(batches):
+            parts = []
             for words, hashes, at in exact_phrases(stream, lang, *filters):
-                order = np.lexsort([*(stream[at + k] for k in range(words)), hashes])
-                at, hashes = at[order], hashes[order]
-                new = np.logical_or.reduce([np.diff(c, prepend=~c[:1]) != 0 for c in (hashes, *(stream[at + k] for k in range(words)))])
-                first = np.flatnonzero(new)
-                kind, n = _narrow(np.diff(np.concatenate([first, [len(at)]])))
-                rows = []
-                for k, a, b in _cuts(hashes[first], slices):
-                    codes = stream[at[first[a:b]][None, :] + np.arange(words)[:, None]]
-                    own, places = np.unique(codes, return_inverse=True)
-                    columns = np.zeros((LONGEST, b - a), np.uint32)
-                    columns[:words] = places.reshape(words, -1) + 1
-                    rows.append((k, lang, _planes(own), columns.tobytes(), kind, n[a:b].tobytes()))
-                if rows:
-                    yield _packed(rows)
+                order, first = _equal(hashes, [stream[at + k] for k in range(words)])
+                own = at[order[first]]
+                codes = np.zeros((LONGEST, len(own)), np.uint64)
+                codes[:words] = stream[own[None, :] + np.arange(words)[:, None]]
+                parts.append((hashes[order[first]], codes, np.diff(first, append=len(at))))
+            hashes, codes, n = (np.concatenate(x, axis=-1) for x in zip(*parts))
+            order = np.argsort(hashes)
+            kind, n = _narrow(n[order])
+            rows = []
+            for k, a, b in _cuts(hashes[order], slices):
+                own, places = np.unique(codes[:, order[a:b]], return_inverse=True)
+                if own[0]:  # all of four words
+                    own, places = np.concatenate([np.zeros(1, np.uint64), own]), places + 1
+                rows.append((k, lang, _planes(own[1:]), places.astype(np.uint32).tobytes(), kind, n[a:b].tobytes()))
+            yield from _packed(rows)
 
     return run
 
 
+def _equal(hashes: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal rows together, and where in it each different row begins. Rows are sorted by their hashes; by their
+    columns too only if different rows have the same hash."""
+    order = np.argsort(hashes)
+    for again in (False, True):
+        same = np.diff(hashes[order], prepend=~hashes[order[:1]]) == 0
+        new = np.logical_or.reduce([~same, *(np.diff(c[order], prepend=~c[order[:1]]) != 0 for c in columns)])
+        if again or not (same & new).any():
+            return order, np.flatnonzero(new)
+        order = np.lexsort([*columns, hashes])
+
+
 def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal rows of `keys` added up."""
-    order = np.lexsort(keys.T)
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
-    return keys[first], np.add.reduceat(n, first)
+    columns = list(keys.T)
+    hashes = columns[0]
+    with np.errstate(over="ignore"):
+        for c in columns[1:]:
+            hashes = _mix(hashes) * np.uint64(0x9E3779B97F4A7C15) + c
+    order, first = _equal(hashes, columns if len(columns) > 1 else [])
+    return keys[order[first]], np.add.reduceat(n[order], first)
 
 
 def _sums(exact: bool, support: int):
@@ -267,7 +288,7 @@ def _sums(exact: bool, support: int):
     doubled, so a slice takes as much memory as it has different phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, size, room = None, [], 0, 1 << 20
+        key, held, size, room = None, [], 0, _HELD
 
         def total() -> tuple[np.ndarray, np.ndarray]:
             return _added(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
@@ -286,7 +307,7 @@ def _sums(exact: bool, support: int):
                 slice_, lang, hashes, columns, kind, n = (c[k].as_py() for c in batch.columns)
                 if held and (slice_, lang) != key:
                     yield result()
-                    held, size, room = [], 0, 1 << 20
+                    held, size, room = [], 0, _HELD
                 key, values = (slice_, lang), _of_planes(hashes)
                 if exact:
                     places = np.frombuffer(columns, np.uint32).reshape(LONGEST, -1).T
@@ -296,7 +317,7 @@ def _sums(exact: bool, support: int):
                 if size > room:
                     held = [total()]
                     size = len(held[0][1])
-                    room = max(1 << 20, 2 * size)
+                    room = max(_HELD, 2 * size)
         if held:
             yield result()
 
@@ -344,7 +365,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", su
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), chosen.alias("sampled"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     streams = settle(rows.mapInArrow(_encoded(spark.createDataFrame([], STREAMS).toArrow().schema), STREAMS), "word-streams")
     few, lowered = streams.where("sampled"), max(2, int(np.ceil(support / sample * CAUTION)))
-    slices = max(256, (streams.agg(F.sum("n")).first()[0] or 0) // _SLICE)
+    slices = max(_SLICES, (streams.agg(F.sum("n")).first()[0] or 0) // _SLICE)
     short = _counted(few, None, range(1, 3), lowered, slices)
     long = _counted(few, _filter(short), range(3, LONGEST + 1), lowered, slices)
     proposed = _filter(short.unionByName(long))
