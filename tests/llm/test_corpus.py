@@ -352,6 +352,47 @@ def test_toxicity_learns(spark, odd):
     assert toxicity.score_toxicity(odd.limit(0), None).count() == 0 and toxicity.fit(["a"], [1], [None], 0.1) is None
 
 
+def test_toxicity_learns_from_every_labelled_document(spark):
+    """The first model sees ten documents of each label; words that only others hold must move all the same, and the model must not depend
+    on how rows are dealt out. Held-out documents teach nothing."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    rows = [(k, ["en", "fr", None][k % 3], " ".join(word() for _ in range(5)), k % 4 == 0) for k in range(400)]
+    docs = spark.createDataFrame([r[:3] for r in rows] + [(None, "en", "no id", ), (7, "en", None)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(r[0], int(r[3])) for r in rows] + [(None, 1), (5000, 1)], "doc_id long, toxic int")
+    start = np.random.default_rng(11).normal(0, 0.3, (toxicity.BUCKETS, 16)).astype(np.float32)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        models = []
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            models.append(toxicity.train(docs.repartition(int(n)), labels, rows_per_label=10))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    moved = (models[0].embedding != start).any(axis=1)
+    of = lambda held: np.unique(toxicity.subword_buckets(
+        [w.encode() for k, _, text, _ in rows if (zlib.crc32(str(k).encode()) % 4 == 2) == held for w in text.split()], toxicity.SIZES, toxicity.BUCKETS)[0])
+    taught = of(False)
+    assert moved[taught].sum() > 0.4 * len(taught) > 20 * 5 * 22 and not moved[np.setdiff1d(of(True), taught)].any()
+    assert np.allclose(models[0].embedding, models[1].embedding, atol=1e-5) and np.allclose(models[0].cuts, models[1].cuts, atol=1e-2)
+    assert models[0].languages == ["en", "fr"]
+
+
+def test_toxicity_groups_keep_ids_apart():
+    """Labels go to the documents of their id only; long texts end a part early."""
+    import pyarrow as pa
+
+    rows = [(0, "a", 1, None, None), (0, "a", None, "en", "x" * 5), (0, "a", None, None, "y"), (0, "b", None, "en", "no label"),
+            (0, "c", 0, None, None), (1, "d", 0, None, None), (1, "d", None, "fr", "z")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 2])], names=list("gilxt")) for k in range(0, len(rows), 2)]
+    toxicity._TEXT, before = 4, toxicity._TEXT
+    try:
+        parts = [(texts, y.tolist(), langs) for texts, y, langs in toxicity._together(iter(batches))]
+    finally:
+        toxicity._TEXT = before
+    assert parts == [(["x" * 5], [1.0], ["en"]), (["y"], [1.0], [None]), (["z"], [0.0], ["fr"])]
+
+
 # --- 5: WARC -----------------------------------------------------------------
 
 def test_warc_query_equals_sql(spark):
